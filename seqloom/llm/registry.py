@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprints
+from . import fingerprints, licences, url_filter
 
-MODULES = [fingerprints]
+MODULES = [fingerprints, url_filter, licences]
 
 
 def queries() -> dict:
