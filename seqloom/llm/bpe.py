@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import plus, read
 
 #: Fixed value: the byte-level pre-tokenizer's pattern; white space is Unicode's property of that name.
 PATTERN = (
@@ -248,8 +248,7 @@ def with_ids(df: DataFrame, text: str = "text", path: str | None = None, decode:
     shared = spark.sparkContext.broadcast(_source(path))
     taken = {"ids", "n_tokens", "decoded"} & set(df.columns)
     df = df.drop(*taken)
-    schema = df.schema.add("ids", "binary").add("n_tokens", "long")
-    schema = schema.add("decoded", "string") if decode else schema
+    schema = plus(df, "ids binary, n_tokens long" + ", decoded string" * decode)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
@@ -283,7 +282,7 @@ def with_text(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataF
     """``df`` plus ``decoded``: the text of a column of ids as ``with_ids`` makes it; null ids: empty."""
     shared = df.sparkSession.sparkContext.broadcast(_source(path))
     df = df.drop("decoded")
-    schema = df.schema.add("decoded", "string")
+    schema = plus(df, "decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)

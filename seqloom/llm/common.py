@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Most rows and bytes of a side that may be broadcast; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 50_000
@@ -45,3 +46,8 @@ def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "lef
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def plus(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` with further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licences, url_filter
+from . import bpe, chat_template, fingerprints, licences, mpeg, url_filter
 
-MODULES = [fingerprints, url_filter, licences]
+MODULES = [fingerprints, bpe, chat_template, url_filter, mpeg, licences]
 
 
 def queries() -> dict:
