@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, read
+from .common import plus, read, small_batches
 
 #: Fixed value: the byte-level pre-tokenizer's pattern; white space is Unicode's property of that name.
 PATTERN = (
@@ -245,6 +245,7 @@ def with_ids(df: DataFrame, text: str = "text", path: str | None = None, decode:
     """``df`` plus ``ids`` (little-endian unsigned 32-bit integers), ``n_tokens`` and, if asked for,
     ``decoded``, the text that the ids decode to. The model (a file of fixed size) is broadcast."""
     spark = df.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(_source(path))
     taken = {"ids", "n_tokens", "decoded"} & set(df.columns)
     df = df.drop(*taken)

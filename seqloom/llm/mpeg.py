@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, read
+from .common import plus, read, small_batches
 
 UNIT = 576
 #: kbit/s by header index, for (MPEG-1, layer) and (MPEG-2 and 2.5, layer).
@@ -251,6 +251,7 @@ def with_found(df: DataFrame, media: str = "media") -> DataFrame:
     frame seek offsets, checksums, skipped bytes, table and tag."""
     names = [f.split()[0] for f in FOUND.split(", ")]
     df = df.drop(*names)
+    small_batches(df.sparkSession)
     schema = plus(df, FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
