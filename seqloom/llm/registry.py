@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_template, fingerprints, licences, mpeg, url_filter
+from . import bpe, chat_template, fingerprints, language, licences, mixing, mpeg, quality, url_filter
 
-MODULES = [fingerprints, bpe, chat_template, url_filter, mpeg, licences]
+MODULES = [fingerprints, quality, mixing, language, bpe, chat_template, url_filter, mpeg, licences]
 
 
 def queries() -> dict:
