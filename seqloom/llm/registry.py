@@ -1,15 +1,9 @@
-"""Queries and SQL of the training-data operators and of the pipeline."""
+"""Queries and SQL of the training-data operators."""
 
 from __future__ import annotations
 
-from . import bpe, chat_template, fingerprints, language, licences, mixing, mpeg, quality, url_filter
+from . import bpe, chat_template, fingerprints, jaccard_join, language, licences, mixing, mpeg, quality, url_filter
 
-MODULES = [fingerprints, quality, mixing, language, bpe, chat_template, url_filter, mpeg, licences]
-
-
-def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
-
-
-def oracle_sql() -> dict:
-    return {k: v for m in MODULES for k, v in m.SQL.items()}
+MODULES = [fingerprints, quality, mixing, language, bpe, chat_template, url_filter, mpeg, jaccard_join, licences]
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
