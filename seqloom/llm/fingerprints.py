@@ -15,6 +15,8 @@ Columns of other names are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,27 +109,26 @@ def _lower_bucket(buckets: DataFrame, span: int) -> DataFrame:
     return inside.join(bridge, "c", "left").select("b", F.coalesce("lower", "top").alias("lower"))
 
 
-def with_next(df: DataFrame, key: str, payload: list[str], tie: str) -> DataFrame:
-    """Adds ``next_<p>`` for each payload column: that of the next row in descending order of the
-    integer column ``key`` (the last row gets the first row's). Rows meet in buckets of 64 key values;
-    only the first row of each bucket travels to another one."""
+def with_next(df: DataFrame, key: str, text: str, make: Callable[[DataFrame], DataFrame], made: str) -> DataFrame:
+    """``make(df)`` plus next_<text> and next_<made>: those of the next row in descending order of the
+    integer column ``key`` (the last row gets the first row's). Texts are dealt out once, in buckets of
+    64 key values, and ``made`` is worked out from them afterwards; of each bucket only the first row
+    travels on to another one."""
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
-        return df.select("*", *(F.col(p).alias(f"next_{p}") for p in payload))
+        out = make(df)
+        return out.select("*", F.col(text).alias(f"next_{text}"), F.col(made).alias(f"next_{made}"))
     df = df.withColumn("__b", F.shiftright(F.col(key) - F.lit(low), BUCKET_BITS))
-    own = Window.partitionBy("__b").orderBy(F.desc(key), F.asc(tie))
-    rows = df.select(
-        "*",
-        F.row_number().over(own).alias("__n"),
-        F.lead(F.struct(*payload)).over(own).alias("__next"),
-    )
+    own = Window.partitionBy("__b").orderBy(F.desc(key), F.asc(text))
+    rows = make(df.repartition("__b")).withColumn("__next", F.lead(F.struct(text, made)).over(own))
     span = (high - low) >> BUCKET_BITS
-    buckets = df.select(F.col("__b").alias("b")).distinct()
-    steps = _lower_bucket(buckets, span).withColumn("lower", F.coalesce("lower", F.lit(span)))
-    heads = rows.where("__n = 1").select(F.col("__b").alias("lower"), F.struct(*payload).alias("__head"))
-    bridge = heads.join(steps, "lower").select(F.col("b").alias("__b"), "__head")
+    steps = _lower_bucket(df.select(F.col("__b").alias("b")).distinct(), span).withColumn("lower", F.coalesce("lower", F.lit(span)))
+    heads = df.select("__b", key, text).withColumn("__n", F.row_number().over(own)).where("__n = 1")
+    heads = heads.join(steps, heads["__b"] == steps["lower"]).select(F.col("b").alias("__b"), text)
+    bridge = make(heads).select("__b", F.struct(text, made).alias("__head"))
     out = rows.join(bridge, "__b", "left").withColumn("__next", F.coalesce("__next", "__head"))
-    return out.select(*(c for c in df.columns if c != "__b"), *(F.col(f"__next.{p}").alias(f"next_{p}") for p in payload))
+    columns = [c for c in rows.columns if c not in ("__b", "__next")]
+    return out.select(*columns, F.col(f"__next.{text}").alias(f"next_{text}"), F.col(f"__next.{made}").alias(f"next_{made}"))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("__key"),
         text_or_empty().alias("text"),
     )
-    rows = with_next(with_sketch(own, "text", "sketch"), "__key", ["text", "sketch"], "text")
+    rows = with_next(own, "__key", "text", lambda df: with_sketch(df, "text", "sketch"), "sketch")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn(
         "edited", F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), left(next_text, cast(n_chars div 2 as int)))")
