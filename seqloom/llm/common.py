@@ -34,11 +34,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Joins a per-key table. ``small`` is written and counted first: at most BROADCAST_ROWS rows are
+def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins a per-key table. ``small`` is written and counted first: at most ``most`` rows are
     broadcast, more are joined by a shuffle whose skewed partitions adaptive execution splits."""
     small = written(small, "side")
-    if small.count() <= BROADCAST_ROWS:
+    if small.count() <= most:
         small = F.broadcast(small)
     return left.join(small, on, how)
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, sized_join, small_batches, written
+from .common import BROADCAST_ROWS, read, sized_join, small_batches, written
 from .components import components
 
 WORDS = 5
@@ -129,25 +129,28 @@ def _common_of(gathered: list[np.ndarray]) -> tuple[list[int], list[int]]:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, n of every row (null cls: empty set), and rows of batch counts (tokens, counts)."""
-    schema = "doc_id long, cls long, n long, tokens array<long>, counts array<long>"
+    """doc_id, cls, n, bits of every row (null cls: empty set), and rows of batch counts (tokens, counts)."""
+    schema = "doc_id long, cls long, n long, bits binary, tokens array<long>, counts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in schema.split(", ")]
-        types = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+        types = [pa.int64()] * 3 + [pa.binary()] + [pa.list_(pa.int64())] * 2
         gathered: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            ids, classes, sizes = batch.column(0), [], []
+            ids, classes, sizes, rows = batch.column(0), [], [], []
             for tokens in shingle_sets(_raws(batch.column(1))):
                 c = class_id(tokens) if len(tokens) else None
                 classes.append(c)
                 sizes.append(len(tokens))
+                rows.append(bits_of(tokens, len(tokens)))
                 if c is not None and c not in gathered:
                     gathered[c] = tokens[: int(np.searchsorted(tokens, U(2**63)))].copy()
                     size += len(gathered[c])
             n = len(classes)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, types[3]), pa.nulls(n, types[4])], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary()), pa.nulls(n, types[4]), pa.nulls(n, types[5])], names=names
+            )
             if size > GATHER:
                 yield flush(gathered, names, types)
                 gathered, size = {}, 0
@@ -155,7 +158,7 @@ def profile(docs: DataFrame) -> DataFrame:
 
     def flush(gathered: dict[int, np.ndarray], names: list[str], types: list) -> pa.RecordBatch:
         tokens, counts = _common_of([*gathered.values()])
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None, None, None, tokens, counts], types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None, None, None, None, tokens, counts], types)], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -270,26 +273,11 @@ def lacks(query: bytes, group: bytes) -> int:
     return int(np.bitwise_count(_folded(q, size) & ~_folded(g, size)).sum())
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, n, bits, tokens of the wanted classes (doc_id, cls), made anew from their texts."""
-    rows = sized_join(docs.where("doc_id is not null"), wanted, ["doc_id"], "inner").select("text", "cls")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(c, t) for c, t in zip(batch.column(1).to_pylist(), shingle_sets(_raws(batch.column(0)))) if len(t) and class_id(t) == c]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in got], pa.int64()), pa.array([len(t) for _, t in got], pa.int64()), pa.array([bits_of(t, len(t)) for _, t in got], pa.binary()), pa.array([t.tobytes() for _, t in got], pa.binary())],
-                names=["cls", "n", "bits", "tokens"],
-            )
-
-    return rows.mapInArrow(run, "cls long, n long, bits binary, tokens binary")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among pairs (a, b) of classes: first by size and bits, then by the sets themselves."""
-    bits = sets.select("cls", "n", "bits")
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that sizes and bits don't rule out."""
+    bits = classes.select("cls", "n", "bits")
     near = pairs.join(bits.toDF("a", "a_n", "a_bits"), "a").join(bits.toDF("b", "b_n", "b_bits"), "b")
-    near = near.where("4 * least(a_n, b_n) >= 3 * greatest(a_n, b_n)")
+    near = near.where("4 * least(a_n, b_n) >= 3 * greatest(a_n, b_n)").select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,8 +287,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(n - lacks(p, q) >= need and m - lacks(q, p) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = near.select("a", "b", "a_n", "a_bits", "b_n", "b_bits").mapInArrow(bound, "a long, b long")
-    tokens = sets.select("cls", "tokens")
+    return near.mapInArrow(bound, "a long, b long")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, tokens of the wanted classes (doc_id, cls), made anew from their texts."""
+    rows = sized_join(docs, wanted, ["doc_id"], "inner", 20 * BROADCAST_ROWS).select("text", "cls")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(c, t) for c, t in zip(batch.column(1).to_pylist(), shingle_sets(_raws(batch.column(0)))) if len(t) and class_id(t) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([t.tobytes() for _, t in got], pa.binary())], names=["cls", "tokens"])
+
+    return rows.mapInArrow(run, "cls long, tokens binary")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """The links among pairs (a, b) of classes: first by size and bits, then by the sets themselves, which
+    are made only for classes that the bits leave."""
+    near = written(bounded(pairs, classes), "near")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    tokens = sets_of(docs, wanted.join(classes, "cls").select("doc_id", "cls"))
+    tokens = written(tokens.dropDuplicates(["cls"]) if repeats else tokens, "sets")
     whole = near.join(tokens.toDF("a", "a_tokens"), "a").join(tokens.toDF("b", "b_tokens"), "b").select("a", "b", "a_tokens", "b_tokens")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +337,7 @@ def _entries(found: DataFrame) -> DataFrame:
     return found.select("tokens", "classes", "sizes").mapInArrow(run, "token long, cls long, size int")
 
 
-def groups_to_open(entries: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
+def groups_to_open(entries: DataFrame, grouped: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) to verify across groups: queries with the members of qualifying slices."""
     sizes = grouped.groupBy("root").agg((F.count("*") + 1).alias("members"))
     rooted = grouped.join(sizes, "root").select(F.col("vertex").alias("cls"), "root", "members")
@@ -346,7 +354,7 @@ def groups_to_open(entries: DataFrame, grouped: DataFrame, sets: DataFrame) -> D
     meets = placed.join(other, "token").where("to_members > members or (to_members = members and `to` < grp)")
     meets = meets.where("4 * high >= 3 * abs(size) and 4 * abs(size) >= 3 * low and (size > 0 or marked > 0)")
     meets = meets.select("cls", "to").distinct()
-    slices = sets.select("cls", "n", "bits").join(rooted.unionByName(roots), "cls", "left")
+    slices = classes.select("cls", "n", "bits").join(rooted.unionByName(roots), "cls", "left")
     slices = slices.withColumn("to", F.coalesce("root", "cls")).withColumn("slice", F.pmod(F.xxhash64("cls"), F.ceil(F.coalesce("members", F.lit(1)) / SLICE)))
     members = slices.select("to", "slice", "cls", "n", "bits")
 
@@ -365,7 +373,7 @@ def groups_to_open(entries: DataFrame, grouped: DataFrame, sets: DataFrame) -> D
     shared = members.join(roots.select(F.col("root").alias("to")), "to", "left_semi")
     shared = shared.groupBy("to", "slice").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list("bits").alias("all_bits"))
     matrix = alone.unionByName(shared.mapInArrow(union_rows, "to long, slice long, low long, high long, row binary"))
-    asked = meets.join(sets.select("cls", "n", "bits"), "cls").join(matrix, "to").where("4 * high >= 3 * n and 4 * n >= 3 * low")
+    asked = meets.join(classes.select("cls", "n", "bits"), "cls").join(matrix, "to").where("4 * high >= 3 * n and 4 * n >= 3 * low")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -388,15 +396,12 @@ def links_of(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     buckets = max(8, -(-(shingles[1] or 0) // BUCKET_SHINGLES))
     found = written(postings(prefixes(docs, shared, buckets)), "postings")
     entries = _entries(found)
-    wanted = entries.select("cls").distinct()
-    first = profiled.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = sets_of(docs, wanted.join(first, "cls").select("doc_id", "cls"))
-    if profiled.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        sets = sets.dropDuplicates(["cls"])
-    sets = written(sets, "sets")
+    own = profiled.where("cls is not null and doc_id is not null")
+    classes = written(own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    repeats = own.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     pairs = found.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    near = written(verified(pairs, sets), "links")
-    rest = verified(groups_to_open(entries, components(near), sets), sets)
+    near = written(verified(pairs, classes, docs, repeats), "links")
+    rest = verified(groups_to_open(entries, components(near), classes), classes, docs, repeats)
     return near.unionByName(rest)
 
 
