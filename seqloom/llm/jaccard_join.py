@@ -8,13 +8,15 @@ form a class and go on as one. Two classes link when their Jaccard similarity is
    out of prefixes; any order gives exact results, this one keeps posting lists short.
 2. postings: two linked sets share a shingle among the first n // 4 + 1 of each (n // 7 + 1 of the
    smaller one). These prefixes are dealt out by hash range; shingles of two or more classes stay.
-3. groups: each class is compared with the least class of each of its postings. What links by that
-   falls into groups of similar documents; classes that nothing links are groups of their own.
+3. groups: each class is compared with the LEADERS least classes of each of its postings. What links
+   by that falls into groups of similar documents; classes that nothing links are groups of their own.
+   That settles every pair of a posting of up to LEADERS + 1 classes.
 4. matrix: each group, in slices of SLICE classes, keeps the union of its members' shingles as a
    bit row. A query class and a group that meet in a posting are compared by bits: every bit of
    the query that the group's row lacks is a shingle that no member has, so a query with more than
    n // 4 of them can't link into the slice. Only qualifying slices are opened, member by member:
-   by size, by bits, and at last by their sets.
+   by size, by bits, and at last by their sets, the nearest by bits first and the rest where those
+   don't link the query. Only longer postings get here.
 
 Copies are never expanded, pairs inside a found group are never made, and no list is cut. The
 frequent shingles are at most MOST_COMMON (their threshold rises with the corpus), so they can be
@@ -40,9 +42,13 @@ from .components import components
 
 WORDS = 5
 #: Links have 4 * intersection >= 3 * union.
-MOST_COMMON, LEAST_COMMON = 2**20, 48
+MOST_COMMON, LEAST_COMMON = 2**21, 24
 #: Bytes of text hashed at once, prefix shingles a bucket is made for, shingles a worker gathers, classes in a slice.
-CHUNK, BUCKET_SHINGLES, GATHER, SLICE = 1_000_000, 400_000, 2_000_000, 32
+CHUNK, BUCKET_SHINGLES, GATHER, SLICE = 1_000_000, 800_000, 2_000_000, 32
+#: Classes of a posting that all others in it are compared with.
+LEADERS = 6
+#: Members of a slice that a query is compared with at first; all others follow where that links nothing.
+NEAREST = 2
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -216,8 +222,8 @@ def prefixes(docs: DataFrame, common, buckets: int) -> DataFrame:
 
 
 def postings(packed: DataFrame) -> DataFrame:
-    """Two kinds of rows: entries (token, cls, size) of shingles of several classes, packed by bucket, and
-    candidate links (a, b) of each class with the least class of its posting."""
+    """By bucket: candidate links (a, b), the smaller set first, of each class with the leaders of its
+    postings, and the packed entries (token, cls, size) of postings that leaders don't settle."""
     schema = "tokens binary, classes binary, sizes binary, a array<long>, b array<long>"
 
     def run(table: pa.Table) -> pa.Table:
@@ -231,14 +237,23 @@ def postings(packed: DataFrame) -> DataFrame:
         lengths = np.diff(np.r_[starts, len(tokens)])
         several = np.repeat((lengths > 1) & (np.maximum.reduceat(sizes, starts) > 0), lengths)
         tokens, classes, sizes = tokens[several], classes[several], sizes[several]
-        a = b = np.empty(0, np.int64)
+        pairs = np.empty((0, 2), np.int64)
         if len(tokens):
             starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
             lengths = np.diff(np.r_[starts, len(tokens)])
-            lead, lead_n = np.repeat(classes[starts], lengths), np.repeat(sizes[starts], lengths)
-            ok = (lead != classes) & possible(sizes, lead_n)
-            pairs = np.unique(np.stack([lead[ok], classes[ok]], 1), axis=0)
-            a, b = pairs[:, 0], pairs[:, 1]
+            first, length = np.repeat(starts, lengths), np.repeat(lengths, lengths)
+            place = np.arange(len(tokens)) - first
+            for k in range(LEADERS):
+                rows = np.flatnonzero(place > k)
+                lead = first[rows] + k
+                ok = possible(sizes[rows], sizes[lead])
+                rows, lead = rows[ok], lead[ok]
+                small = np.abs(sizes[rows]) < np.abs(sizes[lead])
+                a, b = np.where(small, classes[rows], classes[lead]), np.where(small, classes[lead], classes[rows])
+                pairs = np.unique(np.concatenate([pairs, np.stack([a, b], 1)]), axis=0)
+            long = length > LEADERS + 1
+            tokens, classes, sizes = tokens[long], classes[long], sizes[long]
+        a, b = pairs[:, 0], pairs[:, 1]
         row = [[tokens.tobytes()], [classes.tobytes()], [sizes.tobytes()], [a.tolist()], [b.tolist()]]
         types = [pa.binary()] * 3 + [pa.list_(pa.int64())] * 2
         return pa.table([pa.array(v, t) for v, t in zip(row, types)], names=["tokens", "classes", "sizes", "a", "b"])
@@ -302,10 +317,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "cls long, tokens binary")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
-    """The links among pairs (a, b) of classes: first by size and bits, then by the sets themselves, which
-    are made only for classes that the bits leave."""
-    near = written(bounded(pairs, classes), "near")
+def verified(near: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """The links among the pairs (a, b) that bits leave; sets are made only for classes in them."""
+    near = written(near, "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     tokens = sets_of(docs, wanted.join(classes, "cls").select("doc_id", "cls"))
     tokens = written(tokens.dropDuplicates(["cls"]) if repeats else tokens, "sets")
@@ -337,55 +351,87 @@ def _entries(found: DataFrame) -> DataFrame:
     return found.select("tokens", "classes", "sizes").mapInArrow(run, "token long, cls long, size int")
 
 
-def groups_to_open(entries: DataFrame, grouped: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) to verify across groups: queries with the members of qualifying slices."""
-    sizes = grouped.groupBy("root").agg((F.count("*") + 1).alias("members"))
-    rooted = grouped.join(sizes, "root").select(F.col("vertex").alias("cls"), "root", "members")
-    roots = sizes.select(F.col("root").alias("cls"), "root", "members")
-    placed = entries.join(rooted.unionByName(roots), "cls", "left")
-    placed = placed.select("token", "cls", "size", F.coalesce("root", "cls").alias("grp"), F.coalesce("members", F.lit(1)).alias("members"))
-    at = placed.groupBy("token", "grp", "members").agg(
-        F.min(F.abs("size")).alias("low"), F.max(F.abs("size")).alias("high"), F.max("size").alias("marked")
-    )
-    mixed = at.groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
-    at, placed = at.join(mixed, "token"), placed.join(mixed, "token")
-    other = at.toDF("token", "to", "to_members", "low", "high", "marked")
-    # the smaller group asks, so that a large one is never unrolled against each stranger
-    meets = placed.join(other, "token").where("to_members > members or (to_members = members and `to` < grp)")
-    meets = meets.where("4 * high >= 3 * abs(size) and 4 * abs(size) >= 3 * low and (size > 0 or marked > 0)")
-    meets = meets.select("cls", "to").distinct()
-    slices = classes.select("cls", "n", "bits").join(rooted.unionByName(roots), "cls", "left")
-    slices = slices.withColumn("to", F.coalesce("root", "cls")).withColumn("slice", F.pmod(F.xxhash64("cls"), F.ceil(F.coalesce("members", F.lit(1)) / SLICE)))
-    members = slices.select("to", "slice", "cls", "n", "bits")
-
-    def union_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Matrix:
+    """Groups of linked classes, in slices with their union rows, and the queries that meet them in postings."""
+
+    def __init__(self, entries: DataFrame, grouped: DataFrame, classes: DataFrame):
+        sizes = grouped.groupBy("root").agg((F.count("*") + 1).alias("members"))
+        rooted = grouped.join(sizes, "root").select(F.col("vertex").alias("cls"), "root", "members")
+        rooted = written(rooted.unionByName(sizes.select(F.col("root").alias("cls"), "root", "members")), "groups")
+        place = [F.coalesce("root", "cls").alias("grp"), F.coalesce("members", F.lit(1)).alias("members")]
+        placed = entries.join(rooted, "cls", "left").select("token", "cls", "size", *place)
+        self.meets = written(self._meets(placed), "meets")
+        slices = classes.select("cls", "n", "bits").join(rooted, "cls", "left").select("cls", "n", "bits", *place)
+        slices = slices.withColumn("slice", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / SLICE)))
+        one = slices.where("members = 1").select(F.col("grp").alias("to"), "slice", F.col("n").alias("low"), F.col("n").alias("high"), F.col("bits").alias("row"))
+        one = one.select("*", F.array("to").alias("ids"), F.array("low").alias("sizes"), F.array("row").alias("rows"))
+        many = slices.where("members > 1").groupBy(F.col("grp").alias("to"), "slice").agg(F.collect_list(F.struct("cls", "n", "bits")).alias("m"))
+        many = many.select("to", "slice", F.col("m.cls").alias("ids"), F.col("m.n").alias("sizes"), F.col("m.bits").alias("rows"))
+        many = many.withColumns({"low": F.array_min("sizes"), "high": F.array_max("sizes")}).select("to", "slice", "low", "high", "ids", "sizes", "rows")
+        schema = "to long, slice long, low long, high long, row binary, ids array<long>, sizes array<long>, rows array<binary>"
+        self.rows = one.unionByName(many.mapInArrow(self._unions, schema))
+        self.queries = classes.select("cls", "n", "bits")
+        self.rooted = rooted
+
+    @staticmethod
+    def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rows in batch.column("all_bits").to_pylist():
+            for rows in batch.column(6).to_pylist():
                 size = max(map(len, rows))
                 row = np.zeros(size, np.uint8)
                 for r in rows:
                     row |= np.tile(np.frombuffer(r, np.uint8), size // len(r))
                 out.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(out, pa.binary())], names=["to", "slice", "low", "high", "row"])
-
-    alone = members.join(roots.select(F.col("root").alias("to")), "to", "left_anti").select("to", "slice", F.col("n").alias("low"), F.col("n").alias("high"), F.col("bits").alias("row"))
-    shared = members.join(roots.select(F.col("root").alias("to")), "to", "left_semi")
-    shared = shared.groupBy("to", "slice").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list("bits").alias("all_bits"))
-    matrix = alone.unionByName(shared.mapInArrow(union_rows, "to long, slice long, low long, high long, row binary"))
-    asked = meets.join(classes.select("cls", "n", "bits"), "cls").join(matrix, "to").where("4 * high >= 3 * n and 4 * n >= 3 * low")
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [lacks(q, g) <= n // 4 for n, q, g in zip(*(batch.column(c).to_pylist() for c in ("n", "bits", "row")))]
-            yield batch.select(["cls", "to", "slice"]).filter(pa.array(keep, pa.bool_()))
-
-    opened = asked.select("cls", "to", "slice", "n", "bits", "row").mapInArrow(bound, "cls long, to long, slice long")
-    return opened.withColumnRenamed("cls", "a").join(members.select("to", "slice", F.col("cls").alias("b")), ["to", "slice"]).select("a", "b").distinct()
-
-
-def links_of(docs: DataFrame, profiled: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that connect all that must be connected."""
+            columns = [*(batch.column(i) for i in range(4)), pa.array(out, pa.binary()), *(batch.column(i) for i in (4, 5, 6))]
+            yield pa.RecordBatch.from_arrays(columns, names=["to", "slice", "low", "high", "row", "ids", "sizes", "rows"])
+
+    @staticmethod
+    def _meets(placed: DataFrame) -> DataFrame:
+        """(cls, to): queries and the groups to ask. Of two groups in a posting the smaller one asks, so
+        that a large one is never unrolled against each stranger."""
+        at = placed.groupBy("token", "grp", "members").agg(F.min(F.abs("size")).alias("low"), F.max(F.abs("size")).alias("high"), F.max("size").alias("marked"))
+        other = at.toDF("token", "to", "to_members", "low", "high", "marked")
+        meets = placed.join(other, "token").where("to_members > members or (to_members = members and `to` < grp)")
+        meets = meets.where("4 * high >= 3 * abs(size) and 4 * abs(size) >= 3 * low and (size > 0 or marked > 0)")
+        return meets.select("cls", "to").distinct()
+
+    def opened(self, meets: DataFrame, most: int | None) -> DataFrame:
+        """(a, b): queries with the members of the slices that qualify, as far as bits leave them; ``most``:
+        only so many nearest ones of each slice."""
+        asked = meets.join(self.queries, "cls").join(self.rows, "to").where("4 * high >= 3 * n and 4 * n >= 3 * low")
+        names = ["cls", "n", "bits", "row", "ids", "sizes", "rows"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a: list[int] = []
+                b: list[int] = []
+                for c, n, q, union, ids, sizes, rows in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                    if lacks(q, union) > n // 4:
+                        continue
+                    near = []
+                    for i, m, row in zip(ids, sizes, rows):
+                        need = -(-3 * (n + m) // 7)
+                        x, y = lacks(q, row), lacks(row, q)
+                        if n - x >= need and m - y >= need:
+                            near.append((x + y, i))
+                    near = sorted(near)[:most]
+                    a += [c] * len(near)
+                    b += [i for _, i in near]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        return asked.select(*names).mapInArrow(run, "a long, b long")
+
+    def unsettled(self, roots: DataFrame) -> DataFrame:
+        """Those meets with groups of more than NEAREST members whose sides aren't connected by now."""
+        ask = roots.toDF("cls", "__own")
+        far = self.meets.join(self.rooted.where(f"cls = root and members > {NEAREST}").select(F.col("cls").alias("to")), "to", "left_semi")
+        far = far.join(ask, "cls", "left").join(roots.toDF("to", "__its"), "to", "left")
+        return far.where("coalesce(__own, cls) <> coalesce(__its, `to`)").select("cls", "to")
+
+
+def roots_of(docs: DataFrame, profiled: DataFrame) -> DataFrame:
+    """(vertex, root) of the classes that link with a lesser one, through others or not."""
     spark = docs.sparkSession
     shingles = profiled.agg(F.sum("n"), F.sum(F.expr("n div 4 + 1"))).first()
     threshold = max(LEAST_COMMON, (shingles[0] or 0) // MOST_COMMON)
@@ -400,9 +446,14 @@ def links_of(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     classes = written(own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     repeats = own.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     pairs = found.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    near = written(verified(pairs, classes, docs, repeats), "links")
-    rest = verified(groups_to_open(entries, components(near), classes), classes, docs, repeats)
-    return near.unionByName(rest)
+    links = written(verified(bounded(pairs, classes), classes, docs, repeats), "links")
+    matrix = Matrix(entries, components(links), classes)
+    links = links.unionByName(written(verified(matrix.opened(matrix.meets, NEAREST), classes, docs, repeats), "links"))
+    roots = components(links)
+    unsettled = written(matrix.unsettled(roots), "unsettled")
+    if not unsettled.limit(1).count():
+        return roots
+    return components(links.unionByName(written(verified(matrix.opened(unsettled, None), classes, docs, repeats), "links")))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -411,8 +462,7 @@ def join(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiled = written(profile(docs.select("doc_id", "text")), "profile")
     # null ids link with nothing
-    links = links_of(docs.where("doc_id is not null"), profiled.where("doc_id is not null or tokens is not null"))
-    roots = components(links).withColumnRenamed("vertex", "cls")
+    roots = roots_of(docs.where("doc_id is not null"), profiled.where("doc_id is not null or tokens is not null")).withColumnRenamed("vertex", "cls")
     rows = profiled.where("tokens is null").select("doc_id", "cls", "n")
     classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
