@@ -44,7 +44,7 @@ WORDS = 5
 #: Links have 4 * intersection >= 3 * union.
 MOST_COMMON, LEAST_COMMON = 2**21, 24
 #: Bytes of text hashed at once, prefix shingles a bucket is made for, shingles a worker gathers, classes in a slice.
-CHUNK, BUCKET_SHINGLES, GATHER, SLICE = 1_000_000, 800_000, 2_000_000, 32
+CHUNK, BUCKET_SHINGLES, GATHER, SLICE = 1_000_000, 250_000, 1_000_000, 32
 #: Classes of a posting that all others in it are compared with.
 LEADERS = 6
 #: Members of a slice that a query is compared with at first; all others follow where that links nothing.
@@ -237,23 +237,25 @@ def postings(packed: DataFrame) -> DataFrame:
         lengths = np.diff(np.r_[starts, len(tokens)])
         several = np.repeat((lengths > 1) & (np.maximum.reduceat(sizes, starts) > 0), lengths)
         tokens, classes, sizes = tokens[several], classes[several], sizes[several]
-        pairs = np.empty((0, 2), np.int64)
+        a = b = np.empty(0, np.int64)
         if len(tokens):
             starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
             lengths = np.diff(np.r_[starts, len(tokens)])
             first, length = np.repeat(starts, lengths), np.repeat(lengths, lengths)
             place = np.arange(len(tokens)) - first
-            for k in range(LEADERS):
-                rows = np.flatnonzero(place > k)
-                lead = first[rows] + k
-                ok = possible(sizes[rows], sizes[lead])
-                rows, lead = rows[ok], lead[ok]
-                small = np.abs(sizes[rows]) < np.abs(sizes[lead])
-                a, b = np.where(small, classes[rows], classes[lead]), np.where(small, classes[lead], classes[rows])
-                pairs = np.unique(np.concatenate([pairs, np.stack([a, b], 1)]), axis=0)
+            rows = [np.flatnonzero(place > k) for k in range(LEADERS)]
+            lead = np.concatenate([first[r] + k for k, r in enumerate(rows)])
+            rows = np.concatenate(rows)
+            ok = possible(sizes[rows], sizes[lead])
+            rows, lead = rows[ok], lead[ok]
+            small = np.abs(sizes[rows]) < np.abs(sizes[lead])
+            a, b = np.where(small, classes[rows], classes[lead]), np.where(small, classes[lead], classes[rows])
+            order = np.lexsort([b, a])
+            a, b = a[order], b[order]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+            a, b = a[new], b[new]
             long = length > LEADERS + 1
             tokens, classes, sizes = tokens[long], classes[long], sizes[long]
-        a, b = pairs[:, 0], pairs[:, 1]
         row = [[tokens.tobytes()], [classes.tobytes()], [sizes.tobytes()], [a.tolist()], [b.tolist()]]
         types = [pa.binary()] * 3 + [pa.list_(pa.int64())] * 2
         return pa.table([pa.array(v, t) for v, t in zip(row, types)], names=["tokens", "classes", "sizes", "a", "b"])
