@@ -12,14 +12,14 @@ form a class and go on as one. Two classes link when their Jaccard similarity is
    by that falls into groups of similar documents; classes that nothing links are groups of their own.
    That settles every pair of a posting of up to LEADERS + 1 classes.
 4. matrix: each group, in slices of SLICE classes, keeps the union of its members' shingles as a
-   bit row. A query class and a group that meet in a posting are compared by bits: every bit of
-   the query that the group's row lacks is a shingle that no member has, so a query with more than
-   n // 4 of them can't link into the slice. Only qualifying slices are opened, member by member:
+   bit row; classes still unlinked are grouped by shingle and size for that. A query class and a group
+   that meet in a posting are compared by bits: every bit of the query that the group's row lacks is a
+   shingle that no member has, which bounds the overlap with any member. Only qualifying slices are opened, member by member:
    by size, by bits, and at last by their sets, the nearest by bits first and the rest where those
    don't link the query. Only longer postings get here.
 
 Copies are never expanded, pairs inside a found group are never made, and no list is cut. The
-frequent shingles are at most MOST_COMMON (their threshold rises with the corpus), so they can be
+frequent shingles are at most MOST_COMMON (their threshold rises until they are), so they can be
 broadcast. Hashes stand for shingles and sets (64 bits).
 
 Defined results: null and wordless texts have empty sets and link with nothing; with fewer than
@@ -42,11 +42,13 @@ from .components import components
 
 WORDS = 5
 #: Links have 4 * intersection >= 3 * union.
-MOST_COMMON, LEAST_COMMON = 2**21, 24
+MOST_COMMON, LEAST_COMMON = 2**21, 8
 #: Bytes of text hashed at once, prefix shingles a bucket is made for, shingles a worker gathers, classes in a slice.
 CHUNK, BUCKET_SHINGLES, GATHER, SLICE = 1_000_000, 250_000, 1_000_000, 32
 #: Classes of a posting that all others in it are compared with.
 LEADERS = 6
+#: Sizes of unlinked classes in a group differ by this much in their logarithms.
+SIZE_BAND = 0.1
 #: Members of a slice that a query is compared with at first; all others follow where that links nothing.
 NEAREST = 2
 U = np.uint64
@@ -126,11 +128,11 @@ def _raws(column: pa.Array) -> list[bytes]:
 
 
 def _common_of(gathered: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Shingles (of the lower half of the hash range) that occur three times or more, with their counts."""
+    """Shingles (of the lower half of the hash range) that occur twice or more, with their counts."""
     if not gathered:
         return [], []
     tokens, counts = np.unique(np.concatenate(gathered), return_counts=True)
-    some = counts >= 3
+    some = counts >= 2
     return tokens[some].view(np.int64).tolist(), counts[some].tolist()
 
 
@@ -354,70 +356,76 @@ def _entries(found: DataFrame) -> DataFrame:
 
 
 class Matrix:
-    """Groups of linked classes, in slices with their union rows, and the queries that meet them in postings."""
+    """Groups in slices with their union rows, and the queries that meet them in postings.
+
+    Groups are the linked ones (settled by one link) and, among classes that nothing linked yet, those
+    of one least shared shingle and about one size (where every pair counts)."""
 
     def __init__(self, entries: DataFrame, grouped: DataFrame, classes: DataFrame):
         sizes = grouped.groupBy("root").agg((F.count("*") + 1).alias("members"))
-        rooted = grouped.join(sizes, "root").select(F.col("vertex").alias("cls"), "root", "members")
-        rooted = written(rooted.unionByName(sizes.select(F.col("root").alias("cls"), "root", "members")), "groups")
-        place = [F.coalesce("root", "cls").alias("grp"), F.coalesce("members", F.lit(1)).alias("members")]
-        placed = entries.join(rooted, "cls", "left").select("token", "cls", "size", *place)
-        self.meets = written(self._meets(placed), "meets")
-        slices = classes.select("cls", "n", "bits").join(rooted, "cls", "left").select("cls", "n", "bits", *place)
-        slices = slices.withColumn("slice", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / SLICE)))
-        one = slices.where("members = 1").select(F.col("grp").alias("to"), "slice", F.col("n").alias("low"), F.col("n").alias("high"), F.col("bits").alias("row"))
-        one = one.select("*", F.array("to").alias("ids"), F.array("low").alias("sizes"), F.array("row").alias("rows"))
-        many = slices.where("members > 1").groupBy(F.col("grp").alias("to"), "slice").agg(F.collect_list(F.struct("cls", "n", "bits")).alias("m"))
-        many = many.select("to", "slice", F.col("m.cls").alias("ids"), F.col("m.n").alias("sizes"), F.col("m.bits").alias("rows"))
-        many = many.withColumns({"low": F.array_min("sizes"), "high": F.array_max("sizes")}).select("to", "slice", "low", "high", "ids", "sizes", "rows")
-        schema = "to long, slice long, low long, high long, row binary, ids array<long>, sizes array<long>, rows array<binary>"
-        self.rows = one.unionByName(many.mapInArrow(self._unions, schema))
+        rooted = grouped.join(sizes, "root").select(F.col("vertex").alias("cls"), F.col("root").alias("grp"), "members")
+        self.rooted = written(rooted.unionByName(sizes.select(F.col("root").alias("cls"), F.col("root").alias("grp"), "members")), "groups")
+        alone = entries.join(self.rooted, "cls", "left_anti").groupBy("cls").agg(F.min("token").alias("t"), F.max(F.abs("size")).alias("n"))
+        alone = alone.select("cls", F.xxhash64("t", F.floor(F.log("n") / SIZE_BAND)).alias("grp"))
+        counts = alone.groupBy("grp").agg(F.count("*").alias("members"))
+        alone = alone.join(counts, "grp").select("cls", "grp", "members", F.lit(False).alias("linked"))
+        groups = written(self.rooted.withColumn("linked", F.lit(True)).unionByName(alone), "groups")
+        self.meets = written(self._meets(entries.join(groups, "cls")), "meets")
+        slices = classes.select("cls", "n", "bits").join(groups, "cls").withColumn("slice", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / SLICE)))
+        slices = slices.groupBy(F.col("grp").alias("to"), "linked", "slice").agg(F.collect_list(F.struct("cls", "n", "bits")).alias("m"))
+        slices = slices.select("to", "linked", "slice", F.col("m.cls").alias("ids"), F.col("m.n").alias("sizes"), F.col("m.bits").alias("rows"))
+        schema = "to long, linked boolean, slice long, ids array<long>, sizes array<long>, rows array<binary>, row binary"
+        self.rows = slices.mapInArrow(self._unions, schema).withColumns({"low": F.array_min("sizes"), "high": F.array_max("sizes")})
         self.queries = classes.select("cls", "n", "bits")
-        self.rooted = rooted
 
     @staticmethod
     def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for rows in batch.column(6).to_pylist():
+            for rows in batch.column(5).to_pylist():
                 size = max(map(len, rows))
                 row = np.zeros(size, np.uint8)
                 for r in rows:
                     row |= np.tile(np.frombuffer(r, np.uint8), size // len(r))
                 out.append(row.tobytes())
-            columns = [*(batch.column(i) for i in range(4)), pa.array(out, pa.binary()), *(batch.column(i) for i in (4, 5, 6))]
-            yield pa.RecordBatch.from_arrays(columns, names=["to", "slice", "low", "high", "row", "ids", "sizes", "rows"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["to", "linked", "slice", "ids", "sizes", "rows", "row"])
 
     @staticmethod
     def _meets(placed: DataFrame) -> DataFrame:
-        """(cls, to): queries and the groups to ask. Of two groups in a posting the smaller one asks, so
-        that a large one is never unrolled against each stranger."""
-        at = placed.groupBy("token", "grp", "members").agg(F.min(F.abs("size")).alias("low"), F.max(F.abs("size")).alias("high"), F.max("size").alias("marked"))
-        other = at.toDF("token", "to", "to_members", "low", "high", "marked")
-        meets = placed.join(other, "token").where("to_members > members or (to_members = members and `to` < grp)")
-        meets = meets.where("4 * high >= 3 * abs(size) and 4 * abs(size) >= 3 * low and (size > 0 or marked > 0)")
-        return meets.select("cls", "to").distinct()
+        """(cls, to, own): queries and the groups to ask. Of two linked groups in a posting the smaller one
+        asks, unlinked classes ask linked groups, and of two unlinked groups one, or the same, is asked."""
+        at = placed.groupBy("token", "grp", "members", "linked").agg(
+            F.min(F.abs("size")).alias("low"), F.max(F.abs("size")).alias("high"), F.max("size").alias("marked"), F.count("*").alias("here")
+        )
+        other = at.toDF("token", "to", "to_members", "to_linked", "low", "high", "marked", "here")
+        meets = placed.join(other, "token").where(
+            "4 * high >= 3 * abs(size) and 4 * abs(size) >= 3 * low and (size > 0 or marked > 0) and ("
+            "(to_linked and (not linked or to_members > members or (to_members = members and `to` < grp)))"
+            " or (not to_linked and not linked and (`to` < grp or (`to` = grp and here > 1))))"
+        )
+        return meets.select("cls", "to", (F.col("to") == F.col("grp")).alias("own")).distinct()
 
     def opened(self, meets: DataFrame, most: int | None) -> DataFrame:
         """(a, b): queries with the members of the slices that qualify, as far as bits leave them; ``most``:
-        only so many nearest ones of each slice."""
+        only so many nearest ones of each slice of a linked group."""
         asked = meets.join(self.queries, "cls").join(self.rows, "to").where("4 * high >= 3 * n and 4 * n >= 3 * low")
-        names = ["cls", "n", "bits", "row", "ids", "sizes", "rows"]
+        names = ["cls", "n", "bits", "row", "ids", "sizes", "rows", "linked", "own", "low"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 a: list[int] = []
                 b: list[int] = []
-                for c, n, q, union, ids, sizes, rows in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                    if lacks(q, union) > n // 4:
+                for c, n, q, union, ids, sizes, rows, linked, own, low in zip(*(batch.column(i).to_pylist() for i in range(10))):
+                    # a member has at least ``low`` shingles, so that many of the query's must be in the union
+                    if n - lacks(q, union) < max(-(-3 * (n + low) // 7), -(-3 * n // 4)):
                         continue
                     near = []
                     for i, m, row in zip(ids, sizes, rows):
                         need = -(-3 * (n + m) // 7)
-                        x, y = lacks(q, row), lacks(row, q)
-                        if n - x >= need and m - y >= need:
-                            near.append((x + y, i))
-                    near = sorted(near)[:most]
+                        if own and i >= c or n - (x := lacks(q, row)) < need or m - (y := lacks(row, q)) < need:
+                            continue
+                        near.append((x + y, i))
+                    near = sorted(near)[: most if linked else None]
                     a += [c] * len(near)
                     b += [i for _, i in near]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -427,21 +435,27 @@ class Matrix:
     def unsettled(self, roots: DataFrame) -> DataFrame:
         """Those meets with groups of more than NEAREST members whose sides aren't connected by now."""
         ask = roots.toDF("cls", "__own")
-        far = self.meets.join(self.rooted.where(f"cls = root and members > {NEAREST}").select(F.col("cls").alias("to")), "to", "left_semi")
+        far = self.meets.join(self.rooted.where(f"cls = grp and members > {NEAREST}").select(F.col("cls").alias("to")), "to", "left_semi")
         far = far.join(ask, "cls", "left").join(roots.toDF("to", "__its"), "to", "left")
-        return far.where("coalesce(__own, cls) <> coalesce(__its, `to`)").select("cls", "to")
+        return far.where("coalesce(__own, cls) <> coalesce(__its, `to`)").select("cls", "to", "own")
 
 
 def roots_of(docs: DataFrame, profiled: DataFrame) -> DataFrame:
     """(vertex, root) of the classes that link with a lesser one, through others or not."""
     spark = docs.sparkSession
-    shingles = profiled.agg(F.sum("n"), F.sum(F.expr("n div 4 + 1"))).first()
-    threshold = max(LEAST_COMMON, (shingles[0] or 0) // MOST_COMMON)
+    shingles = profiled.agg(F.sum(F.expr("n div 4 + 1"))).first()
     counted = profiled.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
-    counted = counted.groupBy(F.col("x.tokens").alias("t")).agg(F.sum("x.counts").alias("c")).where(F.col("c") >= threshold)
-    common = np.sort(counted.select("t").toArrow().column("t").to_numpy().view(U))
+    counted = counted.groupBy(F.col("x.tokens").alias("t")).agg(F.sum("x.counts").alias("c")).where(F.col("c") >= LEAST_COMMON)
+    counted = written(counted, "counted")
+    threshold, left = 1 << 40, MOST_COMMON  # powers of two, so that the histogram is a few rows
+    for row in counted.groupBy(F.floor(F.log2("c")).alias("p")).count().orderBy(F.desc("p")).collect():
+        left -= row["count"]
+        if left < 0:
+            break
+        threshold = 1 << row["p"]
+    common = np.sort(counted.where(F.col("c") >= threshold).select("t").toArrow().column("t").to_numpy().view(U))
     shared = spark.sparkContext.broadcast(common.tobytes())
-    buckets = max(8, -(-(shingles[1] or 0) // BUCKET_SHINGLES))
+    buckets = max(8, -(-(shingles[0] or 0) // BUCKET_SHINGLES))
     found = written(postings(prefixes(docs, shared, buckets)), "postings")
     entries = _entries(found)
     own = profiled.where("cls is not null and doc_id is not null")
