@@ -1,9 +1,490 @@
-"""All queries of the mapping engine with their SQL."""
+"""All queries of the mapping engine, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import sequence as Q
+from ..operators import align as A
+from ..operators import evaluate as E
+from ..operators import pairing as P
+from ..operators import post, regions
+from ..operators import seeds as S
+from ..operators.kmers import kmers, spectrum
+from ..params import AlignParams, PairParams
+from ..sources.sam import parse_sam
+from . import views as V
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+ERROR = 0.08
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# --- scalar functions ---------------------------------------------------------------------------
+
+
+@query(
+    f"select doc_id as read_id, md5(reverse(translate(d, 'acgt', 'tgca'))) as revcomp_md5, length(d)::int as n from (select doc_id, {V.dna_sql('text')} as d from documents)"
+)
+def revcomp(spark, d):
+    rows = V.reads_dna(spark, d)
+    return rows.select("read_id", F.md5(Q.reverse_complement("seq").cast("binary")).alias("revcomp_md5"), F.length("seq").alias("n"))
+
+
+@query(f"select item_id as contig_id, translate({V.dna_sql('text')}, 'acgt', '0123') as codes from benchmark")
+def base_encode(spark, d):
+    return V.contigs_dna(spark, d).select("contig_id", Q.base_codes("seq").alias("codes"))
+
+
+@query(
+    f"""select doc_id as read_id, length(replace(replace(s, 'a', ''), 't', ''))::bigint as gc, length(s)::bigint as n,
+  coalesce((100 * length(replace(replace(s, 'a', ''), 't', ''))) // nullif(length(s), 0), 0)::bigint as pct
+  from (select doc_id, {V.dna_sql('text')} as s from documents)"""
+)
+def gc_profile(spark, d):
+    rows = V.reads_dna(spark, d).select("read_id", F.length(F.regexp_replace("seq", "[^gc]", "")).cast("long").alias("gc"), F.length("seq").cast("long").alias("n"))
+    return rows.withColumn("pct", F.expr("coalesce(100 * gc div nullif(n, 0), 0)"))
+
+
+_PARAMS = f"""select doc_id as read_id, n, e as max_edits, n + e * -5 as min_score,
+  (40 + case when n >= 1000 then floor(floor(n / 500) * 20 / (100 * {ERROR}::double)) else 0 end)::bigint as seed_length,
+  greatest(3, least(100, least(e, floor((n - 6) / 1)::bigint)))::bigint as band
+  from (select doc_id, length(text)::bigint as n, (floor(length(text) * {ERROR}::double) + 1)::bigint as e from documents)"""
+
+
+@query(_PARAMS)
+def seed_params(spark, d):
+    rows = V.reads_text(spark, d).select("read_id", F.length("seq").cast("long").alias("n"))
+    n, e = F.col("n"), F.col("max_edits")
+    return rows.withColumn("max_edits", Q.max_edits(n, ERROR)).select(
+        "read_id", "n", "max_edits", Q.min_score(n, e, 1, -4).alias("min_score"), Q.seed_length(n, e, ERROR).alias("seed_length"), Q.band(e, n, 1, -6, -1, 100).alias("band")
+    )
+
+
+@query(
+    f"""with {V.SAM} select distinct cigar, replace(collapsed, ' ', '') as collapsed from (select cigar,
+  case when l_suppkey % 7 > 0 then (l_suppkey % 7) || 'S' else '' end || (l_partkey % 40 + 10 + l_linenumber + l_partkey % 20 + 5) || 'M2I12M' || (l_orderkey % 4 + 1) || 'D30M'
+  || case when l_suppkey % 3 = 0 then '9S' else '' end as collapsed from sam)"""
+)
+def cigar_collapse(spark, d):
+    return V.sam_like(spark, d).select("cigar").distinct().withColumn("collapsed", Q.collapse_cigar("cigar"))
+
+
+@query(
+    f"""with {V.SAM} select qname, pos, cigar, pos + l_partkey % 40 + 10 + l_linenumber + l_partkey % 20 + 5 + 12 + l_orderkey % 4 + 1 + 30 - 1 as right_pos from sam"""
+)
+def cigar_span(spark, d):
+    rows = V.sam_like(spark, d)
+    return rows.select("qname", "pos", "cigar", (F.col("pos") + Q.reference_span("cigar") - 1).alias("right_pos"))
+
+
+@query(
+    f"""with {V.SAM} select qname, pos, cigar, pos - l_suppkey % 7 as left_pos, pos + l_partkey % 40 + 10 + l_linenumber + l_partkey % 20 + 5 + 12 + l_orderkey % 4 + 1 + 30 - 1
+  + case when l_suppkey % 3 = 0 then 9 else 0 end as right_pos from sam"""
+)
+def clip_positions(spark, d):
+    rows = V.sam_like(spark, d)
+    right = F.col("pos") + Q.reference_span("cigar") - 1 + Q.clip("cigar", True)
+    return rows.select("qname", "pos", "cigar", (F.col("pos") - Q.clip("cigar", False)).alias("left_pos"), right.alias("right_pos"))
+
+
+@query(f"with {V.SAM} select raw_name, case when length(raw_name) > 2 and raw_name[-2] = '/' then raw_name[:-3] else raw_name end as stripped, count(*) as n from sam group by all")
+def qname_strip(spark, d):
+    rows = V.sam_like(spark, d).select("raw_name", Q.strip_mate("raw_name").alias("stripped"))
+    return rows.groupBy("raw_name", "stripped").agg(F.count("*").alias("n"))
+
+
+@query(f"with {V.SIMULATED} select qname, contig, fwd_pos, rev_pos, fwd_edits, rev_edits, counter from origin")
+def wgsim_parse(spark, d):
+    rows = V.simulated(spark, d).select("qname", Q.simulated_origin("qname").alias("o"))
+    return rows.select("qname", "o.contig", "o.fwd_pos", "o.rev_pos", "o.fwd_edits", "o.rev_edits", "o.counter")
+
+
+# --- k-mer tables --------------------------------------------------------------------------------
+
+_KMERS = f"""with r as (select item_id, {V.dna_sql('text')} as s from benchmark),
+  k as (select substr(s, i, 10) as kmer from (select s, unnest(range(1, greatest(length(s) - 8, 1))) as i from r)),
+  c as (select list_sum([(strpos('acgt', kmer[11 - j]) - 1) * (4 ** (j - 1)) for j in range(1, 11)])::bigint as code, count(*) as n from k group by kmer)"""
+
+
+@query(_KMERS + " select code, n from c")
+def kmer_spectrum(spark, d):
+    return spectrum(kmers(V.contigs_dna(spark, d), "contig_id", "seq", 10, dna=True))
+
+
+@query(_KMERS + " select code, n from c order by n desc, code limit 20")
+def kmer_topk(spark, d):
+    """A top-20 report."""
+    return spectrum(kmers(V.contigs_dna(spark, d), "contig_id", "seq", 10, dna=True)).orderBy(F.desc("n"), "code").limit(20)
+
+
+# --- seeds ---------------------------------------------------------------------------------------
+
+
+@query(f"with {V.MEMS} select * from mems")
+def mem_seeds(spark, d):
+    return V.text_mems(spark, d)
+
+
+@query(f"with {V.SMEMS} select * from smems")
+def smem_seeds(spark, d):
+    return S.longest_only(V.text_mems(spark, d))
+
+
+@query(
+    f"""with {V.MEMS} select read_id, contig_id, qpos, rpos, len from (select *, max(qpos + len) over (partition by read_id order by qpos
+  range between unbounded preceding and current row) as top, count(*) over (partition by read_id, qpos + len) as n from mems) where qpos + len >= top or n <= 10"""
+)
+def psmem_seeds(spark, d):
+    return S.partly_longest(V.text_mems(spark, d), 10)
+
+
+_MAM = V.MEMS + ", mam as (select read_id, contig_id, qpos, rpos, len from (select *, count(*) over (partition by read_id, qpos, len) as n from mems) where n = 1)"
+
+
+@query(f"with {_MAM} select * from mam")
+def mam_seeds(spark, d):
+    return S.unique_in_reference(V.text_mems(spark, d))
+
+
+@query(f"with {_MAM} select read_id, contig_id, qpos, rpos, len from (select *, count(*) over (partition by read_id, contig_id, rpos, len) as n from mam) where n = 1")
+def mum_seeds(spark, d):
+    return S.unique_in_both(V.text_mems(spark, d))
+
+
+@query(
+    f"""with {V.MEMS}, t as (select *, case when len >= 100 then 0 when len >= 48 then 1 else 2 end as tier from mems)
+  select read_id, contig_id, qpos, rpos, len, tier from (select *, min(tier) over (partition by read_id) as best from t) where tier <= best"""
+)
+def seed_rescue_tier(spark, d):
+    return S.strictest_tier(V.text_mems(spark, d), [100, 48, 0])
+
+
+@query(f"with {V.MEMS} select read_id, contig_id, qpos, rpos, len from (select *, count(*) over (partition by read_id, qpos, len) as n from mems) where n <= 2")
+def seed_freq_cap(spark, d):
+    return S.frequency_cap(V.text_mems(spark, d), 2)
+
+
+_STRANDS = f"""
+  dna as (select doc_id, {V.dna_sql('text')} as s from documents),
+  st as (select doc_id as read_id, '+' as strand, s from dna union all select doc_id, '-', reverse(translate(s, 'acgt', 'tgca')) from dna),
+  q as (select read_id, strand, substr(s, c + 1, 275) as t, c from (select *, unnest(range(0, greatest(length(s) - 19, 0), 256)) as c from st)),
+  qk as (select read_id, strand, c + i as qpos, substr(t, i + 1, 20) as k from (select *, unnest(range(0, least(256, length(t) - 19))) as i from q)),
+  b as (select item_id, {V.dna_sql('text')} as s from benchmark),
+  rk as (select item_id as contig_id, i as rpos, substr(s, i + 1, 20) as k from (select *, unnest(range(0, greatest(length(s) - 19, 0))) as i from b)),
+  h as (select read_id, strand, contig_id, qpos, rpos from qk join rk using (k))"""
+
+
+@query(
+    f"""with {_STRANDS} select read_id, strand, contig_id, min(qpos)::int as qpos, min(rpos)::int as rpos, (count(*) + 19)::int as len
+  from (select *, rpos - qpos as d, qpos - row_number() over (partition by read_id, strand, contig_id, rpos - qpos order by qpos) as g from h)
+  group by read_id, strand, contig_id, d, g"""
+)
+def strand_seeds(spark, d):
+    """Exact matches of both strands of the folded documents."""
+    both = S.strands(V.reads_dna(spark, d)).withColumn("read_id", F.col("read_id") * 2 + (F.col("strand") == "-").cast("long"))
+    rows = S.mems(S.hits(both, V.contigs_dna(spark, d), 20, dna=True), 20)
+    return rows.select(F.expr("read_id div 2").alias("read_id"), F.when(F.col("read_id") % 2 == 1, "-").otherwise("+").alias("strand"), "contig_id", "qpos", "rpos", "len")
+
+
+# --- regions and ranking -------------------------------------------------------------------------
+
+_SESSIONS = (
+    V.SMEMS
+    + """, j as (select *, rpos - qpos as diagonal from smems),
+  g as (select *, case when diagonal - lag(diagonal) over w > 20 or lag(diagonal) over w is null then 1 else 0 end as jump from j window w as (partition by read_id, contig_id order by diagonal, qpos)),
+  ses as (select read_id, contig_id, qpos, rpos, len, sum(jump) over (partition by read_id, contig_id order by diagonal, qpos)::bigint as region from g),
+  tops as (select *, coalesce(max(qpos + len) over (partition by read_id, contig_id, region order by qpos, len desc rows between unbounded preceding and 1 preceding), 0) as top from ses),
+  reg as (select read_id, contig_id, region, sum(greatest(0, qpos + len - greatest(qpos, top)))::bigint as covered, min(rpos)::bigint as ref_begin, max(rpos + len)::bigint as ref_end,
+    min(qpos)::bigint as q_begin, max(qpos + len)::bigint as q_end, count(*) as seeds from tops group by all),
+  rk2 as (select *, row_number() over (partition by read_id order by covered desc, contig_id, ref_begin, region) as rank from reg)"""
+)
+
+
+def _regions(spark, d):
+    return regions.covered(regions.sessions(S.longest_only(V.text_mems(spark, d)), 20), ["read_id", "contig_id", "region"])
+
+
+@query(f"with {_SESSIONS} select * from ses")
+def region_sessions(spark, d):
+    return regions.sessions(S.longest_only(V.text_mems(spark, d)), 20)
+
+
+@query(f"with {_SESSIONS} select * from reg")
+def region_coverage(spark, d):
+    return _regions(spark, d)
+
+
+@query(f"with {_SESSIONS} select * from rk2")
+def region_rank(spark, d):
+    return regions.ranked(_regions(spark, d))
+
+
+@query(
+    f"""with {_SESSIONS} select r.* from rk2 r join rk2 b on b.read_id = r.read_id and b.rank = 1 where r.rank > 1 and (r.q_end <= b.q_begin or r.q_begin >= b.q_end)"""
+)
+def region_overlap_anti(spark, d):
+    return regions.apart_from_best(regions.ranked(_regions(spark, d)))
+
+
+@query(
+    f"""with {V.MEMS}, gr as (select read_id, qpos, len, qpos + len as e, count(*) as n from mems group by all),
+  nw as (select *, coalesce(e > lag(e) over (partition by read_id order by qpos, len desc), true) as fresh from gr),
+  bl as (select *, sum(fresh::int) over (partition by read_id order by qpos, len desc) as block from nw),
+  rn as (select *, sum(n) over (partition by read_id, block order by qpos, len desc) as running from bl)
+  select m.read_id, m.contig_id, m.qpos, m.rpos, m.len, (fresh and running <= 3) or (running <= 5 and m.len >= 50) as chosen from mems m join rn using (read_id, qpos, len)"""
+)
+def seed_triage(spark, d):
+    return regions.triage(V.text_mems(spark, d), 3, 5, 50).select("read_id", "contig_id", "qpos", "rpos", "len", "chosen")
+
+
+@query(f"with {_SESSIONS} select read_id, contig_id, covered, ref_begin, ref_end, q_begin, q_end from rk2 where rank = 1")
+def best_hit_topk(spark, d):
+    """The flagship: the reference passage that covers most of each document."""
+    return regions.ranked(_regions(spark, d)).where("rank = 1").select("read_id", "contig_id", "covered", "ref_begin", "ref_end", "q_begin", "q_end")
+
+
+@query(
+    f"""with {_SESSIONS}, f as (select *, max(covered) over (partition by read_id) as best, max(case when rank = 2 then covered end) over (partition by read_id) as second from rk2)
+  select read_id, contig_id, region, covered, rank, covered <> best as secondary, case when covered = best then case when best <= coalesce(second, -2000) then 0
+   else greatest(0, least(60, floor((best - coalesce(second, -2000)) * 250.0::double / best + 0.499::double))) end else 0 end::bigint as mapq from f"""
+)
+def mapq(spark, d):
+    rows = _regions(spark, d).withColumn("score", F.col("covered")).withColumn("length", F.lit(500))
+    rows = post.with_mapq(rows, "length", -4, ["contig_id", "ref_begin", "region"])
+    return rows.select("read_id", "contig_id", "region", "covered", "rank", "secondary", "mapq")
+
+
+@query(f"with {_SESSIONS} select d.doc_id as read_id, case when r.read_id is null then 4 else 0 end::bigint as flag, contig_id, covered from documents d left join rk2 r on r.read_id = d.doc_id and r.rank = 1")
+def unmapped_left(spark, d):
+    best = regions.ranked(_regions(spark, d)).where("rank = 1").select("read_id", F.lit(0).cast("long").alias("flag"), "contig_id", "covered")
+    return post.with_unmapped(V.reads_text(spark, d).select("read_id"), best)
+
+
+# --- SAM rows and evaluation ---------------------------------------------------------------------
+
+_LINE = "concat_ws(chr(9), raw_name, flag, rname, pos, mapq, cigar, rnext, 0, 0, '*', '*', 'NM:i:' || edits)"
+
+
+@query(f"with {V.SAM} select {_LINE} as line, count(*) as n from sam group by all")
+def sam_rows(spark, d):
+    rows = V.sam_like(spark, d).withColumns({"qname": F.col("raw_name"), "pnext": F.lit(0), "tlen": F.lit(0), "seq": F.lit("*"), "qual": F.lit("*"), "nm": F.col("edits")})
+    return post.sam_line(rows).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query(f"with {V.SAM} select qname, flag, rname, pos, mapq, edits, pos - l_suppkey % 7 as \"left\" from sam")
+def sam_parse(spark, d):
+    """SAM text read back."""
+    rows = V.sam_like(spark, d).withColumns({"qname": F.col("raw_name"), "pnext": F.lit(0), "tlen": F.lit(0), "seq": F.lit("*"), "qual": F.lit("*"), "nm": F.col("edits")})
+    return parse_sam(post.sam_line(rows), "line").select("qname", "flag", "rname", "pos", "mapq", "edits", "left")
+
+
+_LEVELS = """lv as (select *, unnest(['all', 'unique', 'mapq>=10', 'mapq>=30']) as level from (select *, count(*) over (partition by qname) as n from kept)),
+  picked as (select * from lv where level = 'all' or (level = 'unique' and n <= {most}) or (level = 'mapq>=10' and mapq >= 10) or (level = 'mapq>=30' and mapq >= 30))"""
+
+
+@query(
+    f"""with {V.SAM}, kept as (select * from sam where flag <> 4), {_LEVELS.format(most=1)}
+  select level, count_if(flag & 4 = 0)::bigint as mapped, count_if(rnext <> '*')::bigint as paired, count_if(flag & 2 <> 0)::bigint as paired_correct, count_if(flag & 256 <> 0)::bigint as secondary,
+  count(distinct qname) as reads, (100 * count(distinct qname) // (select count(distinct qname) from sam))::bigint as pct_reads from picked group by level"""
+)
+def eval_summary(spark, d):
+    return E.summary(V.sam_like(spark, d), [10, 30])
+
+
+@query(f"with {V.SAM}, c as (select qname, least(count(*), 101) as alignments from sam where flag <> 4 group by qname) select alignments, count(*) as reads from c group by alignments")
+def eval_histogram(spark, d):
+    return E.histogram(V.sam_like(spark, d))
+
+
+_TALLY = """rd as (select {by}, qname, max(verdict) as best, count_if(verdict = 2) as g, count_if(verdict = 1) as o, count(*) as n from v group by {by}, qname)
+  select {by}, sum(g)::bigint as correct, sum(o)::bigint as ok, sum(n - g - o)::bigint as incorrect, count_if(best = 2)::bigint as reads_correct, count_if(best = 1)::bigint as reads_ok,
+  count_if(best = 0)::bigint as reads_incorrect, (100 * sum(g) // sum(n))::bigint as pct_correct from rd group by {by}"""
+
+
+@query(
+    f"""with {V.SAM}, {V.TRUTH}, kept as (select * from sam where flag & 4 = 0), {_LEVELS.format(most=1)},
+  w as (select p.*, t.flag as tf, t.rname as tr, t.pos as tp, t.edits as te, unnest([50, 300])::int as "window" from picked p join truth t using (qname)),
+  v as (select *, case when rname = tr and flag & 16 = tf & 16 and abs(pos - tp) <= "window" then 2 when edits >= 0 and edits <= te then 1 else 0 end as verdict from w),
+  {_TALLY.format(by='"window", level')}"""
+)
+def eval_truth_windows(spark, d):
+    return E.against_truth(V.truth_like(spark, d), V.sam_like(spark, d), [50, 300], [10, 30])
+
+
+@query(
+    f"""with {V.SIMULATED}, kept as (select * from origin where flag & 4 = 0), {_LEVELS.format(most=2)}, w as (select *, unnest([20, 50])::int as "window" from picked),
+  v as (select *, case when rname = contig and (case when flag & 16 <> 0 then abs("right" - rev_pos) else abs("left" - fwd_pos) end) <= "window" then 2
+    when edits >= 0 and edits <= (case when flag & 16 <> 0 then rev_edits else fwd_edits end) then 1 else 0 end as verdict from w), {_TALLY.format(by='"window", level')}"""
+)
+def eval_wgsim(spark, d):
+    rows = V.simulated(spark, d).withColumn("o", Q.simulated_origin("qname")).select("*", "o.contig", "o.fwd_pos", "o.rev_pos", "o.fwd_edits", "o.rev_edits")
+    return E.against_names(rows, [20, 50], [10, 30])
+
+
+@query(f"with {V.SAM} select count(distinct qname) as sequences, count(distinct case when flag & 4 = 0 then qname end) as mapped, count_if(flag & 4 = 0)::bigint as alignments from sam")
+def run_stats(spark, d):
+    return E.run_statistics(V.sam_like(spark, d))
+
+
+# --- pairing -------------------------------------------------------------------------------------
+
+_MATES = f"{V.mates_sql('m1', 1)}, {V.mates_sql('m2', 2)}"
+_PAIRS = _MATES + """, pr as (select a.read_id, a.contig as a_contig, a.start as a_start, a."end" as a_end, a.reverse as a_reverse, a.score as a_score,
+   b.contig as b_contig, b.start as b_start, b."end" as b_end, b.reverse as b_reverse, b.score as b_score from m1 a join m2 b using (read_id)),
+  lr as (select *, case when not a_reverse then a_start else b_start end as ls, case when not a_reverse then b_end else a_end end as re, case when not a_reverse then b_start else a_start end as rs,
+   greatest(a_end, b_end) - least(a_start, b_start) + 1 as span from pr),
+  conc as (select * exclude (ls, re, rs, span) from lr where a_contig = b_contig and a_reverse <> b_reverse and re > ls and span between 0 and 1000 and ls <= rs)"""
+
+
+@query(f"with {_PAIRS} select * from conc")
+def pair_concordant(spark, d):
+    return P.concordant_pairs(V.mates(spark, d, 1), V.mates(spark, d, 2), PairParams())
+
+
+@query(
+    f"""with {_PAIRS}, x as (select * from m1 where read_id not in (select read_id from conc)), y as (select * from m2 where read_id not in (select read_id from conc)),
+  bx as (select * from (select *, max(score) over (partition by read_id) as m from x) where score = m), bz as (select * from (select *, max(score) over (partition by read_id) as m from y) where score = m)
+  select a.read_id, a.contig as a_contig, a.start as a_start, a."end" as a_end, a.reverse as a_reverse, a.score as a_score,
+   b.contig as b_contig, b.start as b_start, b."end" as b_end, b.reverse as b_reverse, b.score as b_score from bx a join bz b using (read_id)"""
+)
+def pair_discordant(spark, d):
+    one, two = V.mates(spark, d, 1), V.mates(spark, d, 2)
+    return P.discordant_pairs(one, two, P.concordant_pairs(one, two, PairParams()))
+
+
+_TLEN = """case when (case when a_reverse then a_end else a_start end) > (case when b_reverse then b_end else b_start end) then -1 else 1 end * (greatest(a_end, b_end) - least(a_start, b_start) + 1)"""
+
+
+@query(f"with {_PAIRS} select read_id, a_start, b_start, ({_TLEN})::bigint as tlen from pr")
+def tlen(spark, d):
+    rows = P.joined_mates(V.mates(spark, d, 1), V.mates(spark, d, 2))
+    c = F.col
+    return rows.select("read_id", "a_start", "b_start", Q.template_length(c("a_start"), c("a_end"), c("b_start"), c("b_end"), c("a_reverse"), c("b_reverse")).alias("tlen"))
+
+
+_WINDOWS = _MATES + """, wn as (select read_id, contig, start, "end", reverse, not reverse as wanted, score,
+  greatest(0, case when not reverse then greatest(start, start) else "end" - 1000 - 100 end)::bigint as low0, 0 as z from m1),
+  ww as (select read_id, contig, start, "end", not reverse as wanted, greatest(0, case when not reverse then greatest(start + 0 - 100, start) else "end" - 1000 end)::bigint as low,
+   (case when not reverse then start + 1000 else least("end" - 0 + 100, "end") end)::bigint as high, dense_rank() over (partition by read_id order by start, "end", contig, reverse, score) as window_id from m1)"""
+
+
+def _windows(spark, d):
+    one = V.mates(spark, d, 1)
+    c = F.col
+    wanted, low, high = P.mate_window(c("start"), c("end"), c("reverse"), F.lit(100), F.lit(False), PairParams())
+    place = F.dense_rank().over(Window.partitionBy("read_id").orderBy("start", "end", "contig", "reverse", "score")).cast("long")
+    return one.select("read_id", "contig", "start", "end", wanted.alias("wanted"), low.alias("low"), high.alias("high"), place.alias("window_id"))
+
+
+@query(f"with {_WINDOWS} select * from ww")
+def pair_window(spark, d):
+    return _windows(spark, d)
+
+
+@query(
+    f"""with {_WINDOWS} select read_id, window_id, contig, low, high, m_start, m_end, m_score from (select w.*, m.start as m_start, m."end" as m_end, m.score as m_score,
+  row_number() over (partition by w.read_id, w.window_id order by m.score desc, m.start, m."end") as n from (select distinct * exclude (start, "end") from ww) w join m2 m
+  on m.read_id = w.read_id and m.contig = w.contig and m.reverse = w.wanted and m.start >= w.low and m."end" <= w.high) where n = 1"""
+)
+def pair_best_in_window(spark, d):
+    rows = P.best_in_window(_windows(spark, d).drop("start", "end").distinct(), V.mates(spark, d, 2))
+    return rows.select("read_id", "window_id", "contig", "low", "high", "m_start", "m_end", "m_score")
+
+
+@query(
+    """with a as (select page_id as ordinal, url as name from pages), b as (select doc_id as ordinal, source as name from documents)
+  select ordinal, a.name as a_name, b.name as b_name from a join b using (ordinal)"""
+)
+def paired_zip(spark, d):
+    one = V.table(spark, d, "pages").select(F.col("page_id").alias("ordinal"), F.col("url").alias("name"))
+    two = V.table(spark, d, "documents").select(F.col("doc_id").alias("ordinal"), F.col("source").alias("name"))
+    return P.zipped(one, two)
+
+
+# --- kernels -------------------------------------------------------------------------------------
+
+
+def _neighbours(spark, d):
+    rows = V.contigs_dna(spark, d)
+    other = rows.select((F.col("contig_id") - 1).alias("contig_id"), F.col("seq").alias("b"))
+    return rows.select("contig_id", F.col("seq").alias("a")).join(other, "contig_id")
+
+
+@query(
+    f"""with b as (select item_id, {V.dna_sql('text')} as s from benchmark) select a.item_id as contig_id, levenshtein(a.s, b.s)::bigint as edits
+  from b a join b on b.item_id = a.item_id + 1"""
+)
+def cigar_trace(spark, d):
+    """Edit distances by the traceback kernel with unit costs."""
+    rows = A.trace_rows(_neighbours(spark, d), 0, -1, 0, 1)
+    gaps = Q.cigar_length("x0", "XID")
+    return rows.select("contig_id", gaps.alias("edits"))
+
+
+@query(
+    f"""with b as (select item_id, {V.dna_sql('text')} as s from benchmark) select a.item_id as contig_id, -levenshtein(a.s, b.s)::bigint as score
+  from b a join b on b.item_id = a.item_id + 1"""
+)
+def extend_scores(spark, d):
+    return A.trace_rows(_neighbours(spark, d), 0, -1, 0, 1).select("contig_id", "score")
+
+
+@query()
+def align_local(spark, d):
+    """Every document's best local placement on the folded passages, both strands."""
+    return A.align(V.reads_dna(spark, d), V.contigs_dna(spark, d), AlignParams(local=True, min_coverage=0.0))
+
+
+def _passages(spark, d):
+    """Every passage as a read, as it stands or reversed, with every 40th base changed."""
+    rows = V.contigs_dna(spark, d).select(F.col("contig_id").alias("read_id"), "seq")
+    changed = F.regexp_replace("seq", "(.{39})[acg]", "$1t")
+    return rows.withColumn("seq", F.when(F.col("read_id") % 2 == 0, changed).otherwise(Q.reverse_complement(changed)))
+
+
+@query()
+def align_single(spark, d):
+    return A.align(_passages(spark, d), V.contigs_dna(spark, d), AlignParams(error_rate=0.1), k=16)
+
+
+@query()
+def align_paired(spark, d):
+    """Both ends of every passage, mapped apart and paired."""
+    rows = V.contigs_dna(spark, d)
+    one = rows.select(F.col("contig_id").alias("read_id"), F.expr("left(seq, cast(floor(length(seq) / 3) as int))").alias("seq"))
+    two = rows.select(F.col("contig_id").alias("read_id"), Q.reverse_complement(F.expr("right(seq, cast(floor(length(seq) / 3) as int))")).alias("seq"))
+    found = []
+    for mates in (one, two):
+        x = A.alignments(mates.where(F.length("seq") >= 16), rows, AlignParams(error_rate=0.1), 16)
+        found.append(x.select("read_id", F.col("contig_id").alias("contig"), "start", (F.col("end") - 1).alias("end"), (F.col("strand") == "-").alias("reverse"), "score"))
+    return P.concordant_pairs(found[0], found[1], PairParams(max_insert=2000))
+
+
+@query()
+def window_rescue(spark, d):
+    """Local alignment of a third of every passage inside the whole."""
+    rows = V.contigs_dna(spark, d)
+    mates = rows.select(F.col("contig_id").alias("read_id"), F.expr("substring(seq, 20, cast(length(seq) / 3 as int))").alias("seq"), F.col("seq").alias("ref"))
+    return A.window_rescue(mates, AlignParams()).drop("seq", "ref")
