@@ -4,8 +4,8 @@ Each source's documents, in a pseudo-random order, are cut into blocks of equal
 shorter). One slot holds one block. Block i of a source with target weight w is released at slot
 floor(i / w) and due at slot ceil((i + 1) / w); earliest deadline first over released blocks keeps
 every source, at every slot, within less than one block of its target (all weights sum to 1, so
-every block meets its window). When a source has no blocks left, its weight goes and the same
-schedule starts anew over the remaining sources: no document is dropped or repeated.
+every block meets its window). When a slot stays idle because a source has no blocks left, its weight
+goes and the same schedule starts anew over the remaining sources: no document is dropped or repeated.
 
 Ranks inside a source come from counts of hash ranges plus a window inside each range, so a hot
 source never meets in one task. The number of blocks is bounded (MOST_BLOCKS and one for each
@@ -56,16 +56,19 @@ def schedule(blocks: dict[str, int], targets: dict[str, Fraction]) -> list[tuple
         waiting = [(0, s) for s in share]  # release slot, source
         ready: list[tuple[int, str]] = []  # deadline, source
         heapq.heapify(waiting)
-        while all(done[s] < blocks[s] for s in share):
+        while True:
             now = len(out) - start
             while waiting and waiting[0][0] <= now:
                 _, s = heapq.heappop(waiting)
                 i = done[s] - first[s]
                 heapq.heappush(ready, (math.ceil((i + 1) / share[s]), s))
+            if not ready:
+                break  # an idle slot: some source is used up
             _, s = heapq.heappop(ready)
             out.append((s, done[s]))
             done[s] += 1
-            heapq.heappush(waiting, (math.floor((done[s] - first[s]) / share[s]), s))
+            if done[s] < blocks[s]:
+                heapq.heappush(waiting, (math.floor((done[s] - first[s]) / share[s]), s))
     return out
 
 
