@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import plus, read, sized_join, small_batches, written
 
-MOST_FIT, MOST_LANGUAGES, LEAST_FIT = 2000, 64, 20
+MOST_FIT, MOST_LANGUAGES, LEAST_FIT = 2000, 64, 3
 BINS = 2**16
 TEXT_WEIGHT, SMOOTHING = 60.0, 20.0
 #: Trigrams that a text needs, and nats a trigram that it must fall below all fitted texts, to be no known language.
