@@ -37,7 +37,7 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Words and token pairs that a worker remembers, and characters of text that it handles at once.
-MOST_WORDS, MOST_PAIRS, CHUNK_CHARS = 300_000, 1_000_000, 1_000_000
+MOST_WORDS, MOST_PAIRS, CHUNK_CHARS = 200_000, 300_000, 500_000
 NEVER = np.iinfo(np.int64).max
 
 

@@ -46,7 +46,7 @@ def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "lef
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds the memory of Python workers by bytes, since rows may be very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def text_or_empty(col: str = "text") -> Column:
