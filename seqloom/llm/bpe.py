@@ -36,8 +36,9 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Words and token pairs that a worker remembers, and characters of text that it handles at once.
-MOST_WORDS, MOST_PAIRS, CHUNK_CHARS = 200_000, 300_000, 500_000
+#: Words that a worker keeps in each of two generations, token pairs that it remembers, and characters
+#: of text that it handles at once.
+MOST_WORDS, MOST_PAIRS, CHUNK_CHARS = 250_000, 300_000, 1_000_000
 NEVER = np.iinfo(np.int64).max
 
 
@@ -90,7 +91,8 @@ class Model:
         for i in added.values():
             sound[i] = False
         self.sound = sound.tolist()
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str | tuple, bytes] = {}
+        self.old: dict[str | tuple, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     @staticmethod
@@ -186,8 +188,6 @@ class Model:
         """Puts the encodings of new words, as little-endian 32-bit ids, into self.words."""
         if not words:
             return
-        if len(self.words) + len(words) > MOST_WORDS:
-            self.words.clear()
         raw = [w.encode() for w in words]
         proposals = [[self.id_of[r]] if r in self.id_of else self.propose(r) for r in raw]
         for w, r, p, good in zip(words, raw, proposals, self._compatible(proposals)):
@@ -214,15 +214,18 @@ class Model:
                 chars += len(texts[end])
                 end += 1
             split = [self._pieces(t) for t in texts[at:end]]
-            new = {w for words in split for w in words if w not in self.words}
-            special = {w for w in new if isinstance(w, tuple)}
-            if len(self.words) + len(new) > MOST_WORDS:
-                self.words.clear()
-                new = {w for words in split for w in words if isinstance(w, str)}
-                special = {w for words in split for w in words if isinstance(w, tuple)}
-            self.learn(sorted(new - special))
-            for w in special:
-                self.words[w] = np.array([self.added[w[0]]], "<u4").tobytes()
+            needed = set().union(*split)
+            if len(self.words) > MOST_WORDS:
+                self.old, self.words = self.words, {}
+            new = []
+            for w in needed.difference(self.words):
+                if (ids := self.old.get(w)) is not None:
+                    self.words[w] = ids
+                elif isinstance(w, tuple):
+                    self.words[w] = np.array([self.added[w[0]]], "<u4").tobytes()
+                else:
+                    new.append(w)
+            self.learn(new)
             get = self.words.__getitem__
             out += [b"".join(map(get, words)) for words in split]
             at = end
