@@ -3,19 +3,24 @@ at a time. Ranking and SAM rows are relational again."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import replace
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions.sequence import collapse_cigar
-from ..params import AlignParams
+from ..functions.sequence import cigar_length, collapse_cigar, reverse_complement
+from ..params import AlignParams, SeedType
 from . import kernels as K
 from . import seeds as S
-from .post import with_mapq, with_unmapped
+from .post import top_k, with_mapq, with_unmapped
+from .reference import with_window
 
-#: Bases of reference that a region may bring along for extension, beyond the read's own length.
 ALIGNED = "read_id long, strand string, contig_id long, start long, end long, q_start long, q_end long, score long, nm long, x0 string"
 
 
@@ -113,66 +118,208 @@ def merge_cigar(cigar: str) -> str:
     return "".join(f"{n}{op}" for n, op in out)
 
 
-def read_alignments(read: str, ref: str, regions: list[list[tuple[int, int, int]]], p: AlignParams) -> list[tuple]:
-    """Alignments of one strand of a read to one contig: regions by covered bases, anchors by length, and
-    the stop rules on failures, coverage and count."""
-    out: list[tuple] = []
-    edits, least = p.max_edits(len(read)), p.min_score(len(read))
-    if p.local:
-        least = int(len(read) * p.min_coverage) * p.match
-    failures = 0
-    for seeds in regions:
-        seeds = sorted(seeds)
-        if failures >= p.max_failures or len(out) >= max(p.report, p.max_alignments):
-            break
-        if len(seeds) == 1 and not p.local and seeds[0][2] < int(len(read) * p.min_coverage):
-            continue
-        failures += 1
+class Claims:
+    """Read intervals that seeds of earlier regions hold; a region is fresh if a seed of it reaches further."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: dict[int, int] = {}
+
+    def add(self, seeds: list[dict]) -> bool:
+        fresh = False
+        for q, end in ((s["qpos"], s["qpos"] + s["len"]) for s in seeds):
+            at = bisect_right(self.starts, q)
+            if not at or self.ends[self.starts[at - 1]] < end:
+                if q not in self.ends:
+                    self.starts.insert(at, q)
+                self.ends[q] = end
+                fresh = True
+        return fresh
+
+
+class Mate:
+    """One read of a kernel row: both strands, its limits and the alignments (Found) so far."""
+
+    def __init__(self, plus: str, minus: str, p: AlignParams) -> None:
+        self.text, self.p, self.length = {"+": plus, "-": minus}, p, len(plus)
+        self.edits, self.found = p.max_edits(len(plus)), []
+        self.least = int(self.length * p.min_coverage) * p.match if p.local else p.min_score(self.length)
+        self.coverage = 0 if p.local else int(self.length * p.min_coverage)
+
+    def least_with(self, edits: float) -> int:
+        """The score of a read with so many mismatches, never below 0."""
+        return max(0, int(self.length * self.p.match + (self.p.mismatch - self.p.match) * edits))
+
+    def extend(self, region: dict, least: int, coverage: int) -> int:
+        """Alignments out of one region's seeds, anchors by length; the best new score, or -1."""
+        read, shift, p, best = self.text[region["strand"]], region["low"], self.p, -1
+        seeds = sorted((s["qpos"], s["rpos"] - shift, s["len"]) for s in region["seeds"])
         used: set[int] = set()
         for anchor in sorted(range(len(seeds)), key=lambda i: (-seeds[i][2], i)):
             if anchor in used:
                 continue
             picked, skew, _ = chain(seeds, anchor, p.error_rate)
             used.update(picked)
-            if not p.local and (skew > edits or (len(picked) == 1 and seeds[anchor][2] < int(len(read) * p.min_coverage))):
+            if not p.local and (skew > self.edits or (len(picked) == 1 and seeds[anchor][2] < coverage)):
                 continue
-            got = extend_chain(read, ref, seeds, picked, p)
-            near = any(abs(got[3] - x[3]) < edits and x[0] >= got[0] for x in out)
-            if got[0] >= least and not near:
-                if p.reset_failures or all(got[0] > x[0] for x in out):
-                    failures = 0
-                out.append(got)
-    return out
+            score, q0, q1, r0, r1, cigar = extend_chain(read, region["window"], seeds, picked, p)
+            got = Found(region["strand"], region["contig_id"], r0 + shift, r1 + shift, q0, q1, score, cigar)
+            near = any((x.strand, x.contig) == (got.strand, got.contig) and abs(x.start - got.start) < self.edits and x.score >= score for x in self.found)
+            if score >= least and not near:
+                self.found.append(got)
+                best = max(best, score)
+        return best
+
+
+class Found(NamedTuple):
+    strand: str
+    contig: int
+    start: int
+    end: int
+    q_start: int
+    q_end: int
+    score: int
+    cigar: str
+
+
+def walk(mates: dict[int, Mate], regions: list[dict], p: AlignParams, least: dict[int, int], coverage: dict[int, int], limit: int, done: set[str] | None = None, then=None) -> None:
+    """Extends the regions of one or both mates in their order until there are ``limit`` alignments. A region
+    is passed over once too many of its strand failed in a row, unless it is fresh, or if it is a single
+    seed that covers too little. ``done`` holds keys of regions that were extended; ``then`` is called with
+    the mate's number and its new alignments."""
+    failures, claims, top = {"+": 0, "-": 0}, {"+": Claims(), "-": Claims()}, 0
+    for region in regions:
+        if sum(len(m.found) for m in mates.values()) >= limit:
+            break
+        strand, number = region["strand"], region["mate"]
+        fresh = claims[strand].add(region["seeds"])
+        if done is not None and region["key"] in done:
+            continue
+        if (failures[strand] >= p.max_failures and not fresh) or (len(region["seeds"]) == 1 and region["covered"] < coverage[number]):
+            continue
+        had = len(mates[number].found)
+        best = mates[number].extend(region, least[number], coverage[number])
+        if done is not None:
+            done.add(region["key"])
+        failures[strand] = 0 if best >= 0 and (p.reset_failures or best > top) else failures[strand] + 1
+        top = max(top, best)
+        if then is not None:
+            then(number, mates[number].found[had:])
 
 
-def alignments(reads: DataFrame, contigs: DataFrame, p: AlignParams, k: int, dna: bool = True) -> DataFrame:
-    """All alignments of reads (read_id, seq) to contigs (contig_id, seq). Seeds meet their read and contig
-    by joins on ids; a kernel row is one read strand on one contig."""
-    both = S.strands(reads.select("read_id", "seq"), "seq", p.forward, p.reverse) if dna else reads.select("read_id", "seq", F.lit("+").alias("strand"))
-    signed = both.withColumn("read_id", F.col("read_id") * 2 + (F.col("strand") == "-").cast("long"))
-    found = S.frequency_cap(S.longest_only(S.mems(S.hits(signed, contigs, k, dna, p.sparseness), k)), p.max_seeds)
-    by = found.groupBy("read_id", "contig_id").agg(F.collect_list(F.struct("qpos", "rpos", "len")).alias("seeds"))
-    rows = by.join(signed, "read_id").join(contigs.select("contig_id", F.col("seq").alias("ref")), "contig_id")
+#: Alignments that a second, laxer walk over a read's regions may give.
+RESCUED = 20
+
+
+def walk_alone(mates: dict[int, Mate], regions: list[dict], number: int, p: AlignParams) -> None:
+    """One mate's regions; if nothing came of them, once more with a fifth of the bases allowed to differ."""
+    own, mate = [r for r in regions if r["mate"] == number], mates[number]
+    walk({number: mate}, own, p, {number: mate.least}, {number: mate.coverage}, max(p.report, p.max_alignments))
+    if not mate.found and p.rescue and not p.local:
+        walk_again(mates, regions, number, p)
+
+
+def walk_again(mates: dict[int, Mate], regions: list[dict], number: int, p: AlignParams) -> None:
+    own, mate = [r for r in regions if r["mate"] == number], mates[number]
+    walk({number: mate}, own, p, {number: mate.least_with(0.2 * mate.length)}, {number: int(0.01 * mate.length)}, RESCUED)
+
+
+def seeds_of(signed: DataFrame, contigs: DataFrame, p: AlignParams, k: int, dna: bool) -> DataFrame:
+    """Seeds of the kind that ``p.seed_type`` names, those of too many places aside."""
+    found = S.mems(S.hits(signed, contigs, k, dna, p.sparseness), k)
+    kinds = {
+        SeedType.MEM: lambda x: x, SeedType.SMEM: S.longest_only, SeedType.PSMEM: lambda x: S.partly_longest(x, p.max_smems),
+        SeedType.MAM: S.unique_in_reference, SeedType.MUM: S.unique_in_both,
+    }
+    return S.frequency_cap(kinds[p.seed_type](found), p.max_seeds)
+
+
+_SEEDS = "array<struct<qpos:long,rpos:long,len:long>>"
+REGION = f"read_id long, mate long, strand string, contig_id long, key string, begin long, until long, ref_begin long, ref_end long, covered long, length long, seeds {_SEEDS}"
+
+
+def candidate_regions(mates: DataFrame, contigs: DataFrame, p: AlignParams, k: int, dna: bool = True) -> DataFrame:
+    """Regions of mates (read_id, mate 1 or 2, seq): REGION columns. ``begin`` and ``until`` (inclusive) are where
+    the read would lie by the region's longest seed; ref_begin and ref_end are bounds of the seeds."""
+    both = S.strands(mates.select("read_id", "mate", "seq"), "seq", p.forward, p.reverse) if dna else mates.select("read_id", "mate", "seq", F.lit("+").alias("strand"))
+    number = F.col("read_id") * 4 + (F.col("mate") - 1) * 2 + (F.col("strand") == "-").cast("long")
+    signed = both.select(number.alias("read_id"), "seq")
+    seed = F.struct(*(F.col(c).cast("long").alias(c) for c in ("qpos", "rpos", "len")))
+    by = seeds_of(signed, contigs, p, k, dna).groupBy("read_id", F.col("contig_id").cast("long").alias("contig_id")).agg(F.collect_list(seed).alias("seeds"))
+    rows = by.join(signed.select("read_id", F.length("seq").alias("length")), "read_id").select("read_id", "contig_id", "length", "seeds")
+    schema = StructType.fromDDL(REGION)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                mate, strand = row["read_id"] % 4 // 2 + 1, "+-"[row["read_id"] % 2]
+                seeds = [(s["qpos"], s["rpos"], s["len"]) for s in row["seeds"]]
+                for i, (covered, held) in enumerate(group_regions(seeds, p.max_edits(row["length"]), row["length"])):
+                    q, r, _ = max(held, key=lambda s: (s[2], -s[1], -s[0]))
+                    key = f"{mate}{strand}{row['contig_id']}/{i}"
+                    out.append((
+                        row["read_id"] // 4, mate, strand, row["contig_id"], key, r - q, r - q + row["length"] - 1, min(s[1] for s in held),
+                        max(s[1] + s[2] for s in held), covered, row["length"], [dict(zip(("qpos", "rpos", "len"), s)) for s in held],
+                    ))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema=to_arrow_schema(schema))
+
+    return rows.mapInArrow(run, schema)
+
+
+def placed_regions(regions: DataFrame, contigs: DataFrame, p: AlignParams, longest: int) -> DataFrame:
+    """One row per read: ``regions`` in order (most covered bases first), each with the bases that its
+    extension may need. ``longest`` is the length of the longest read."""
+    slack = F.floor(F.col("length") * p.error_rate).cast("long") + 3
+    reach = F.col("length") + slack
+    rows = regions.withColumn("low", F.greatest(F.col("ref_begin") - reach, F.lit(0))).withColumn("high", F.col("ref_end") + reach)
+    rows = with_window(rows, contigs, 4 * (longest + p.max_edits(longest) + 3))
+    fields = ["mate", "strand", "contig_id", "key", "begin", "until", "covered", "low", "window", "seeds"]
+    one = F.struct((-F.col("covered")).alias("order"), *(F.col(c) for c in ("mate", "contig_id", "ref_begin", "strand", "key")), F.struct(*fields).alias("region"))
+    return rows.groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["region"]).alias("regions"))
+
+
+def both_strands(mates: DataFrame) -> DataFrame:
+    """read_id, plus1, minus1, plus2, minus2 of mates (read_id, mate, seq)."""
+    one = lambda n, x: F.max(F.when(F.col("mate") == n, x))
+    return mates.groupBy("read_id").agg(*(one(n, x).alias(f"{name}{n}") for n in (1, 2) for name, x in (("plus", F.col("seq")), ("minus", reverse_complement("seq")))))
+
+
+def extended(rows: DataFrame, p: AlignParams, strategy) -> DataFrame:
+    """Alignments of rows (read_id, plus and minus of both mates, regions, ...): ``mate`` and the ALIGNED columns.
+    ``strategy(mates, regions, row)`` fills the mates' alignments."""
+    schema = StructType.fromDDL(f"mate long, {ALIGNED}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in ALIGNED.split(", ")]
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                seeds = sorted((s["qpos"], s["rpos"], s["len"]) for s in row["seeds"])
-                regions = group_regions(seeds, p.max_edits(len(row["seq"])), len(row["seq"]))
-                for score, q0, q1, r0, r1, cigar in read_alignments(row["seq"], row["ref"], regions, p):
-                    clips = (f"{q0}S" if q0 else "") + cigar + (f"{len(row['seq']) - q1}S" if q1 < len(row["seq"]) else "")
-                    out.append((row["read_id"] // 2, row["strand"], row["contig_id"], r0, r1, q0, q1, score, K.edits(cigar), clips))
-            columns = list(zip(*out)) or [()] * len(names)
-            types = [pa.int64(), pa.string(), *[pa.int64()] * 7, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                mates = {n: Mate(row[f"plus{n}"] or "", row[f"minus{n}"] or "", p) for n in (1, 2)}
+                strategy(mates, row["regions"], row)
+                for n, mate in mates.items():
+                    for x in mate.found:
+                        clips = (f"{x.q_start}S" if x.q_start else "") + x.cigar + (f"{mate.length - x.q_end}S" if x.q_end < mate.length else "")
+                        out.append((n, row["read_id"], x.strand, x.contig, x.start, x.end, x.q_start, x.q_end, x.score, K.edits(x.cigar), clips))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema=to_arrow_schema(schema))
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.select("read_id", "strand", "contig_id", "seq", "ref", "seeds").mapInArrow(run, ALIGNED)
 
+def longest_read(reads: DataFrame) -> int:
+    return reads.select(F.max(F.length("seq")).alias("n")).first()["n"] or 0
 
-def group_regions(seeds: list[tuple[int, int, int]], edits: int, length: int) -> list[list[tuple[int, int, int]]]:
-    """Seeds on the reference that one placement of the read could hold, most covered bases first."""
+
+def alignments(reads: DataFrame, contigs: DataFrame, p: AlignParams, k: int, dna: bool = True) -> DataFrame:
+    """All alignments of reads (read_id, seq) to contigs (contig_id, seq). A kernel row is one read with its
+    regions on both strands of all contigs, each with the piece of reference around it."""
+    mates = reads.select(F.col("read_id").cast("long").alias("read_id"), F.lit(1).alias("mate"), "seq")
+    regions = candidate_regions(mates, contigs, p, k, dna)
+    rows = placed_regions(regions, contigs, p, longest_read(reads)).join(both_strands(mates), "read_id")
+    return extended(rows, p, lambda mates, regions, _: walk_alone(mates, regions, 1, p)).drop("mate")
+
+
+def group_regions(seeds: list[tuple[int, int, int]], edits: int, length: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Seeds on the reference that one placement of the read could hold, with the read bases that they cover."""
     out: list[list[tuple[int, int, int]]] = []
     end = None
     for s in sorted(seeds, key=lambda x: (x[1], x[0])):
@@ -188,13 +335,34 @@ def group_regions(seeds: list[tuple[int, int, int]], edits: int, length: int) ->
             top = max(top, q + n)
         return total
 
-    return sorted(out, key=lambda g: (-covered(g), g[0][1]))
+    return [(covered(g), g) for g in out]
+
+
+def full_dp(rows: DataFrame, reads: DataFrame, contigs: DataFrame, p: AlignParams) -> DataFrame:
+    """The max(4, report) best alignments of each read, aligned anew from end to end of their stretch: a new
+    score, nm and x0 in place of those of the chain."""
+    best = top_k(rows, max(4, p.report), ["contig_id", "start", "strand"]).drop("rank")
+    both = S.strands(reads.select(F.col("read_id").cast("long").alias("read_id"), "seq"))
+    longest = longest_read(reads)
+    cut = with_window(best.withColumn("low", F.col("start")).withColumn("high", F.col("end")), contigs, 4 * (longest + p.max_edits(longest) + 3))
+    whole = cut.join(both, ["read_id", "strand"])
+    piece = whole.withColumn("a", F.expr("substring(seq, cast(q_start as int) + 1, cast(q_end - q_start as int))")).withColumn("b", F.col("window"))
+    left = piece.select("read_id", "strand", "contig_id", "start", "end", "q_start", "q_end", (F.length("seq") - F.col("q_end")).alias("__rest"), "a", "b")
+    done = trace_rows(left, p.match, p.mismatch, -p.gap_open, -p.gap_extend)
+    clips = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise(F.lit(""))
+    return done.select(
+        "read_id", "strand", "contig_id", "start", "end", "q_start", "q_end", "score", cigar_length("x0", "XID").cast("long").alias("nm"),
+        F.concat(clips(F.col("q_start")), "x0", clips(F.col("__rest"))).alias("x0"),
+    )
 
 
 def align(reads: DataFrame, contigs: DataFrame, p: AlignParams, k: int = 20, dna: bool = True) -> DataFrame:
     """SAM-like rows of the best ``p.report`` alignments of each read, and one unmapped row where none is."""
     order = ["contig_id", "start", "strand"]
-    rows = alignments(reads, contigs, p, k, dna).join(reads.select("read_id", F.length("seq").alias("__l")), "read_id")
+    found = alignments(reads, contigs, p, k, dna)
+    if p.full_dp:
+        found = full_dp(found, reads, contigs, p)
+    rows = found.join(reads.select("read_id", F.length("seq").alias("__l")), "read_id")
     rows = with_mapq(rows, "__l", p.mismatch, order).where(F.col("rank") <= p.report)
     flag = F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(F.col("secondary"), 256).otherwise(0)
     rows = rows.select(
@@ -205,8 +373,6 @@ def align(reads: DataFrame, contigs: DataFrame, p: AlignParams, k: int = 20, dna
 
 def rescued(reads: DataFrame, contigs: DataFrame, p: AlignParams, k: int = 20, dna: bool = True) -> DataFrame:
     """``align``, and once more with twice the error rate for the reads that stayed unmapped."""
-    from dataclasses import replace
-
     first = align(reads, contigs, p, k, dna)
     missed = reads.join(first.where("flag = 4").select("read_id"), "read_id", "left_semi")
     return first.where("flag <> 4").unionByName(align(missed, contigs, replace(p, error_rate=2 * p.error_rate), k, dna))
@@ -214,8 +380,6 @@ def rescued(reads: DataFrame, contigs: DataFrame, p: AlignParams, k: int = 20, d
 
 def window_rescue(windows: DataFrame, p: AlignParams) -> DataFrame:
     """Local alignment of each mate (seq) inside its window (ref): adds score, q_start, q_end, r_start, r_end, x0."""
-    from pyspark.sql.types import StructType
-
     added = "score long, q_start long, q_end long, r_start long, r_end long, x0 string"
     schema = StructType([*windows.schema.fields, *StructType.fromDDL(added).fields])
 
@@ -231,8 +395,6 @@ def window_rescue(windows: DataFrame, p: AlignParams) -> DataFrame:
 
 def trace_rows(pairs: DataFrame, match=1, mismatch=-4, opening=6, extend=1) -> DataFrame:
     """Global alignment of columns a and b: adds score and x0."""
-    from pyspark.sql.types import StructType
-
     schema = StructType([*pairs.schema.fields, *StructType.fromDDL("score long, x0 string").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
