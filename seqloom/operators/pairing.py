@@ -76,3 +76,26 @@ def zipped(mates1: DataFrame, mates2: DataFrame) -> DataFrame:
     return mates1.toDF(*(f"a_{c}" if c != "ordinal" else c for c in mates1.columns)).join(
         mates2.toDF(*(f"b_{c}" if c != "ordinal" else c for c in mates2.columns)), "ordinal"
     )
+
+
+def concordant_regions(p: PairParams) -> Column:
+    """Whether two regions (a_ and b_ contig, begin, until (inclusive), reverse and edits) may hold a concordant
+    pair: the rules of ``concordant`` with the mates' edits as slack."""
+    c = F.col
+    slack = c("a_edits") + c("b_edits")
+    strands = c("a_reverse") == c("b_reverse") if p.orientation.value == "ff" else c("a_reverse") != c("b_reverse")
+    a_left = c("a_reverse") if p.orientation.value == "rf" else ~c("a_reverse")
+    left, right = F.when(a_left, c("a_begin")).otherwise(c("b_begin")), F.when(a_left, c("b_begin")).otherwise(c("a_begin"))
+    right_until = F.when(a_left, c("b_until")).otherwise(c("a_until"))
+    span = F.greatest("a_until", "b_until") - F.least("a_begin", "b_begin") + 1
+    in_b = (c("a_begin") - slack >= c("b_begin")) & (c("a_until") + slack <= c("b_until"))
+    in_a = (c("b_begin") - slack >= c("a_begin")) & (c("b_until") + slack <= c("a_until"))
+    inside = in_a | in_b
+    overlap = inside | ((c("b_until") - slack >= c("a_begin")) & (c("b_begin") + slack <= c("a_until")))
+    ok = (c("a_contig") == c("b_contig")) & strands & (right_until > left) & (span + slack >= p.min_insert) & (span - slack <= p.max_insert)
+    if not p.contain:
+        ok = ok & ~inside
+    if not p.overlap:
+        ok = ok & ~overlap
+    dovetail = left > right + slack
+    return ok & (~dovetail | (overlap if p.dovetail else F.lit(False)))

@@ -14,6 +14,7 @@ from ..operators import pairing as P
 from ..operators import post, regions
 from ..operators import seeds as S
 from ..operators.kmers import kmers, spectrum
+from ..operators.paired import align_pairs
 from ..params import AlignParams, PairParams
 from ..sources.sam import parse_sam
 from . import views as V
@@ -384,6 +385,18 @@ def tlen(spark, d):
     return rows.select("read_id", "a_start", "b_start", Q.template_length(c("a_start"), c("a_end"), c("b_start"), c("b_end"), c("a_reverse"), c("b_reverse")).alias("tlen"))
 
 
+@query(
+    f"""with {_PAIRS}, sl as (select *, span, (1 + read_id % 5) + (1 + read_id % 7) as slack from lr)
+  select read_id, a_contig, a_start as a_begin, a_end as a_until, b_start as b_begin, b_end as b_until from sl
+  where a_contig = b_contig and a_reverse <> b_reverse and re > ls and span + slack >= 100 and span - slack <= 600 and ls <= rs + slack"""
+)
+def pair_regions(spark, d):
+    """Regions of both mates that may hold a concordant pair, errors allowed for."""
+    side = lambda n, m: V.mates(spark, d, n).withColumnsRenamed({"start": "begin", "end": "until"}).withColumn("edits", 1 + F.col("read_id") % m)
+    rows = P.joined_mates(side(1, 5), side(2, 7)).where(P.concordant_regions(PairParams(100, 600)))
+    return rows.select("read_id", "a_contig", "a_begin", "a_until", "b_begin", "b_until")
+
+
 _WINDOWS = _MATES + """, wn as (select read_id, contig, start, "end", reverse, not reverse as wanted, score,
   greatest(0, case when not reverse then greatest(start, start) else "end" - 1000 - 100 end)::bigint as low0, 0 as z from m1),
   ww as (select read_id, contig, start, "end", not reverse as wanted, greatest(0, case when not reverse then greatest(start + 0 - 100, start) else "end" - 1000 end)::bigint as low,
@@ -469,17 +482,21 @@ def align_single(spark, d):
     return A.align(_passages(spark, d), V.contigs_dna(spark, d), AlignParams(error_rate=0.1), k=16)
 
 
-@query()
-def align_paired(spark, d):
-    """Both ends of every passage, mapped apart and paired."""
+def _ends(spark, d):
+    """Both ends of every passage as mates, and the passages."""
     rows = V.contigs_dna(spark, d)
-    one = rows.select(F.col("contig_id").alias("read_id"), F.expr("left(seq, cast(floor(length(seq) / 3) as int))").alias("seq"))
-    two = rows.select(F.col("contig_id").alias("read_id"), Q.reverse_complement(F.expr("right(seq, cast(floor(length(seq) / 3) as int))")).alias("seq"))
-    found = []
-    for mates in (one, two):
-        x = A.alignments(mates.where(F.length("seq") >= 16), rows, AlignParams(error_rate=0.1), 16)
-        found.append(x.select("read_id", F.col("contig_id").alias("contig"), "start", (F.col("end") - 1).alias("end"), (F.col("strand") == "-").alias("reverse"), "score"))
-    return P.concordant_pairs(found[0], found[1], PairParams(max_insert=2000))
+    third = "cast(floor(length(seq) / 3) as int)"
+    one = rows.select(F.col("contig_id").alias("read_id"), F.expr(f"left(seq, {third})").alias("seq"))
+    two = rows.select(F.col("contig_id").alias("read_id"), Q.reverse_complement(F.expr(f"right(seq, {third})")).alias("seq"))
+    return one, two, rows
+
+
+def _paired(mode: int) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: align_pairs(*_ends(spark, d), AlignParams(error_rate=0.1), PairParams(max_insert=2000, mode=mode), 16)
+
+
+for _mode in range(1, 7):
+    _QUERIES["align_paired" if _mode == 1 else f"align_paired_mode{_mode}"] = _paired(_mode)
 
 
 @query()

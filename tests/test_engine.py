@@ -12,7 +12,9 @@ from seqloom.functions import sequence as Q
 from seqloom.operators import align as A
 from seqloom.operators import evaluate as E
 from seqloom.operators import kernels as K
+from seqloom.operators import paired as PA
 from seqloom.operators import pairing as P
+from seqloom.operators import reference as R
 from seqloom.operators import regions
 from seqloom.operators import seeds as S
 from seqloom.operators.kmers import codes, kmers, windows
@@ -260,3 +262,106 @@ def test_parameters():
     assert comma_list("1,2", 0, 9) == (1, 2)
     with pytest.raises(ValueError):
         comma_list("77", 0, 60)
+
+
+def _fragments(rng, contigs, n, read=120):
+    """(id, mate 1, mate 2, contig, start, start of mate 2) of fr pairs, a few bases changed."""
+    flip = lambda s: s[::-1].translate(str.maketrans("acgt", "tgca"))
+    noisy = lambda s: "".join(rng.choice("acgt") if rng.random() < 0.02 else x for x in s)
+    out = []
+    for i in range(n):
+        c, size = rng.randrange(len(contigs)), rng.randrange(300, 700)
+        at = rng.randrange(len(contigs[c]) - size)
+        left, right = noisy(contigs[c][at : at + read]), flip(noisy(contigs[c][at + size - read : at + size]))
+        out.append((i, left, right, c, at, at + size - read))
+    return out
+
+
+@pytest.fixture(scope="module")
+def fragments(spark):
+    rng = random.Random(3)
+    contigs = ["".join(rng.choice("acgt") for _ in range(6000)) for _ in range(2)]
+    # a second copy of a stretch, so that single mates are ambiguous and pairs are not
+    contigs[1] = contigs[1][:3000] + contigs[0][1000:1400] + contigs[1][3400:]
+    frags = _fragments(rng, contigs, 30)
+    junk = "".join(rng.choice("acgt") for _ in range(120))
+    rows = [(i, a, b) for i, a, b, *_ in frags] + [(100, frags[0][1], junk), (101, junk, ""), (102, None, None)]
+    one = spark.createDataFrame([(i, a) for i, a, _ in rows], "read_id long, seq string")
+    two = spark.createDataFrame([(i, b) for i, _, b in rows], "read_id long, seq string")
+    return frags, one, two, spark.createDataFrame(list(enumerate(contigs)), "contig_id long, seq string")
+
+
+@pytest.mark.parametrize("mode", [1, 2, 3, 4, 5, 6, 9])
+def test_paired_modes(fragments, mode):
+    frags, one, two, refs = fragments
+    got = PA.align_pairs(one, two, refs, AlignParams(), PairParams(mode=mode), 16).collect()
+    rows = {(r.read_id, r.mate): r for r in got}
+    assert len(rows) == len(got) == 66
+    right = sum(
+        rows[i, 1].contig_id == rows[i, 2].contig_id == c and abs(rows[i, 1].pos - 1 - a) <= 9 and abs(rows[i, 2].pos - 1 - b) <= 9 and rows[i, 1].flag & 255 == 99 and rows[i, 2].flag & 255 == 147
+        for i, _, _, c, a, b in frags
+    )
+    assert right >= 28
+    assert all(rows[i, 1].tlen == -rows[i, 2].tlen and rows[i, 1].mate_pos == rows[i, 2].pos for i, *_ in frags if rows[i, 1].flag & 2)
+    assert (rows[100, 1].flag & ~16, rows[100, 2].flag, rows[101, 1].flag, rows[101, 2].flag, rows[102, 2].flag) == (73, 133, 77, 141, 141)
+    assert rows[101, 1].contig_id is None and rows[101, 1].cigar is None
+
+
+def test_unmixed_and_window_rescue(fragments, spark):
+    frags, one, two, refs = fragments
+    rows = {(r.read_id, r.mate): r for r in PA.align_pairs(one, two, refs, AlignParams(), PairParams(mixed=False), 16).collect()}
+    assert rows[100, 1].flag == 77
+    # mate 2 has no exact match of 16 bases: only the search of its window finds it
+    broken = lambda s: "".join(("c" if x != "c" else "g") if j % 14 == 13 else x for j, x in enumerate(s))
+    bad = spark.createDataFrame([(i, broken(b)) for i, _, b, *_ in frags], "read_id long, seq string")
+    p = AlignParams(error_rate=0.12)
+    plain = PA.align_pairs(one, bad, refs, p, PairParams(), 16).where("flag & 2 = 2").count()
+    for pair in (PairParams(mode=2), PairParams(rescue=True)):
+        found = PA.align_pairs(one, bad, refs, p, pair, 16).where("flag & 2 = 2").collect()
+        assert len(found) >= 50 > plain
+        assert sum(r.mate == 2 and abs(r.pos - 1 - frags[r.read_id][5]) <= 12 for r in found) >= 25
+
+
+@pytest.mark.parametrize("p", [PairParams(0, 60), PairParams(10, 60, Orientation.RF, dovetail=True), PairParams(0, 50, Orientation.FF), PairParams(0, 60, overlap=False)])
+def test_mate_place_is_the_column(spark, p):
+    rng = random.Random(8)
+    rows = [(i, s := rng.randrange(200), s + rng.randrange(1, 40), rng.random() < 0.5, rng.randrange(60), rng.random() < 0.5) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, s long, e long, r boolean, n long, second boolean")
+    wanted, low, high = P.mate_window(*(F.col(c) for c in "sern"), F.col("second"), p)
+    got = {r.i: (r.w, r.lo, r.hi) for r in df.select("i", wanted.alias("w"), low.alias("lo"), high.alias("hi")).collect()}
+    assert got == {i: PA.mate_place(s, e, r, n, second, p) for i, s, e, r, n, second in rows}
+
+
+def test_regions_without_slack_follow_the_pair_rules(spark):
+    rng = random.Random(5)
+    make = lambda: (rng.randrange(2), s := rng.randrange(50), s + rng.randrange(1, 30), rng.random() < 0.5)
+    pairs = [(i, *make(), *make()) for i in range(400)]
+    cols = ", ".join(f"{x}_contig long, {x}_begin long, {x}_until long, {x}_reverse boolean" for x in "ab")
+    df = spark.createDataFrame(pairs, f"i long, {cols}").withColumn("a_edits", F.lit(0)).withColumn("b_edits", F.lit(0))
+    for p in (PairParams(0, 60), PairParams(5, 60, Orientation.RF, dovetail=True), PairParams(0, 50, Orientation.FF, contain=False)):
+        assert {r.i for r in df.where(P.concordant_regions(p)).collect()} == {x[0] for x in pairs if brute_concordant(x[1:5], x[5:9], p)}
+    wide = df.withColumn("a_edits", F.lit(3))
+    assert df.where(P.concordant_regions(PairParams(0, 40))).count() <= wide.where(P.concordant_regions(PairParams(0, 40, dovetail=True))).count()
+
+
+def test_chunks_hold_every_window(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("acgt") for _ in range(1000))
+    refs = spark.createDataFrame([(0, text), (1, ""), (2, None)], "contig_id long, seq string")
+    got = R.chunks(refs, 64, 10).collect()
+    assert {(r.contig_id, r.chunk): r.piece for r in got} == {(0, i): text[64 * i : 64 * i + 74] for i in range(16)}
+    rows = spark.createDataFrame([(0, -5, 20), (0, 990, 1040), (0, 500, 500), (1, 0, 5)], "contig_id long, low long, high long")
+    assert sorted(r.window for r in R.with_window(rows, refs, 100).collect()) == sorted([text[:20], text[990:], ""])
+
+
+def test_claims_full_dp_and_seed_kinds(spark, fragments):
+    c = A.Claims()
+    seed = lambda q, n: [{"qpos": q, "len": n}]
+    assert [c.add(seed(*x)) for x in ((5, 10), (6, 5), (5, 12), (5, 12), (0, 3), (30, 2))] == [True, False, True, False, True, True]
+    frags, one, _, refs = fragments
+    plain = {r.read_id: r for r in A.align(one, refs, AlignParams(), 16).collect()}
+    full = {r.read_id: r for r in A.align(one, refs, AlignParams(full_dp=True), 16).collect()}
+    assert plain.keys() == full.keys() and all(full[i].score >= plain[i].score for i, *_ in frags)
+    assert all(full[i].contig_id in (0, 1) for i, *_ in frags)
+    counts = {t: A.align(one, refs, AlignParams(seed_type=t), 16).where("flag <> 4").count() for t in SeedType}
+    assert counts[SeedType.MEM] >= 30 and counts[SeedType.SMEM] >= 30 and counts[SeedType.PSMEM] >= 30 and counts[SeedType.MUM] <= counts[SeedType.MAM] <= 31
