@@ -8,7 +8,8 @@ III frames, and gives exact durations (samples over sample rate) and the offset
 ``store`` lays a payload down as such a stream: an ID3v2.3 tag with the payload's length, an Info
 frame with frame count, byte count and seek table, then one protected Layer III frame (224 kbit/s,
 48 kHz, mono data in a stereo frame) for each 576 payload bytes, which stand in the frame's main
-data as they are. ``load`` reads them back. Defined results: null and empty texts are a payload of
+data as they are, but for three zero bytes where an ID3v1 tag would begin if the stream ended with
+the frame: no payload can look like one. ``load`` reads them back. Defined results: null and empty texts are a payload of
 576 bytes 255; equal texts give equal bytes; rows repeat as they come. Broken streams give what
 frames can be found; no frames: no payload, zero samples.
 """
@@ -41,6 +42,9 @@ RATES = [44100, 48000, 32000]
 HEADER, INFO_HEADER = bytes([0xFF, 0xFA, 0xC4, 0x00]), bytes([0xFF, 0xFB, 0xC4, 0x00])
 FRAME_BYTES, SIDE = 672, 32
 BODY = 4 + 2 + SIDE
+#: Payload bytes of a frame before the three bytes that are 128 bytes from its end, and those after them.
+HEAD = FRAME_BYTES - 128 - BODY
+REST = BODY + HEAD + 3
 
 
 def header(four: bytes) -> dict | None:
@@ -194,7 +198,8 @@ def store(payload: bytes, n_bytes: int) -> bytes:
     check = int(crc16(np.frombuffer(HEADER[2:] + side, np.uint8)[None])[0]).to_bytes(2, "big")
     body = np.zeros((frames, FRAME_BYTES), np.uint8)
     body[:, :BODY] = np.frombuffer(HEADER + check + side, np.uint8)
-    body[:, BODY : BODY + UNIT] = np.frombuffer(payload, np.uint8).reshape(frames, UNIT)
+    units = np.frombuffer(payload, np.uint8).reshape(frames, UNIT)
+    body[:, BODY : BODY + HEAD], body[:, REST : REST + UNIT - HEAD] = units[:, :HEAD], units[:, HEAD:]
     total = (frames + 1) * FRAME_BYTES
     seek = bytes(min(255, 256 * (FRAME_BYTES + i * frames // 100 * FRAME_BYTES) // total) for i in range(100))
     info = (INFO_HEADER + side + b"Info" + struct.pack(">III", 7, frames, total) + seek).ljust(FRAME_BYTES, b"\0")
@@ -208,7 +213,8 @@ def load(data: bytes) -> tuple[bytes, dict]:
     """(payload, what frame_offsets found) of a stored stream."""
     found = frame_offsets(data)
     view = np.frombuffer(data, np.uint8)
-    parts = [view[s : s + n * h["size"]].reshape(n, h["size"])[:, BODY : BODY + UNIT].tobytes() for s, n, h in found["runs"]]
+    frames = [view[s : s + n * h["size"]].reshape(n, h["size"]) for s, n, h in found["runs"]]
+    parts = [np.concatenate([f[:, BODY : BODY + HEAD], f[:, REST : REST + UNIT - HEAD]], 1).tobytes() for f in frames]
     return b"".join(parts), found
 
 

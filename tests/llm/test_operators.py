@@ -326,6 +326,14 @@ def test_media_parser():
     assert mpeg.vbr_table(vbri, 32) == {"kind": "VBRI", "bytes": 4000, "frames": 9, "seek": [5, 6]}
 
 
+@pytest.mark.parametrize("units", [1, 3])
+def test_media_payload_is_no_tag(units):
+    for at in range(576 - 128, 576 - 2):
+        payload = b"x" * (576 * (units - 1) + at) + b"TAG" + b"y" * (573 - at)
+        got, found = mpeg.load(mpeg.store(payload, len(payload)))
+        assert got == payload and len(found["offsets"]) == units and found["skipped"] == 0
+
+
 def test_media_digests(spark):
     r = mpeg.op8_mpeg_audio(spark, "/root/testdata/sf0.001") if os.path.isdir("/root/testdata/sf0.001") else None
     if r is not None:
