@@ -36,8 +36,10 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids (little-endian unsigned 32-bit integers) and their number."""
-    return bpe.with_ids(docs)
+    """Every document with its place in the mixed order (mix_position, and its source, block and slot)
+    and its token ids (little-endian unsigned 32-bit integers) and their number. Files that are read
+    again keep no order, so the order is a column; the same rows give the same places as in mixing."""
+    return bpe.with_ids(mixing.with_positions(docs))
 
 
 STAGES = [

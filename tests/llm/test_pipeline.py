@@ -1,12 +1,13 @@
 """The pipeline and the queries with SQL."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from seqloom.llm import jaccard_join, language, quality, registry
+from seqloom.llm import jaccard_join, language, mixing, quality, registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -50,3 +51,24 @@ def test_stages(spark, tmp_path):
         assert after.columns == columns if i < 4 else after.columns[: len(columns)] == columns
         docs = after
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == set(ids)
+
+
+def test_run_keeps_the_mixed_order(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}", "en", "hot" if i % 10 else f"s{i % 3}", 9) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])  # the others keep or drop rows, whatever their order
+    files = []
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, what, f=corpus_pipeline.written: (out := f(df, what), files.extend(out.inputFiles()))[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.mix_position)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) > 2 and [r.mix_position for r in got] == list(range(3000)) and {r.doc_id for r in got} == set(range(3000))
+    left = Counter(r[3] for r in rows)
+    want = []
+    for s, _ in mixing.schedule({s: -(-n // 64) for s, n in left.items()}, mixing.default_targets(left)):
+        want += [s] * min(64, left[s])
+        left[s] -= min(64, left[s])
+    assert [r.source for r in got] == want
