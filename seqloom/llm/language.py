@@ -12,8 +12,9 @@ Four pieces of evidence on a document's language are multiplied:
   under the host's suffix and those towards their overall shares.
 
 A document is rejected if it has no words, if no language has a posterior of 0.5, or if its text,
-having enough trigrams, is far less likely under its best language than any text the model was
-fitted on (another language, or none).
+having enough trigrams, is far less likely under every language than the least likely of all texts
+labelled with that language, in the sample or not (another language, or none). A label on noise thus
+lowers its language's bound.
 
 Defined results: null texts and values are empty ones; empty declared and suffix values are values
 like others; null ids and repeated rows are rows like others; without any labelled text nothing
@@ -34,7 +35,7 @@ from .common import plus, read, sized_join, small_batches, written
 MOST_FIT, MOST_LANGUAGES, LEAST_FIT = 2000, 64, 3
 BINS = 2**16
 TEXT_WEIGHT, SMOOTHING = 60.0, 20.0
-#: Trigrams that a text needs, and nats a trigram that it must fall below all fitted texts, to be no known language.
+#: Trigrams that a text needs, and nats a trigram that it must fall below all labelled texts, to be no known language.
 FIT_TRIGRAMS, FIT_MARGIN = 30, 1.5
 
 
@@ -48,7 +49,7 @@ def _bins(raw: bytes) -> np.ndarray:
 
 
 class Model:
-    """Languages, log probabilities of trigram bins by language, and the least mean of a fitted text."""
+    """Languages, log probabilities of trigram bins by language, and the least mean of a labelled text."""
 
     def __init__(self, languages: list[str], logs: np.ndarray, least: np.ndarray):
         self.languages, self.logs, self.least = languages, logs, least
@@ -66,7 +67,8 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text", language: str = "lang", most: int = MOST_FIT) -> Model:
     """Counts trigrams by language in a bounded sample, distributed; only the count tables (a fixed
-    number of bins for each of a bounded number of languages) reach the driver."""
+    number of bins for each of a bounded number of languages) reach the driver. The least means come
+    from all labelled documents."""
     small_batches(docs.sparkSession)
     labelled = docs.select(F.col("doc_id"), F.col(language).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where("l is not null and l <> '' and t is not null")
     sizes = labelled.groupBy("l").count().where(F.col("count") >= LEAST_FIT).orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
@@ -103,7 +105,7 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", most: int
             out = [(l, float(s[at[l]])) for l, t in texts for n, s in [m.score(t)] if n >= FIT_TRIGRAMS]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["l", "fit"])
 
-    least = {r["l"]: r["least"] for r in sample.mapInArrow(fits, "l string, fit double").groupBy("l").agg(F.min("fit").alias("least")).collect()}
+    least = {r["l"]: r["least"] for r in labelled.where(F.col("l").isin(languages)).select("l", "t").mapInArrow(fits, "l string, fit double").groupBy("l").agg(F.min("fit").alias("least")).collect()}
     model.least = np.array([least.get(l, -1e9) for l in languages])
     return model
 

@@ -186,6 +186,17 @@ def test_language_evidence_decides_short_texts(spark):
     assert all(got[i] == "de" for i, *_ in short)
 
 
+def test_language_keeps_clean_documents_beyond_the_sample(spark):
+    # every tenth document is of rarer words, with codes among them; the sample has about 5 of 400 a language
+    rng = random.Random(3)
+    code = lambda: "".join(rng.choice("0123456789QXZJKW") for _ in range(16))
+    rows = [(i, t if i % 10 else " ".join([*t.split()[:3], *(code() for _ in range(6))]), l, s) for i, t, l, s in spoken(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.train(docs, most=5)
+    got = language.identify(docs, model, declared=F.col("lang"), host=F.col("source")).collect()
+    assert [r.doc_id for r in got if not r.language_keep] == []
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://A.example.DE/x", '<HTML dir=ltr lang="de-AT"><head>no</head><p>ja <b>gut</b><script>x</script>'), (2, None, None)], "page_id long, url string, html string")
     a, b = language.page_evidence(pages).orderBy("page_id").collect()
