@@ -16,6 +16,10 @@ having enough trigrams, is far less likely under every language than the least l
 labelled with that language, in the sample or not (another language, or none). A label on noise thus
 lowers its language's bound.
 
+Models exist for the MOST_LANGUAGES most frequent labels that have LEAST_FIT documents. A document
+that declares another language can't be judged by them: if it has words, it is kept with the
+language it declares and a null posterior, and it is not counted as evidence for others.
+
 Defined results: null texts and values are empty ones; empty declared and suffix values are values
 like others; null ids and repeated rows are rows like others; without any labelled text nothing
 can be identified and every row is rejected.
@@ -144,9 +148,10 @@ def identify(
         return docs.select("*", F.lit(None).cast("string").alias(added[0]), F.lit(0.0).alias(added[1]), F.lit(None).cast("string").alias(added[2]), F.lit(False).alias(added[3]))
     value = lambda c: F.lit("") if c is None else F.coalesce(c.cast("string"), F.lit(""))
     keyed = docs.withColumns({"__declared": value(declared), "__suffix": value(suffix), "__host": value(host)})
+    keyed = keyed.withColumn("__modelled", F.col("__declared").isin("", *model.languages))
     keys = ["__declared", "__suffix", "__host"]
-    # counts over all documents: text language by (declared, suffix, host)
-    seen = with_text_scores(keyed.select(F.col(text).alias("__text"), *keys), model, "__text").where("__trigrams > 0 and __known")
+    # counts over all documents that the models can judge: text language by (declared, suffix, host)
+    seen = with_text_scores(keyed.where("__modelled").select(F.col(text).alias("__text"), *keys), model, "__text").where("__trigrams > 0 and __known")
     seen = written(seen.groupBy(*keys, F.expr(_argmax("__scores", n)).alias("l")).count(), "languages")
     sums = lambda by: seen.groupBy(*by).agg(*(F.sum(F.when(F.col("l") == i, F.col("count")).otherwise(0)).alias(f"n{i}") for i in range(n)))
     total = sums([]).first()
@@ -174,10 +179,11 @@ def identify(
     rows = rows.withColumn("__fused", fused).withColumn("__top", F.array_max("__fused"))
     names = arr([F.lit(l) for l in model.languages])
     at = lambda scores: F.element_at(names, F.expr(_argmax(scores, n)) + 1)
-    rows = rows.withColumn("language", F.when(F.col("__trigrams") > 0, at("__fused")))
+    rows = rows.withColumn("language", F.when(F.col("__trigrams") > 0, F.when(F.col("__modelled"), at("__fused")).otherwise(F.col("__declared"))))
     rows = rows.withColumn("text_language", F.when(F.col("__trigrams") > 0, at("__scores")))
-    rows = rows.withColumn("language_posterior", F.round(1 / F.aggregate(F.transform("__fused", lambda x: F.exp(x - F.col("__top"))), F.lit(0.0), lambda a, x: a + x), 9))
-    rows = rows.withColumn("language_keep", F.col("__known") & (F.col("language_posterior") >= 0.5))
+    posterior = F.round(1 / F.aggregate(F.transform("__fused", lambda x: F.exp(x - F.col("__top"))), F.lit(0.0), lambda a, x: a + x), 9)
+    rows = rows.withColumn("language_posterior", F.when(F.col("__modelled"), posterior))
+    rows = rows.withColumn("language_keep", F.when(F.col("__modelled"), F.col("__known") & (F.col("language_posterior") >= 0.5)).otherwise(F.col("__trigrams") > 0))
     return rows.select(*docs.columns, *added)
 
 

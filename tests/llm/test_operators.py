@@ -197,6 +197,18 @@ def test_language_keeps_clean_documents_beyond_the_sample(spark):
     assert [r.doc_id for r in got if not r.language_keep] == []
 
 
+def test_language_without_a_model_is_kept_as_declared(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(i, t, l, s) for i, t, l, s in spoken(300) if l != "fr" or i % 3 == 0]  # fr is the third by count
+    rows += [(1000, "ett hus med vatten och ljus i skogen " * 5, "sv", "h0"), (1001, "漢字仮名交じり文の例です" * 20, "ja", "h1"), (1002, " ", "sv", "h1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.train(docs)
+    assert model.languages == ["de", "en"]
+    got = {r.doc_id: r for r in language.identify(docs, model, declared=F.col("lang"), host=F.col("source")).collect()}
+    assert all(got[i].language == l and got[i].language_keep for i, _, l, _ in rows if i != 1002)
+    assert got[1000].language_posterior is None and not got[1002].language_keep
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://A.example.DE/x", '<HTML dir=ltr lang="de-AT"><head>no</head><p>ja <b>gut</b><script>x</script>'), (2, None, None)], "page_id long, url string, html string")
     a, b = language.page_evidence(pages).orderBy("page_id").collect()
