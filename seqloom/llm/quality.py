@@ -10,7 +10,8 @@ the document itself left out. Documents with a posterior under 0.5 are rejected.
 Hosts are hot and cold keys alike: partial aggregation, and a join that broadcasts the group
 table only when its counted size is small. Defined results: null and wordless texts are rejected
 (evidence 0); null host and path count as ''; repeated rows count as often as they come; null ids
-are rows like others; without labels of both kinds the evidence is 0 for all.
+are rows like others; without labels of both kinds the evidence is 0 for all. Documents have no
+address: unless given, the source stands for the host and the language for the path.
 """
 
 from __future__ import annotations
