@@ -1,7 +1,9 @@
 """From raw documents to token ids: five stages over one table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next one's ``docs``. All but the last keep the columns of ``documents``.
+again as the next one's ``docs``. All but the last return the columns of ``documents``, and of these
+all that there are: a column of any name passes through every stage, and the names that the last
+stage adds get an underscore behind them where they are taken. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,24 +16,23 @@ from seqloom.llm.common import read, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; the labels teach it."""
-    judged = quality.judge(docs, read(spark, sf_dir, "labels"))
-    return judged.where("quality_keep").select(*docs.columns)
+    """Documents that the quality classifier keeps; the labels teach it. Texts without words go."""
+    return quality.kept(docs, read(spark, sf_dir, "labels"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language."""
-    rows = language.identify(docs, language.train(docs), declared=F.col("lang"), host=F.col("source"))
-    return rows.where("language_keep").select(*docs.columns)
+    """Documents in an identified language. Texts without words go."""
+    return language.of_documents(docs).where("language_keep").select("box.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least id."""
+    """One document of each group of near copies: that of the least id. Of rows that repeat an id one stays;
+    rows without an id, and texts without words, all stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which sources meet their target weights."""
+    """All documents, in the order in which sources meet their target weights; a null source is the source ''."""
     return mixing.mixed(docs)
 
 
@@ -49,7 +50,7 @@ STAGES = [
     ("source mixing", mixed_sources),
     ("BPE encoding", token_ids),
 ]
-#: The fitted models and the schedule are beyond SQL; tests hold run() against a brute-force version.
+#: The fitted models and the schedule are beyond SQL; a test holds run() against a version in plain Python.
 ORACLE_SQL = None
 
 

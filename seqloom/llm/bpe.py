@@ -13,13 +13,16 @@ Tokens that their own bytes don't merge to are left to exact merging.
 
 Results equal the tokenizers library's for byte-level BPE files without normalizer, prefix space or
 post-processing; strings of special tokens in a text become their ids. Defined results: null and
-empty texts have no ids and decode to the empty text; rows repeat as they come.
+empty texts have no ids and decode to the empty text; rows repeat as they come; an empty table gives no
+rows. Columns of any names pass through; an added column whose name is taken gets an underscore behind it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, read, small_batches
+from .common import free_names, numbered, plus, read, small_batches
 
 #: Fixed value: the byte-level pre-tokenizer's pattern; white space is Unicode's property of that name.
 PATTERN = (
@@ -244,20 +247,31 @@ def _source(path: str | None) -> str:
         return f.read()
 
 
+def _model(source: str) -> Model:
+    """One model in each Python worker, whatever number of tasks it runs. Functions come to workers as code of their
+    own for each stage, so what outlives a task is kept by the interpreter's own module."""
+    kept = sys.__dict__.setdefault("_seqloom_bpe", {})
+    key = hashlib.sha256(source.encode()).hexdigest()
+    if key not in kept:
+        kept.clear()
+        kept[key] = Model(source)
+    return kept[key]
+
+
 def with_ids(df: DataFrame, text: str = "text", path: str | None = None, decode: bool = False) -> DataFrame:
     """``df`` plus ``ids`` (little-endian unsigned 32-bit integers), ``n_tokens`` and, if asked for,
     ``decoded``, the text that the ids decode to. The model (a file of fixed size) is broadcast."""
     spark = df.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(_source(path))
-    taken = {"ids", "n_tokens", "decoded"} & set(df.columns)
-    df = df.drop(*taken)
-    schema = plus(df, "ids binary, n_tokens long" + ", decoded string" * decode)
+    names = free_names(df.columns, ["ids", "n_tokens", "decoded"][: 2 + decode])
+    schema = plus(df, ", ".join(f"{n} {t}" for n, t in zip(names, ["binary", "long", "string"])))
+
+    column = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
+        model = _model(shared.value)
         for batch in batches:
-            column = batch.schema.get_field_index(text)
             for at in _slices(batch.column(column)):
                 part = batch.slice(*at)
                 ids = model.encode([t or "" for t in part.column(column).to_pylist()])
@@ -266,7 +280,7 @@ def with_ids(df: DataFrame, text: str = "text", path: str | None = None, decode:
                     arrays.append(pa.array([model.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return numbered(df).mapInArrow(run, schema)
 
 
 def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -285,16 +299,16 @@ def _slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]
 def with_text(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """``df`` plus ``decoded``: the text of a column of ids as ``with_ids`` makes it; null ids: empty."""
     shared = df.sparkSession.sparkContext.broadcast(_source(path))
-    df = df.drop("decoded")
-    schema = plus(df, "decoded string")
+    schema = plus(df, f"{free_names(df.columns, ['decoded'])[0]} string")
+    column = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value)
+        model = _model(shared.value)
         for batch in batches:
-            texts = [model.decode(i or b"") for i in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
+            texts = [model.decode(i or b"") for i in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return numbered(df).mapInArrow(run, schema)
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

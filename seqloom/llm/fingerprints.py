@@ -6,10 +6,16 @@ merge by union, and the containment of a short document in a very long one can b
 A document with fewer than FLOOR such hashes keeps its FLOOR smallest ones instead; the sketch
 records the ``bound`` up to which it holds *every* hash, and two sketches are compared below the
 smaller of their bounds, where both are complete. Documents of up to FLOOR shingles are exact.
+FLOOR is a parameter of the sketch's format: 0 gives the pure fixed fraction, in which most
+documents of a few lines have nothing to compare.
+
+Where a short sketch has no hash below the bound of a longer one, the longer one says nothing of
+it: containment is then null (unknown), never 0. ``exact_containment`` answers from the texts.
 
 Defined results: null text is the empty text; a text without words has an empty sketch; two empty
-sketches have likeness 1, an empty and a non-empty one 0; with fewer than five words the whole
-word sequence is the one shingle. Repeated rows are separate documents; null ids sort last.
+sketches have likeness 1, an empty and a non-empty one 0; an empty sketch is contained in all; with
+fewer than five words the whole word sequence is the one shingle. Repeated rows are separate
+documents, those of one id in the order of their texts; null ids sort last, whatever the other ids.
 Columns of other names are ignored.
 """
 
@@ -27,23 +33,29 @@ WORDS = 5
 BOUND = "1fffffffffffffff"
 #: Greater than every hash: the sketch holds all of them.
 ALL = "g"
+#: Least hashes that a sketch keeps, where its text has so many.
 FLOOR = 16
 #: Rows that share a bucket of the key order, and buckets that one task may order.
 BUCKET_BITS, TOP_BITS = 6, 12
 
 
+def _hashes(words: str) -> str:
+    """The hash of every shingle of an array column of words."""
+    return (
+        f"if(size({words}) = 0, cast(array() as array<string>), "
+        f"transform(sequence(1, greatest(size({words}) - {WORDS - 1}, 1)), "
+        f"i -> left(md5(cast(array_join(slice({words}, i, {WORDS}), ' ') as binary)), 16)))"
+    )
+
+
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(F.lower(F.col(text)), "[ \\t-\\r]+", -1), "")
+
+
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: struct<bound string, hashes array<string>> of the column ``text``."""
     w, a, k = f"__w_{out}", f"__a_{out}", f"__k_{out}"
-    df = df.withColumn(w, F.array_remove(F.split(F.lower(F.col(text)), "[ \\t-\\r]+", -1), ""))
-    df = df.withColumn(
-        a,
-        F.expr(
-            f"if(size({w}) = 0, cast(array() as array<string>), "
-            f"transform(sequence(1, greatest(size({w}) - {WORDS - 1}, 1)), "
-            f"i -> left(md5(cast(array_join(slice({w}, i, {WORDS}), ' ') as binary)), 16)))"
-        ),
-    )
+    df = df.withColumn(w, _words(text)).withColumn(a, F.expr(_hashes(w)))
     df = df.withColumn(k, F.expr(f"array_sort(array_distinct(filter({a}, h -> h <= '{BOUND}')))"))
     small = f"array_sort(array_distinct({a}))"
     df = df.withColumn(
@@ -66,25 +78,38 @@ def as_text(sketch: str) -> Column:
     return F.concat_ws(":", F.col(f"{sketch}.bound"), F.array_join(F.col(f"{sketch}.hashes"), ","))
 
 
-def _common(a: str, b: str) -> tuple[str, str, str]:
-    bound = f"least({a}.bound, {b}.bound)"
-    both = f"size(array_intersect(filter({a}.hashes, h -> h <= {bound}), {b}.hashes))"
-    return both, f"size(filter({a}.hashes, h -> h <= {bound}))", f"size(filter({b}.hashes, h -> h <= {bound}))"
+def _compared(a: str, b: str, result: str) -> Column:
+    """``result`` over s.a, s.b (the hashes below the common bound), s.both (how many they share), s.none_a and
+    s.none_b (whether a sketch is empty). Each sketch is bound once, so that an optimizer that pulls a sketch's
+    own expression in here doesn't repeat it for every hash."""
+    return F.expr(
+        f"transform(transform(transform(array(named_struct('x', {a}, 'y', {b})), s -> named_struct('x', s.x.hashes, 'y', s.y.hashes, "
+        f"'m', least(s.x.bound, s.y.bound))), s -> named_struct('a', filter(s.x, h -> h <= s.m), 'b', filter(s.y, h -> h <= s.m), "
+        f"'none_a', size(s.x) = 0, 'none_b', size(s.y) = 0)), s -> {result})[0]"
+    )
+
+
+_BOTH = "cast(size(array_intersect(s.a, s.b)) as double)"
 
 
 def likeness(a: str, b: str) -> Column:
     """Estimated Jaccard similarity of two sketch columns."""
-    both, of_a, of_b = _common(a, b)
-    return F.expr(
-        f"case when size({a}.hashes) = 0 and size({b}.hashes) = 0 then 1.0D "
-        f"else cast({both} as double) / ({of_a} + {of_b} - {both}) end"
-    )
+    return _compared(a, b, f"case when s.none_a and s.none_b then 1.0D else transform(array({_BOTH}), n -> n / nullif(size(s.a) + size(s.b) - n, 0))[0] end")
 
 
 def containment(a: str, b: str) -> Column:
-    """Estimated share of the shingles of ``a`` that ``b`` holds too; 1 if ``a`` has none."""
-    both, of_a, _ = _common(a, b)
-    return F.expr(f"coalesce(cast({both} as double) / nullif({of_a}, 0), if(size({a}.hashes) = 0, 1.0D, 0.0D))")
+    """Estimated share of the shingles of ``a`` that ``b`` holds too; 1 if ``a`` has none, null if the
+    sketches can't tell (``a`` has no hash below the bound of ``b``)."""
+    return _compared(a, b, f"case when s.none_a then 1.0D when size(s.a) > 0 then {_BOTH} / size(s.a) end")
+
+
+def exact_containment(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Adds ``out``: the share of the shingles of text ``a`` that text ``b`` holds too; 1 if ``a`` has none."""
+    wa, wb, ha = f"__wa_{out}", f"__wb_{out}", f"__ha_{out}"
+    df = df.withColumn(wa, F.coalesce(_words(a), F.array().cast("array<string>"))).withColumn(wb, F.coalesce(_words(b), F.array().cast("array<string>")))
+    df = df.withColumn(ha, F.expr(f"array_distinct({_hashes(wa)})"))
+    share = f"if(size({ha}) = 0, 1.0D, cast(size(array_intersect({ha}, {_hashes(wb)})) as double) / greatest(size({ha}), 1))"
+    return df.withColumn(out, F.expr(share)).drop(wa, wb, ha)
 
 
 def merged(sketches: str) -> Column:
@@ -99,7 +124,7 @@ def _lower_bucket(buckets: DataFrame, span: int) -> DataFrame:
     """(b, lower): for each distinct bucket number the next lower one that exists. No task orders
     more than 2 ** TOP_BITS numbers: above that, numbers are ordered within coarser buckets, and only
     the lowest of each looks to the highest of the next coarser bucket."""
-    if span >> TOP_BITS == 0:
+    if span < 1 << TOP_BITS:
         return buckets.withColumn("lower", F.lead("b").over(Window.orderBy(F.desc("b"))))
     coarse = buckets.withColumn("c", F.shiftright("b", TOP_BITS))
     inside = coarse.withColumn("lower", F.lead("b").over(Window.partitionBy("c").orderBy(F.desc("b"))))
@@ -111,17 +136,14 @@ def _lower_bucket(buckets: DataFrame, span: int) -> DataFrame:
 
 def with_next(df: DataFrame, key: str, text: str, make: Callable[[DataFrame], DataFrame], made: str) -> DataFrame:
     """``make(df)`` plus next_<text> and next_<made>: those of the next row in descending order of the
-    integer column ``key`` (the last row gets the first row's). Texts are dealt out once, in buckets of
-    64 key values, and ``made`` is worked out from them afterwards; of each bucket only the first row
-    travels on to another one."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        out = make(df)
-        return out.select("*", F.col(text).alias(f"next_{text}"), F.col(made).alias(f"next_{made}"))
-    df = df.withColumn("__b", F.shiftright(F.col(key) - F.lit(low), BUCKET_BITS))
+    integer column ``key``, nulls last (the last row gets the first row's). Texts are dealt out once, in
+    buckets of 64 key values and one of null keys, and ``made`` is worked out from them afterwards; of each
+    bucket only the first row travels on to another one."""
+    low, high = (None if x is None else x >> BUCKET_BITS for x in df.agg(F.min(key), F.max(key)).first())
+    span = -1 if low is None else high - low
+    df = df.withColumn("__b", F.coalesce(F.shiftright(F.col(key), BUCKET_BITS) - F.lit(low or 0).cast("long"), F.lit(-1).cast("long")))
     own = Window.partitionBy("__b").orderBy(F.desc(key), F.asc(text))
     rows = make(df.repartition("__b")).withColumn("__next", F.lead(F.struct(text, made)).over(own))
-    span = (high - low) >> BUCKET_BITS
     steps = _lower_bucket(df.select(F.col("__b").alias("b")).distinct(), span).withColumn("lower", F.coalesce("lower", F.lit(span)))
     heads = df.select("__b", key, text).withColumn("__n", F.row_number().over(own)).where("__n = 1")
     heads = heads.join(steps, heads["__b"] == steps["lower"]).select(F.col("b").alias("__b"), text)
@@ -135,7 +157,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and likenesses."""
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("__key"),
+        F.col("doc_id").cast("long").alias("__key"),
         text_or_empty().alias("text"),
     )
     rows = with_next(own, "__key", "text", lambda df: with_sketch(df, "text", "sketch"), "sketch")
@@ -176,7 +198,7 @@ def _duck_like(a: str, b: str, of: str) -> str:
     both = f"len(list_intersect({fa}, {fb}))"
     if of == "union":
         return f"case when len({a}.hashes) = 0 and len({b}.hashes) = 0 then 1.0::double else {both}::double / (len({fa}) + len({fb}) - {both}) end"
-    return f"coalesce({both}::double / nullif(len({fa}), 0), case when len({a}.hashes) = 0 then 1.0::double else 0.0::double end)"
+    return f"case when len({a}.hashes) = 0 then 1.0::double else {both}::double / nullif(len({fa}), 0) end"
 
 
 SQL = {

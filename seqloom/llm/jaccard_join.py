@@ -20,7 +20,8 @@ form a class and go on as one. Two classes link when their Jaccard similarity is
 
 Copies are never expanded, pairs inside a found group are never made, and no list is cut. The
 frequent shingles are at most MOST_COMMON (their threshold rises until they are), so they can be
-broadcast. Hashes stand for shingles and sets (64 bits).
+broadcast; those of over HOT documents are dealt out in parts. Hashes stand for shingles (64 bits) and
+sets (128 bits: the second half names a set wherever the first half is that of two).
 
 Defined results: null and wordless texts have empty sets and link with nothing; with fewer than
 five words the whole sequence is the one shingle; rows with a null id link with nothing and have
@@ -30,15 +31,17 @@ no component; rows that repeat an id are separate texts of one document. Other c
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, read, sized_join, small_batches, written
+from .common import BROADCAST_ROWS, boxed, read, sized_join, small_batches, spread_join, written
 from .components import components
+from .words import U, hashes, mix, spans, word_hashes
 
 WORDS = 5
 #: Links have 4 * intersection >= 3 * union.
@@ -47,25 +50,16 @@ MOST_COMMON, LEAST_COMMON = 2**21, 8
 CHUNK, BUCKET_SHINGLES, GATHER, SLICE = 1_000_000, 250_000, 1_000_000, 32
 #: Classes of a posting that all others in it are compared with.
 LEADERS = 6
+#: Documents of a shingle from which its posting is dealt out in parts of about so many.
+HOT = 2**15
 #: Sizes of unlinked classes in a group differ by this much in their logarithms.
 SIZE_BAND = 0.1
 #: Members of a slice that a query is compared with at first; all others follow where that links nothing.
 NEAREST = 2
-U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ x >> U(30)
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ x >> U(27)
-    x = x * U(0x94D049BB133111EB)
-    return x ^ x >> U(31)
 
 
 def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text; short texts are worked on together, long ones in pieces."""
     out: list[np.ndarray] = []
     at = 0
     while at < len(raws):
@@ -73,36 +67,27 @@ def shingle_sets(raws: list[bytes]) -> list[np.ndarray]:
         while end < len(raws) and (end == at or size + len(raws[end]) < CHUNK):
             size += len(raws[end]) + 1
             end += 1
-        out += _sets(raws[at:end])
+        if size > 2 * CHUNK:
+            words = word_hashes(raws[at])
+            out += _sets(words, np.array([0, len(words)]))
+        else:
+            text = np.frombuffer(b" ".join(r.lower() for r in raws[at:end]) + b" ", np.uint8)
+            space, starts, ends = spans(text)
+            borders = np.cumsum([0, *(len(r) + 1 for r in raws[at:end])])
+            out += _sets(hashes(text, space, starts, ends), np.searchsorted(starts, borders))
         at = end
     return out
 
 
-def _sets(raws: list[bytes]) -> list[np.ndarray]:
-    text = np.frombuffer(b" ".join(r.lower() for r in raws) + b" ", np.uint8)
-    space = _SPACE[text]
-    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    empty = np.empty(0, U)
-    if not len(starts):
-        return [empty] * len(raws)
-    ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
-    lengths = ends - starts
-    inside = np.arange(len(text)) - np.repeat(starts, np.diff(np.r_[starts, len(text)])) if starts[0] == 0 else None
-    if inside is None:
-        inside = np.zeros(len(text), np.int64)
-        inside[starts[0] :] = np.arange(starts[0], len(text)) - np.repeat(starts, np.diff(np.r_[starts, len(text)]))
-    powers = np.cumprod(np.r_[U(1), np.full(int(np.diff(np.r_[starts, len(text)]).max()), U(0x9E3779B97F4A7C15))].astype(U))
-    words = np.add.reduceat(np.where(space, U(0), (text.astype(U) + U(1)) * powers[inside]), starts)
-    words = _mix(words + lengths.astype(U) * U(0xD6E8FEB86659FD93))
-    borders = np.cumsum([0, *(len(r) + 1 for r in raws)])
-    first = np.searchsorted(starts, borders)
-    many = np.zeros(0, U)
+def _sets(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """The sets of texts whose words begin at ``first``."""
     k = U(0xFF51AFD7ED558CCD)
-    if len(words) >= WORDS:
-        many = words[: len(words) - WORDS + 1].copy()
-        for i in range(1, WORDS):
-            many = many * k + words[i : len(words) - WORDS + 1 + i]
-        many = _mix(many)
+    n = len(words) - WORDS + 1
+    many = words[: max(n, 0)].copy()
+    for i in range(1, WORDS):
+        many *= k
+        many += words[i : max(n, 0) + i]
+    many = mix(many)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= WORDS:
@@ -112,15 +97,21 @@ def _sets(raws: list[bytes]) -> list[np.ndarray]:
             with np.errstate(over="ignore"):
                 for w in words[a:b]:
                     whole = whole * k + w
-            out.append(_mix(np.array([whole ^ U(0x2545F4914F6CDD1D)], U)))
+            out.append(mix(np.array([whole ^ U(0x2545F4914F6CDD1D)], U)))
         else:
-            out.append(empty)
+            out.append(np.empty(0, U))
     return out
 
 
-def class_id(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_id(tokens: np.ndarray, doubled: frozenset[int] = frozenset()) -> int:
+    """A 64-bit name of a set; the other half of its 128-bit digest where two sets have the first one (``doubled``)."""
+    first, second = names_of(tokens)
+    return second if first in doubled else first
+
+
+def names_of(tokens: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _raws(column: pa.Array) -> list[bytes]:
@@ -137,28 +128,28 @@ def _common_of(gathered: list[np.ndarray]) -> tuple[list[int], list[int]]:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, cls, n, bits of every row (null cls: empty set), and rows of batch counts (tokens, counts)."""
-    schema = "doc_id long, cls long, n long, bits binary, tokens array<long>, counts array<long>"
+    """doc_id, cls and other (both halves of the set's name), n, bits of every row (null cls: empty set), and rows of
+    batch counts (tokens, counts)."""
+    schema = "doc_id long, cls long, other long, n long, bits binary, tokens array<long>, counts array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in schema.split(", ")]
-        types = [pa.int64()] * 3 + [pa.binary()] + [pa.list_(pa.int64())] * 2
+        types = [pa.int64()] * 4 + [pa.binary()] + [pa.list_(pa.int64())] * 2
         gathered: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:
-            ids, classes, sizes, rows = batch.column(0), [], [], []
+            ids, classes, others, sizes, rows = batch.column(0), [], [], [], []
             for tokens in shingle_sets(_raws(batch.column(1))):
-                c = class_id(tokens) if len(tokens) else None
+                c, other = names_of(tokens) if len(tokens) else (None, None)
                 classes.append(c)
+                others.append(other)
                 sizes.append(len(tokens))
                 rows.append(bits_of(tokens, len(tokens)))
                 if c is not None and c not in gathered:
                     gathered[c] = tokens[: int(np.searchsorted(tokens, U(2**63)))].copy()
                     size += len(gathered[c])
-            n = len(classes)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary()), pa.nulls(n, types[4]), pa.nulls(n, types[5])], names=names
-            )
+            columns = [ids, *(pa.array(c, pa.int64()) for c in (classes, others, sizes)), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(classes), t) for t in types[5:])], names=names)
             if size > GATHER:
                 yield flush(gathered, names, types)
                 gathered, size = {}, 0
@@ -166,7 +157,7 @@ def profile(docs: DataFrame) -> DataFrame:
 
     def flush(gathered: dict[int, np.ndarray], names: list[str], types: list) -> pa.RecordBatch:
         tokens, counts = _common_of([*gathered.values()])
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None, None, None, None, tokens, counts], types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([None, None, None, None, None, tokens, counts], types)], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -180,12 +171,14 @@ def ordered(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens[~late], tokens[late]]) if late.any() else tokens
 
 
-def prefixes(docs: DataFrame, common, buckets: int) -> DataFrame:
+def prefixes(docs: DataFrame, common, hot, buckets: int, doubled: frozenset[int]) -> DataFrame:
     """Rows (bucket, tokens, classes, sizes): packed prefix shingles; a negative size marks those
-    beyond n // 7 + 1. Copies inside a batch go once."""
+    beyond n // 7 + 1. Copies inside a batch go once. A shingle of more than HOT classes (``hot``: those
+    shingles, and in how many parts they go) is dealt out by class too, to buckets below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(common.value, U)
+        hot_tokens, hot_parts = (np.frombuffer(x, U) for x in hot.value)
         seen: set[int] = set()
         gathered: list[tuple[np.ndarray, int, int]] = []
         size = 0
@@ -198,6 +191,11 @@ def prefixes(docs: DataFrame, common, buckets: int) -> DataFrame:
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             n = np.where(place <= n // 7, n, -n).astype(np.int32)
             bucket = ((tokens >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            if len(hot_tokens):
+                at = np.minimum(np.searchsorted(hot_tokens, tokens), len(hot_tokens) - 1)
+                split = np.flatnonzero(hot_tokens[at] == tokens)
+                part = mix(classes[split].view(U)) % hot_parts[at[split]]
+                bucket[split] = -1 - (mix(tokens[split] + part) >> U(2)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, tokens, classes, n = bucket[order], tokens[order], classes[order], n[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
@@ -208,7 +206,7 @@ def prefixes(docs: DataFrame, common, buckets: int) -> DataFrame:
         for batch in batches:
             for tokens in shingle_sets(_raws(batch.column(1))):
                 n = len(tokens)
-                if n and (c := class_id(tokens)) not in seen:
+                if n and (c := class_id(tokens, doubled)) not in seen:
                     seen.add(c)
                     part = ordered(tokens, frequent)[: n // 4 + 1].copy()
                     gathered.append((part, c, n))
@@ -225,19 +223,21 @@ def prefixes(docs: DataFrame, common, buckets: int) -> DataFrame:
 
 def postings(packed: DataFrame) -> DataFrame:
     """By bucket: candidate links (a, b), the smaller set first, of each class with the leaders of its
-    postings, and the packed entries (token, cls, size) of postings that leaders don't settle."""
+    postings, and the packed entries (token, cls, size) of postings that leaders don't settle: the long ones
+    and all of those that are dealt out in parts."""
     schema = "tokens binary, classes binary, sizes binary, a array<long>, b array<long>"
 
     def run(table: pa.Table) -> pa.Table:
         join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
         tokens, classes, sizes = join("tokens", U), join("classes", np.int64), join("sizes", np.int32)
+        parted = len(table) > 0 and table.column("bucket")[0].as_py() < 0
         order = np.lexsort([classes, tokens])
         tokens, classes, sizes = tokens[order], classes[order], sizes[order]
         new = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])]
         tokens, classes, sizes = tokens[new], classes[new], sizes[new]
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         lengths = np.diff(np.r_[starts, len(tokens)])
-        several = np.repeat((lengths > 1) & (np.maximum.reduceat(sizes, starts) > 0), lengths)
+        several = np.repeat(parted | (lengths > 1) & (np.maximum.reduceat(sizes, starts) > 0), lengths)
         tokens, classes, sizes = tokens[several], classes[several], sizes[several]
         a = b = np.empty(0, np.int64)
         if len(tokens):
@@ -256,7 +256,7 @@ def postings(packed: DataFrame) -> DataFrame:
             a, b = a[order], b[order]
             new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
             a, b = a[new], b[new]
-            long = length > LEADERS + 1
+            long = parted | (length > LEADERS + 1)
             tokens, classes, sizes = tokens[long], classes[long], sizes[long]
         row = [[tokens.tobytes()], [classes.tobytes()], [sizes.tobytes()], [a.tolist()], [b.tolist()]]
         types = [pa.binary()] * 3 + [pa.list_(pa.int64())] * 2
@@ -309,23 +309,23 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.mapInArrow(bound, "a long, b long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, doubled: frozenset[int]) -> DataFrame:
     """cls, tokens of the wanted classes (doc_id, cls), made anew from their texts."""
     rows = sized_join(docs, wanted, ["doc_id"], "inner", 20 * BROADCAST_ROWS).select("text", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(c, t) for c, t in zip(batch.column(1).to_pylist(), shingle_sets(_raws(batch.column(0)))) if len(t) and class_id(t) == c]
+            got = [(c, t) for c, t in zip(batch.column(1).to_pylist(), shingle_sets(_raws(batch.column(0)))) if len(t) and class_id(t, doubled) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([t.tobytes() for _, t in got], pa.binary())], names=["cls", "tokens"])
 
     return rows.mapInArrow(run, "cls long, tokens binary")
 
 
-def verified(near: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+def verified(near: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool, doubled: frozenset[int]) -> DataFrame:
     """The links among the pairs (a, b) that bits leave; sets are made only for classes in them."""
     near = written(near, "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    tokens = sets_of(docs, wanted.join(classes, "cls").select("doc_id", "cls"))
+    tokens = sets_of(docs, wanted.join(classes, "cls").select("doc_id", "cls"), doubled)
     tokens = written(tokens.dropDuplicates(["cls"]) if repeats else tokens, "sets")
     whole = near.join(tokens.toDF("a", "a_tokens"), "a").join(tokens.toDF("b", "b_tokens"), "b").select("a", "b", "a_tokens", "b_tokens")
 
@@ -355,20 +355,26 @@ def _entries(found: DataFrame) -> DataFrame:
     return found.select("tokens", "classes", "sizes").mapInArrow(run, "token long, cls long, size int")
 
 
+def _band(size: Column) -> Column:
+    """Sizes by the power of 4/3 (a little more, so that rounding can't matter) that they reach."""
+    return F.floor(F.log(size.cast("double")) / math.log(1.334)).cast("int")
+
+
 class Matrix:
     """Groups in slices with their union rows, and the queries that meet them in postings.
 
     Groups are the linked ones (settled by one link) and, among classes that nothing linked yet, those
     of one least shared shingle and about one size (where every pair counts)."""
 
-    def __init__(self, entries: DataFrame, grouped: DataFrame, classes: DataFrame):
-        sizes = grouped.groupBy("root").agg((F.count("*") + 1).alias("members"))
-        rooted = grouped.join(sizes, "root").select(F.col("vertex").alias("cls"), F.col("root").alias("grp"), "members")
+    def __init__(self, entries: DataFrame, grouped: DataFrame, classes: DataFrame, total: int):
+        sizes = written(grouped.groupBy("root").agg((F.count("*") + 1).alias("members")), "sizes")
+        rooted = spread_join(grouped, sizes, "root", "members", total).select(F.col("vertex").alias("cls"), F.col("root").alias("grp"), "members")
         self.rooted = written(rooted.unionByName(sizes.select(F.col("root").alias("cls"), F.col("root").alias("grp"), "members")), "groups")
         alone = entries.join(self.rooted, "cls", "left_anti").groupBy("cls").agg(F.min("token").alias("t"), F.max(F.abs("size")).alias("n"))
         alone = alone.select("cls", F.xxhash64("t", F.floor(F.log("n") / SIZE_BAND)).alias("grp"))
+        alone = written(alone, "alone")
         counts = alone.groupBy("grp").agg(F.count("*").alias("members"))
-        alone = alone.join(counts, "grp").select("cls", "grp", "members", F.lit(False).alias("linked"))
+        alone = spread_join(alone, counts, "grp", "members", total).select("cls", "grp", "members", F.lit(False).alias("linked"))
         groups = written(self.rooted.withColumn("linked", F.lit(True)).unionByName(alone), "groups")
         self.meets = written(self._meets(entries.join(groups, "cls")), "meets")
         slices = classes.select("cls", "n", "bits").join(groups, "cls").withColumn("slice", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / SLICE)))
@@ -397,8 +403,12 @@ class Matrix:
         at = placed.groupBy("token", "grp", "members", "linked").agg(
             F.min(F.abs("size")).alias("low"), F.max(F.abs("size")).alias("high"), F.max("size").alias("marked"), F.count("*").alias("here")
         )
+        # sizes that may link lie in one band or in two next to each other, so sides of other sizes don't even meet
         other = at.toDF("token", "to", "to_members", "to_linked", "low", "high", "marked", "here")
-        meets = placed.join(other, "token").where(
+        other = other.withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high")))))
+        own = _band(F.abs("size"))
+        placed = placed.withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
+        meets = placed.join(other, ["token", "band"]).where(
             "4 * high >= 3 * abs(size) and 4 * abs(size) >= 3 * low and (size > 0 or marked > 0) and ("
             "(to_linked and (not linked or to_members > members or (to_members = members and `to` < grp)))"
             " or (not to_linked and not linked and (`to` < grp or (`to` = grp and here > 1))))"
@@ -440,10 +450,10 @@ class Matrix:
         return far.where("coalesce(__own, cls) <> coalesce(__its, `to`)").select("cls", "to", "own")
 
 
-def roots_of(docs: DataFrame, profiled: DataFrame) -> DataFrame:
+def roots_of(docs: DataFrame, profiled: DataFrame, classes: DataFrame, doubled: frozenset[int]) -> DataFrame:
     """(vertex, root) of the classes that link with a lesser one, through others or not."""
     spark = docs.sparkSession
-    shingles = profiled.agg(F.sum(F.expr("n div 4 + 1"))).first()
+    shingles, total = profiled.where("doc_id is not null").agg(F.sum(F.expr("n div 4 + 1")), F.count("cls")).first()
     counted = profiled.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
     counted = counted.groupBy(F.col("x.tokens").alias("t")).agg(F.sum("x.counts").alias("c")).where(F.col("c") >= LEAST_COMMON)
     counted = written(counted, "counted")
@@ -453,23 +463,24 @@ def roots_of(docs: DataFrame, profiled: DataFrame) -> DataFrame:
         if left < 0:
             break
         threshold = 1 << row["p"]
-    common = np.sort(counted.where(F.col("c") >= threshold).select("t").toArrow().column("t").to_numpy().view(U))
+    found = counted.where(F.col("c") >= threshold).select("t", "c").toArrow()
+    order = np.argsort(found.column("t").to_numpy().view(U))
+    common, often = found.column("t").to_numpy().view(U)[order], found.column("c").to_numpy()[order]
     shared = spark.sparkContext.broadcast(common.tobytes())
-    buckets = max(8, -(-(shingles[0] or 0) // BUCKET_SHINGLES))
-    found = written(postings(prefixes(docs, shared, buckets)), "postings")
+    hot = spark.sparkContext.broadcast((common[often > HOT].tobytes(), (-(-often[often > HOT] // HOT)).astype(U).tobytes()))
+    buckets = max(8, -(-(shingles or 0) // BUCKET_SHINGLES))
+    found = written(postings(prefixes(docs, shared, hot, buckets, doubled)), "postings")
     entries = _entries(found)
-    own = profiled.where("cls is not null and doc_id is not null")
-    classes = written(own.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
-    repeats = own.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    pairs = found.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = written(verified(bounded(pairs, classes), classes, docs, repeats), "links")
-    matrix = Matrix(entries, components(links), classes)
-    links = links.unionByName(written(verified(matrix.opened(matrix.meets, NEAREST), classes, docs, repeats), "links"))
+    repeats = profiled.where("cls is not null and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    check = lambda pairs: written(verified(pairs, classes, docs, repeats, doubled), "links")
+    links = check(bounded(found.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct(), classes))
+    matrix = Matrix(entries, components(links), classes, total)
+    links = links.unionByName(check(matrix.opened(matrix.meets, NEAREST)))
     roots = components(links)
     unsettled = written(matrix.unsettled(roots), "unsettled")
     if not unsettled.limit(1).count():
         return roots
-    return components(links.unionByName(written(verified(matrix.opened(unsettled, None), classes, docs, repeats), "links")))
+    return components(links.unionByName(check(matrix.opened(unsettled, None))))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -477,26 +488,47 @@ def join(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiled = written(profile(docs.select("doc_id", "text")), "profile")
+
+    def by_class(rows: DataFrame) -> DataFrame:
+        own = rows.where("cls is not null and doc_id is not null").groupBy("cls")
+        return written(own.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"), (F.min("other") != F.max("other")).alias("two")), "classes")
+
+    classes = by_class(profiled)
+    # sets that share the first half of their name, one pair or so among 10 ** 10, go by the second half
+    doubled = frozenset(r["cls"] for r in classes.where("two").select("cls").toLocalIterator())
+    if doubled:
+        profiled = profiled.withColumn("cls", F.when(F.col("cls").isin(*doubled), F.col("other")).otherwise(F.col("cls")))
+        classes = by_class(profiled)
+    classes = classes.drop("two")
     # null ids link with nothing
-    roots = roots_of(docs.where("doc_id is not null"), profiled.where("doc_id is not null or tokens is not null")).withColumnRenamed("vertex", "cls")
+    known = profiled.where("doc_id is not null or tokens is not null")
+    roots = roots_of(docs.where("doc_id is not null"), known, classes, doubled).withColumnRenamed("vertex", "cls")
     rows = profiled.where("tokens is null").select("doc_id", "cls", "n")
-    classes = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select("cls", "component_id")
-    out = rows.join(classes, "cls", "left")
+    # classes that link with a lesser one, and the roots that others point at; all others are their own component
+    inside = classes.select("cls", "doc_id").join(roots, "cls")
+    tops = roots.select(F.col("root").alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls").withColumn("root", F.col("cls"))
+    inside = written(inside.unionByName(tops), "inside")
+    least = inside.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    inside = spread_join(inside, least, "root", "members", inside.count()).select("cls", "component_id")
+    own = classes.select("cls", "doc_id", "copies").join(inside, "cls", "left").select("cls", "copies", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = written(own, "own")
+    out = spread_join(rows.where("doc_id is not null"), own, "cls", "copies", own.count()).select("doc_id", "n", "component_id")
+    out = out.unionByName(rows.where("cls is null or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(doc_id is null, null, coalesce(component_id, doc_id))").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: the least id of each component, one row of an id; null ids stay."""
+    """The rows of ``docs`` that stay: the least id of each component, and one row of an id (that of the least hash
+    of id and text); null ids stay."""
     found = written(join(docs), "components")
-    gone = found.where("component_id < doc_id").select("doc_id").distinct().withColumn("__gone", F.lit(True))
-    out = sized_join(docs, gone, ["doc_id"]).where("__gone is null").select(*docs.columns)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-        out = out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
-    return out
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("id")).distinct().withColumn("gone", F.lit(True))
+    rows = boxed(docs, id=F.col("doc_id").cast("long"), h=F.xxhash64(F.col("text").cast("string")))
+    rows = sized_join(rows, gone, ["id"]).where("gone is null").drop("gone")
+    twice = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    if twice.limit(1).count():
+        one = rows.join(twice, "id", "left_semi").groupBy("id").agg(F.min_by("box", "h").alias("box"))
+        rows = rows.join(twice, "id", "left_anti").select("box").unionByName(one.select("box"))
+    return rows.select("box.*")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Four pieces of evidence on a document's language are multiplied:
 
-* the text: a naive Bayes model of hashed byte trigrams of the whole text, fitted on at most
-  MOST_FIT documents a language (those of least hash); overlapping trigrams are no independent
-  witnesses, so a text counts for at most TEXT_WEIGHT trigrams;
+* the text: a naive Bayes model of hashed byte trigrams of the whole text, fitted on about
+  MOST_FIT documents a language (those of least hash) and smoothed towards the trigrams of all
+  languages; overlapping trigrams are no independent witnesses, so a text counts for at most
+  TEXT_WEIGHT trigrams;
 * the declared (markup) language and the address suffix: how often documents whose text is in
   language l declare d (or stand under suffix s), counted over all documents by grouped
   aggregation, smoothed towards each value's overall frequency;
@@ -16,175 +17,257 @@ having enough trigrams, is far less likely under every language than the least l
 labelled with that language, in the sample or not (another language, or none). A label on noise thus
 lowers its language's bound.
 
-Models exist for the MOST_LANGUAGES most frequent labels that have LEAST_FIT documents. A document
-that declares another language can't be judged by them: if it has words, it is kept with the
-language it declares and a null posterior, and it is not counted as evidence for others.
+Every label is a language, however few documents it has; a rare one leans on the trigrams of all, so
+it doesn't draw other texts. Tables are made, broadcast and applied for AT_ONCE languages at a time,
+so memory doesn't grow with their number. Labels are names of languages, and what is counted by label
+reaches the driver; beyond MOST_LANGUAGES (more than there are codes in use) the rarest labels have no
+model, and a document that declares one of them, if it has words, is kept with the language it declares
+and a null posterior, and is not counted as evidence for others.
+
+Where the judged documents are the labelled ones, each text is scored once; the scores are written.
 
 Defined results: null texts and values are empty ones; empty declared and suffix values are values
 like others; null ids and repeated rows are rows like others; without any labelled text nothing
-can be identified and every row is rejected.
+can be identified and every row is rejected. Columns of any names pass through; an added column
+whose name is taken gets an underscore behind it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, read, sized_join, small_batches, written
+from .common import boxed, plus, read, sized_join, small_batches, unboxed, written
+from .words import pieces
 
-MOST_FIT, MOST_LANGUAGES, LEAST_FIT = 2000, 64, 3
+MOST_FIT, MOST_LANGUAGES, AT_ONCE = 2000, 10_000, 32
 BINS = 2**16
-TEXT_WEIGHT, SMOOTHING = 60.0, 20.0
+#: Trigrams of all languages that are added to those of each; weight of a text; documents that a level above counts for.
+SHARED, TEXT_WEIGHT, SMOOTHING = 2000.0, 60.0, 20.0
 #: Trigrams that a text needs, and nats a trigram that it must fall below all labelled texts, to be no known language.
 FIT_TRIGRAMS, FIT_MARGIN = 30, 1.5
+ADDED = ["language", "language_posterior", "text_language", "language_keep"]
+
+
+def trigrams(raw: bytes) -> Iterator[np.ndarray]:
+    """Hashed trigrams of a text, piece by piece: A-Z lower-cased, white space and line ends as single spaces."""
+    last = b" "
+    for piece in pieces(raw):
+        words = piece.lower().split()
+        if not words:
+            continue
+        b = np.frombuffer(last + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
+        h = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)
+        last = b[-2:].astype(np.uint8).tobytes()
+        yield (h >> np.uint32(16)).astype(np.int64)
+
+
+def score(logs: np.ndarray, raw: bytes) -> tuple[int, np.ndarray]:
+    """(trigrams, mean log probability by column of ``logs``) of a text."""
+    n, total = 0, np.zeros(logs.shape[1])
+    for bins in trigrams(raw):
+        for at in range(0, len(bins), 100_000):
+            total += logs[bins[at : at + 100_000]].sum(0, dtype=np.float64)
+        n += len(bins)
+    return n, total / max(n, 1)
 
 
-def _bins(raw: bytes) -> np.ndarray:
-    """Hashed trigrams of a text: A-Z lower-cased, white space and line ends as single spaces."""
-    b = np.frombuffer(b" " + b" ".join(raw.lower().split()) + b" ", np.uint8).astype(np.uint32)
-    if len(b) < 4:
-        return np.empty(0, np.int64)
-    h = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)
-    return (h >> np.uint32(16)).astype(np.int64)
-
-
+@dataclass
 class Model:
-    """Languages, log probabilities of trigram bins by language, and the least mean of a labelled text."""
+    """Languages in order, tables (broadcast) of log probabilities by trigram bin for AT_ONCE of them each, and the
+    least mean log probability of a text labelled with each language, once that is known."""
 
-    def __init__(self, languages: list[str], logs: np.ndarray, least: np.ndarray):
-        self.languages, self.logs, self.least = languages, logs, least
-
-    def score(self, raw: bytes) -> tuple[int, np.ndarray]:
-        """(trigrams, mean log probability by language) of a text."""
-        bins = _bins(raw)
-        if not len(bins):
-            return 0, np.zeros(len(self.languages))
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(bins), 100_000):
-            total += self.logs[bins[at : at + 100_000]].sum(0, dtype=np.float64)
-        return len(bins), total / len(bins)
+    languages: list[str]
+    tables: list[Broadcast] = field(default_factory=list)
+    least: np.ndarray | None = None
 
 
-def train(docs: DataFrame, text: str = "text", language: str = "lang", most: int = MOST_FIT) -> Model:
-    """Counts trigrams by language in a bounded sample, distributed; only the count tables (a fixed
-    number of bins for each of a bounded number of languages) reach the driver. The least means come
-    from all labelled documents."""
-    small_batches(docs.sparkSession)
+def fitted(docs: DataFrame, text: str = "text", language: str = "lang", most: int = MOST_FIT) -> Model:
+    """A model without ``least``. Trigrams are counted by language in a bounded sample, distributed; the driver
+    holds the counts of AT_ONCE languages at a time."""
+    spark = docs.sparkSession
+    small_batches(spark)
     labelled = docs.select(F.col("doc_id"), F.col(language).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where("l is not null and l <> '' and t is not null")
-    sizes = labelled.groupBy("l").count().where(F.col("count") >= LEAST_FIT).orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
+    sizes = labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["l"] for r in sizes)
     if not languages:
-        return Model([], np.zeros((BINS, 0), np.float32), np.zeros(0))
-    shares = {r["l"]: min(1.0, most / r["count"]) for r in sizes}
+        return Model([])
+    at = {l: i for i, l in enumerate(languages)}
+    table = spark.createDataFrame([(r["l"], at[r["l"]], min(1.0, most / r["count"])) for r in sizes], "l string, i int, share double")
     # a hash below a share of its range: the sample's size is bounded in expectation, and any executor draws the same
-    share = F.create_map(*(x for l, s in shares.items() for x in (F.lit(l), F.lit(s))))[F.col("l")]
     draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(2**30)) / float(2**30)
-    sample = labelled.where(F.col("l").isin(languages) & (draw < share)).select("l", "t")
+    sample = labelled.join(F.broadcast(table), "l").where(draw < F.col("share")).select("i", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {l: np.zeros(BINS, np.int64) for l in languages}
-        for batch in batches:
-            for l, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                tables[l] += np.bincount(_bins(t), minlength=BINS)
-        for l, table in tables.items():
-            used = np.nonzero(table)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([l] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(table[used], pa.int64())], names=["l", "bin", "n"])
-
-    got = sample.mapInArrow(count, "l string, bin int, n long").groupBy("l", "bin").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((BINS, len(languages)))
-    at = {l: i for i, l in enumerate(languages)}
-    counts[got.column("bin").to_numpy(), [at[l] for l in got.column("l").to_pylist()]] = got.column("n").to_numpy()
-    logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BINS)).astype(np.float32)
-    model = Model(languages, logs, np.zeros(len(languages)))
-    shared = docs.sparkSession.sparkContext.broadcast((languages, logs, model.least))
+        tables: dict[int, np.ndarray] = {}
 
-    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
-        for batch in batches:
-            texts = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
-            out = [(l, float(s[at[l]])) for l, t in texts for n, s in [m.score(t)] if n >= FIT_TRIGRAMS]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=["l", "fit"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for i, counts in tables.items():
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), i, np.int32)), pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["i", "bin", "n"])
+            tables.clear()
 
-    least = {r["l"]: r["least"] for r in labelled.where(F.col("l").isin(languages)).select("l", "t").mapInArrow(fits, "l string, fit double").groupBy("l").agg(F.min("fit").alias("least")).collect()}
-    model.least = np.array([least.get(l, -1e9) for l in languages])
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if i not in tables and len(tables) >= AT_ONCE:
+                    yield from flush()
+                counts = tables.setdefault(i, np.zeros(BINS, np.int64))
+                for bins in trigrams(t):
+                    counts += np.bincount(bins, minlength=BINS)
+        yield from flush()
+
+    counted = written(sample.mapInArrow(count, "i int, bin int, n long").groupBy("i", "bin").agg(F.sum("n").alias("n")), "trigrams")
+    got = counted.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    overall = np.zeros(BINS)
+    overall[got.column("bin").to_numpy()] = got.column("n").to_numpy()
+    overall = (overall + 0.1) / (overall.sum() + 0.1 * BINS)
+    model = Model(languages)
+    for first in range(0, len(languages), AT_ONCE):
+        width = min(AT_ONCE, len(languages) - first)
+        got = counted.where(F.col("i").between(first, first + width - 1)).toArrow()
+        counts = np.zeros((BINS, width))
+        counts[got.column("bin").to_numpy(), got.column("i").to_numpy() - first] = got.column("n").to_numpy()
+        logs = np.log((counts + SHARED * overall[:, None]) / (counts.sum(0) + SHARED)).astype(np.float32)
+        model.tables.append(spark.sparkContext.broadcast(logs))
     return model
 
 
-def with_text_scores(df: DataFrame, model: Model, text: str) -> DataFrame:
-    """``df`` plus __trigrams, __scores (weighted log likelihoods by language) and __known."""
-    small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.least))
-    schema = plus(df, "__trigrams long, __scores array<double>, __known boolean")
+def scored(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``rows`` without ``text`` plus trigrams and means (mean log probabilities by language), as a written table."""
+    small_batches(rows.sparkSession)
+    for number, shared in enumerate(model.tables):
+        first, last = number == 0, number == len(model.tables) - 1
+        kept = [f for f in rows.schema.names if not (last and f == text) and f not in ("trigrams", "means")]
+        schema = plus(rows.select(*kept), "trigrams long, means array<double>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
-        for batch in batches:
-            got = [m.score(t or b"") for t in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
-            scores = [np.round(s * min(n, TEXT_WEIGHT), 6).tolist() for n, s in got]
-            known = [bool(n) and (n < FIT_TRIGRAMS or bool((s >= m.least - FIT_MARGIN).any())) for n, s in got]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([n for n, _ in got], pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(known, pa.bool_())], names=schema.names
-            )
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, kept=kept) -> Iterator[pa.RecordBatch]:
+            logs = shared.value
+            for batch in batches:
+                column = lambda name: batch.column(batch.schema.get_field_index(name))
+                got = [score(logs, t or b"") for t in column(text).cast(pa.binary()).to_pylist()]
+                means = [np.round(s, 8).tolist() for _, s in got]
+                if not first:
+                    means = [a + b for a, b in zip(column("means").to_pylist(), means)]
+                columns = [*(column(c) for c in kept), pa.array([n for n, _ in got], pa.int64()), pa.array(means, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "trigrams", "means"])
 
-    return df.mapInArrow(run, schema)
+        rows = rows.mapInArrow(run, schema)
+        if number % 4 == 3 and not last:
+            rows = written(rows, "scores")
+    return written(rows, "scores")
 
 
-def _argmax(scores: str, n: int) -> str:
-    return f"cast(array_position({scores}, array_max({scores})) - 1 as int)"
+def bounds(rows: DataFrame, model: Model, label: str) -> np.ndarray:
+    """The least mean log probability of the scored rows labelled with each language, under that language."""
+    names = F.array(*(F.lit(l) for l in model.languages))
+    fits = rows.where(F.col("trigrams") >= FIT_TRIGRAMS).withColumn("at", F.array_position(names, F.col(label))).where("at > 0")
+    least = {r["at"]: r["least"] for r in fits.groupBy("at").agg(F.min(F.element_at("means", F.col("at").cast("int"))).alias("least")).collect()}
+    return np.array([least.get(i + 1, -1e9) for i in range(len(model.languages))])
 
 
-def identify(
-    docs: DataFrame, model: Model, text: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None
-) -> DataFrame:
-    """``docs`` plus language, language_posterior, text_language and language_keep."""
-    added = ["language", "language_posterior", "text_language", "language_keep"]
-    docs = docs.drop(*added)
+def train(docs: DataFrame, text: str = "text", language: str = "lang", most: int = MOST_FIT) -> Model:
+    """A whole model, for judging other documents than the labelled ones."""
+    model = fitted(docs, text, language, most)
+    if model.languages:
+        rows = boxed(docs, [], label=F.col(language).cast("string"), text=F.col(text).cast("string")).drop("box")
+        model.least = bounds(scored(rows.where("label is not null and text is not null"), model), model, "label")
+    return model
+
+
+def fused(rows: DataFrame, model: Model) -> DataFrame:
+    """Scored rows (box, declared, suffix, host, trigrams, means) as box and the ADDED columns."""
     n = len(model.languages)
-    if not n:
-        return docs.select("*", F.lit(None).cast("string").alias(added[0]), F.lit(0.0).alias(added[1]), F.lit(None).cast("string").alias(added[2]), F.lit(False).alias(added[3]))
-    value = lambda c: F.lit("") if c is None else F.coalesce(c.cast("string"), F.lit(""))
-    keyed = docs.withColumns({"__declared": value(declared), "__suffix": value(suffix), "__host": value(host)})
-    keyed = keyed.withColumn("__modelled", F.col("__declared").isin("", *model.languages))
-    keys = ["__declared", "__suffix", "__host"]
+    arr = lambda xs: F.array(*(F.lit(x) for x in xs))
+    names, least = arr(model.languages), arr([float(x) - FIT_MARGIN for x in model.least])
+    weight = F.least(F.col("trigrams").cast("double"), F.lit(TEXT_WEIGHT))
+    fits = F.exists(F.zip_with("means", least, lambda s, l: s >= l), lambda x: x)
+    rows = rows.withColumns({
+        "scores": F.transform("means", lambda s: F.round(s * weight, 6)),
+        "known": (F.col("trigrams") > 0) & ((F.col("trigrams") < FIT_TRIGRAMS) | fits),
+        "modelled": (F.col("declared") == "") | F.array_contains(names, F.col("declared")),
+    })
+    first = lambda scores: F.array_position(scores, F.array_max(scores))
     # counts over all documents that the models can judge: text language by (declared, suffix, host)
-    seen = with_text_scores(keyed.where("__modelled").select(F.col(text).alias("__text"), *keys), model, "__text").where("__trigrams > 0 and __known")
-    seen = written(seen.groupBy(*keys, F.expr(_argmax("__scores", n)).alias("l")).count(), "languages")
-    sums = lambda by: seen.groupBy(*by).agg(*(F.sum(F.when(F.col("l") == i, F.col("count")).otherwise(0)).alias(f"n{i}") for i in range(n)))
-    total = sums([]).first()
-    overall = np.array([float(total[i] or 0) for i in range(n)]) + 1.0
-    prior = [float(x) for x in overall / overall.sum()]
-    arr = lambda xs: F.array(*xs)
-    row_total = sum((F.col(f"n{i}") for i in range(n)), F.lit(0))
+    seen = rows.where("modelled and known").groupBy("declared", "suffix", "host", first(F.col("scores")).alias("l")).count()
+    seen = written(seen, "languages")
+
+    def table(by: list[str]) -> DataFrame:
+        """by, c: how many documents of each language, as an array."""
+        per = seen.groupBy(*by, "l").agg(F.sum("count").cast("double").alias("c"))
+        per = per.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("m"))
+        return per.select(*by, F.expr(f"transform(sequence(1L, {n}L), i -> coalesce(try_element_at(m, i), 0D))").alias("c"))
+
+    whole = seen.groupBy("l").agg(F.sum("count").alias("c")).collect()
+    overall = np.zeros(n)
+    for r in whole:
+        overall[r["l"] - 1] = r["c"]
+    prior = (overall + 1.0) / (overall + 1.0).sum()
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
     def spoken(key: str, out: str) -> DataFrame:
         """Log P(value | language), smoothed towards P(value)."""
-        share = row_total / float(max(overall.sum() - n, 1.0))
-        return sums([key]).select(key, arr([F.log((F.col(f"n{i}") + SMOOTHING * share) / (overall[i] - 1 + SMOOTHING)) for i in range(n)]).alias(out))
-
-    by_suffix = sums(["__suffix"]).select("__suffix", *(((F.col(f"n{i}") + SMOOTHING * prior[i]) / (row_total + SMOOTHING)).alias(f"s{i}") for i in range(n)))
-    by_host = sums(["__host", "__suffix"]).join(by_suffix, "__suffix")
-    by_host = by_host.select("__host", "__suffix", arr([F.log((F.col(f"n{i}") + SMOOTHING * F.col(f"s{i}")) / (row_total + SMOOTHING)) for i in range(n)]).alias("__prior"))
-    rows = with_text_scores(keyed, model, text)
-    rows = sized_join(rows, spoken("__declared", "__of_declared"), ["__declared"])
-    rows = sized_join(rows, spoken("__suffix", "__of_suffix"), ["__suffix"])
-    rows = sized_join(rows, by_host, ["__host", "__suffix"])
-    zero = arr([F.lit(0.0)] * n)
-    log_prior = arr([F.lit(float(np.log(p))) for p in prior])
+        share = total(F.col("c")) / float(max(overall.sum(), 1.0))
+        return table([key]).select(key, F.zip_with("c", arr(map(float, overall)), lambda x, o: F.log((x + SMOOTHING * share) / (o + SMOOTHING))).alias(out))
+
+    by_suffix = table(["suffix"]).select("suffix", F.zip_with("c", arr(map(float, prior)), lambda x, p: (x + SMOOTHING * p) / (total(F.col("c")) + SMOOTHING)).alias("above"))
+    by_host = table(["host", "suffix"]).join(by_suffix, "suffix")
+    by_host = by_host.select("host", "suffix", F.zip_with("c", "above", lambda x, p: F.log((x + SMOOTHING * p) / (total(F.col("c")) + SMOOTHING))).alias("prior"))
+    rows = sized_join(rows, spoken("declared", "of_declared"), ["declared"])
+    rows = sized_join(rows, spoken("suffix", "of_suffix"), ["suffix"])
+    rows = sized_join(rows, by_host, ["host", "suffix"])
+    zero, log_prior = arr([0.0] * n), arr(float(np.log(p)) for p in prior)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    fused = add(add(F.col("__scores"), F.coalesce("__of_declared", zero)), add(F.coalesce("__of_suffix", zero), F.coalesce("__prior", log_prior)))
-    rows = rows.withColumn("__fused", fused).withColumn("__top", F.array_max("__fused"))
-    names = arr([F.lit(l) for l in model.languages])
-    at = lambda scores: F.element_at(names, F.expr(_argmax(scores, n)) + 1)
-    rows = rows.withColumn("language", F.when(F.col("__trigrams") > 0, F.when(F.col("__modelled"), at("__fused")).otherwise(F.col("__declared"))))
-    rows = rows.withColumn("text_language", F.when(F.col("__trigrams") > 0, at("__scores")))
-    posterior = F.round(1 / F.aggregate(F.transform("__fused", lambda x: F.exp(x - F.col("__top"))), F.lit(0.0), lambda a, x: a + x), 9)
-    rows = rows.withColumn("language_posterior", F.when(F.col("__modelled"), posterior))
-    rows = rows.withColumn("language_keep", F.when(F.col("__modelled"), F.col("__known") & (F.col("language_posterior") >= 0.5)).otherwise(F.col("__trigrams") > 0))
-    return rows.select(*docs.columns, *added)
+    sums = add(add(F.col("scores"), F.coalesce("of_declared", zero)), add(F.coalesce("of_suffix", zero), F.coalesce("prior", log_prior)))
+    rows = rows.withColumn("sums", sums).withColumn("top", F.array_max("sums"))
+    at = lambda scores: F.element_at(names, first(F.col(scores)).cast("int"))
+    worded = F.col("trigrams") > 0
+    rows = rows.withColumn("language", F.when(worded, F.when(F.col("modelled"), at("sums")).otherwise(F.col("declared"))))
+    rows = rows.withColumn("text_language", F.when(worded, at("scores")))
+    posterior = F.round(1 / total(F.transform("sums", lambda x: F.exp(x - F.col("top")))), 9)
+    rows = rows.withColumn("language_posterior", F.when(F.col("modelled"), posterior))
+    rows = rows.withColumn("language_keep", F.when(F.col("modelled"), F.col("known") & (F.col("language_posterior") >= 0.5)).otherwise(worded))
+    return rows.select("box", *ADDED)
+
+
+def identified(
+    docs: DataFrame, model: Model | None = None, text: str = "text", declared: Column | None = None, suffix: Column | None = None,
+    host: Column | None = None, label: str = "lang", keep: list[str] | None = None, most: int = MOST_FIT,
+) -> DataFrame:
+    """``box`` (the columns of ``docs``, or those of ``keep``) and the ADDED columns. Without a model, the column
+    ``label`` of the documents themselves teaches one."""
+    own = model is None
+    model = fitted(docs, text, label, most) if own else model
+    if not model.languages:
+        return boxed(docs, keep, language=F.lit(None).cast("string"), language_posterior=F.lit(0.0), text_language=F.lit(None).cast("string"), language_keep=F.lit(False))
+    value = lambda c: F.lit("") if c is None else F.coalesce(c.cast("string"), F.lit(""))
+    named = {"declared": value(declared), "suffix": value(suffix), "host": value(host), "text": F.col(text).cast("string")}
+    rows = boxed(docs, keep, **named, **({"label": F.col(label).cast("string")} if own else {}))
+    rows = scored(rows, model)
+    if own:
+        model = Model(model.languages, model.tables, bounds(rows, model, "label"))
+    return fused(rows, model)
+
+
+def identify(docs: DataFrame, model: Model | None = None, text: str = "text", **evidence) -> DataFrame:
+    """``docs`` plus language, language_posterior, text_language and language_keep; evidence as in ``identified``."""
+    return unboxed(identified(docs, model, text, **evidence), {c: F.col(c) for c in ADDED})
+
+
+def suffix_of(host: Column) -> Column:
+    """What follows a host's last dot; empty without one."""
+    return F.regexp_extract(F.coalesce(host.cast("string"), F.lit("")), r"\.([^.]+)$", 1)
+
+
+def of_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``identified`` for the table of documents: the source stands for the host, and its suffix for the address
+    suffix; the column ``lang`` is what was declared, and the label of the texts that teach the model."""
+    return identified(docs, declared=F.col("lang"), suffix=suffix_of(F.col("source")), host=F.col("source"), keep=keep)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -202,16 +285,14 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document; its language column is what was declared, its source the host."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows = identify(docs, train(docs), declared=F.col("lang"), host=F.col("source"))
-    return rows.select("doc_id", "language", "language_posterior", "text_language", "language_keep")
+    return unboxed(of_documents(read(spark, sf_dir, "documents"), ["doc_id"]), {c: F.col(c) for c in ADDED})
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, with the evidence of its markup and address; texts of the documents teach the model."""
     model = train(read(spark, sf_dir, "documents"))
     pages = page_evidence(read(spark, sf_dir, "pages"))
-    rows = identify(pages, model, "page_text", F.col("declared"), F.col("suffix"), F.col("host"))
+    rows = identify(pages, model, "page_text", declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"), keep=["page_id", "declared"])
     return rows.select("page_id", "language", "language_posterior", "text_language", "declared", "language_keep")
 
 

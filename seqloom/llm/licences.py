@@ -4,7 +4,8 @@ A text is made canonical: lower case, copyright lines dropped, punctuation and w
 single spaces, equivalent spellings unified. The SHA-256 digest of the canonical text is
 hash-joined with the digests of known licence texts and notices (a fixed list, so it may be
 broadcast). Each document is looked up as one entire text, and each of its lines as an entire
-text of its own, which finds notices inside documents.
+text of its own, which finds notices inside documents. Only texts that begin with the first word of a
+known text, in any spelling, are hashed; the others can't be known.
 
 Result: one row per document, licence and scope (``document`` or ``line``) with the number of
 matching units; documents without a known licence have no row. Defined results: null and empty
@@ -14,11 +15,13 @@ than any known text can be in any spelling are never hashed, which loses nothing
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .licence_texts import known
+from .licence_texts import DIGESTS, FIRST_WORDS, LONGEST, known
 
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|by )|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
@@ -72,24 +75,36 @@ def one_line(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
-    """licence, digest, n_chars (without unified spellings) of every known text."""
+    """licence and digest of every known text."""
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
     rows = spark.sql("select * from values " + ", ".join(f"({quote(i)}, {quote(t)})" for i, t in known()) + " as t(licence, text)")
     rows = rows.withColumn("plain", one_line(plain_lines(F.col("text"))))
-    return rows.select("licence", F.sha2(spelled(F.col("plain")).cast("binary"), 256).alias("digest")).distinct()
+    rows = rows.select("licence", F.sha2(spelled(F.col("plain")).cast("binary"), 256).alias("digest"))
+    return rows.unionByName(spark.createDataFrame(DIGESTS, "licence string, digest string")).distinct()
 
 
 def longest() -> int:
     """Characters beyond which a text can't be a known one: spellings at most double a text."""
-    return 2 * max(len(t) for _, t in known())
+    return 2 * max(LONGEST, *(len(t) for _, t in known()))
+
+
+def first_words() -> list[str]:
+    """The words that a canonical text of a known licence may begin with before spellings are unified."""
+    words = {re.sub(r"[\W_]+", " ", t.lower()).split()[0] for _, t in known()} | set(FIRST_WORDS)
+    while True:
+        more = {a.split()[0] for a, b in SPELLINGS if b.split()[0] in words} - words
+        if not more:
+            return sorted(words)
+        words |= more
 
 
 def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_lines(F.col("text").cast("string")).alias("plain"))
     rows = rows.withColumn("whole", one_line(F.col("plain")))
-    lines = F.filter(F.transform(F.split("plain", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= longest()))
+    begins = lambda x: F.substring_index(x, " ", 1).isin(first_words()) & (F.length(x) <= longest())
+    lines = F.filter(F.transform(F.split("plain", "\n"), lambda x: F.trim(x)), begins)
     units = F.concat(
-        F.when((F.length("whole") <= longest()) & (F.col("whole") != ""), F.array(F.struct(F.lit("document").alias("scope"), F.col("whole").alias("unit")))).otherwise(
+        F.when(begins(F.col("whole")), F.array(F.struct(F.lit("document").alias("scope"), F.col("whole").alias("unit")))).otherwise(
             F.array().cast("array<struct<scope:string,unit:string>>")
         ),
         F.transform(lines, lambda x: F.struct(F.lit("line").alias("scope"), x.alias("unit"))),
@@ -124,7 +139,8 @@ SQL = {
     d as (select doc_id, {_duck_plain('text')} as plain from documents),
     u as (select doc_id, 'document' as scope, trim(regexp_replace(plain, '[ \\n]+', ' ', 'g')) as unit from d
           union all select doc_id, 'line' as scope, trim(unnest(string_split(plain, chr(10)))) as unit from d),
-    s as (select doc_id, scope, {_duck_spelled('unit')} as canonical from u where unit <> '' and length(unit) <= {longest()})
-    select doc_id, licence, scope, count(*) as n_matches from s join k using (canonical) group by all"""
+    s as (select doc_id, scope, {_duck_spelled('unit')} as canonical from u where unit <> '' and length(unit) <= {longest()}),
+    kd as (select licence, sha256(canonical) as digest from k union select * from (values {", ".join(f"({_q(i)}, {_q(d)})" for i, d in DIGESTS)}) as x(licence, digest))
+    select doc_id, licence, scope, count(*) as n_matches from (select doc_id, scope, sha256(canonical) as digest from s) join kd using (digest) group by all"""
 }
 QUERIES = {"op10_licence_scan": op10_licence_scan}

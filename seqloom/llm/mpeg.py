@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, read, small_batches
+from .common import free_names, numbered, plus, quoted, read, small_batches
 
 UNIT = 576
 #: kbit/s by header index, for (MPEG-1, layer) and (MPEG-2 and 2.5, layer).
@@ -232,9 +232,10 @@ def _parts(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]
 
 def with_media(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without its text, plus n_bytes and media: the text stored as MPEG audio."""
-    keep = [c for c in df.columns if c not in (text, "media", "n_bytes")]
-    df = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("__raw"))
-    schema = plus(df.select(*keep), "n_bytes long, media binary")
+    keep = [c for c in df.columns if c != text]
+    kept = df.select(*map(quoted, keep))
+    schema = plus(kept, "{} long, {} binary".format(*free_names(keep, ["n_bytes", "media"])))
+    df = df.select(*map(quoted, keep), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +247,7 @@ def with_media(df: DataFrame, text: str = "text") -> DataFrame:
                     [*part.columns[: len(keep)], pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=schema.names
                 )
 
-    return df.mapInArrow(run, schema)
+    return numbered(df).mapInArrow(run, schema)
 
 
 FOUND = "payload binary, n_frames long, n_samples long, sample_rate int, seek_offsets array<long>, n_crc_good long, n_crc_bad long, n_skipped long, table_kind string, tag_n_bytes long"
@@ -255,14 +256,13 @@ FOUND = "payload binary, n_frames long, n_samples long, sample_rate int, seek_of
 def with_found(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` plus what its media column holds: payload, exact duration (n_samples over sample_rate),
     frame seek offsets, checksums, skipped bytes, table and tag."""
-    names = [f.split()[0] for f in FOUND.split(", ")]
-    df = df.drop(*names)
+    names, kinds = zip(*(f.split() for f in FOUND.split(", ")))
     small_batches(df.sparkSession)
-    schema = plus(df, FOUND)
+    schema = plus(df, ", ".join(f"{n} {k}" for n, k in zip(free_names(df.columns, names), kinds)))
+    column = df.columns.index(media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.schema.get_field_index(media)
             for at in _parts(batch.column(column)):
                 part = batch.slice(*at)
                 got = [load(m or b"") for m in part.column(column).to_pylist()]
@@ -283,7 +283,7 @@ def with_found(df: DataFrame, media: str = "media") -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return numbered(df).mapInArrow(run, schema)
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,20 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
+from collections import Counter
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, chat_template, components, fingerprints, jaccard_join, language, licences, mixing, mpeg, quality, url_filter
-from seqloom.llm.licence_texts import TEXTS
+from seqloom.llm import bpe, chat_template, common, components, fingerprints, jaccard_join, language, licences, mixing, mpeg, quality, url_filter, words
+from seqloom.llm.licence_texts import DIGESTS, TEXTS
+
+from . import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __h string, canonical string, path string"
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -40,7 +45,7 @@ def test_fingerprints(spark):
     docs = [(i, t) for i, t in ODD if i is not None]
     got = fingerprints.fingerprint_documents(table(spark, ODD)).collect()
     assert len(got) == len(ODD)
-    order = sorted([(i if i is not None else -(2**62), t or "") for i, t in ODD], key=lambda x: (-x[0], x[1]))
+    order = sorted([(i if i is not None else -(2**70), t or "") for i, t in ODD], key=lambda x: (-x[0], x[1]))
     after = {order[j]: order[(j + 1) % len(order)][1] for j in range(len(order))}
     for r in got:
         text = next((t or "") for i, t in docs + [(None, "a b c d e f g h")] if i == r.doc_id)
@@ -79,6 +84,28 @@ def test_fingerprint_estimates(spark):
     assert set(r.m.hashes) <= set(brute_sketch(short)[1]) | set(brute_sketch(half)[1])
 
 
+def test_containment_of_short_texts_is_never_wrongly_none(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = spark.createDataFrame([(i, " ".join(words[20 * i : 20 * i + 8]), " ".join(words)) for i in range(100)] + [(100, "x y", "z"), (101, "", "z")], "i int, a string, b string")
+    for c in "ab":
+        rows = fingerprints.with_sketch(rows, c, "s" + c)
+    rows = fingerprints.exact_containment(rows, "a", "b", "exact").withColumn("c", fingerprints.containment("sa", "sb"))
+    got = {r.i: (r.c, r.exact) for r in rows.select("i", "c", "exact").collect()}
+    assert {c for i, (c, _) in got.items() if i < 100} == {None, 1.0} and all(x == 1.0 for i, (_, x) in got.items() if i < 100)
+    assert got[100] == (0.0, 0.0) and got[101] == (1.0, 1.0)
+    assert rows.where("c = 1").count() + rows.where("c is null").count() == 101  # a filter on it comes back in time
+
+
+def test_fingerprint_order_over_extreme_ids(spark):
+    ids = [-(2**63), -(2**63) + 1, -1, 0, 2**62, 2**63 - 1]
+    rows = spark.createDataFrame([*((i, f"w{i} a b c d") for i in ids), (None, "none"), (None, "other")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_chars): r.edited_sha256 for r in fingerprints.fingerprint_documents(rows).collect()}
+    texts = [(i, f"w{i} a b c d") for i in reversed(ids)] + [(None, "none"), (None, "other")]
+    for (i, t), (_, n) in zip(texts, texts[1:] + texts[:1]):
+        assert got[i, len(t)] == hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 
@@ -99,18 +126,34 @@ def test_quality(spark):
     labels = spark.createDataFrame([(r[0], r[4], 0) for r in rows[:200]], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
     assert sum(got[r[0]].quality_keep == bool(r[4]) for r in rows[200:]) >= 198  # held out
-    odds = quality.train(docs, labels)
-    assert (odds == quality.train(docs.repartition(3), labels)).all()
-    # brute force of the shrinkage, one level
-    p = {r[0]: 1 / (1 + math.exp(-(odds[0] + np.dot(odds[1:], quality.features(r[1].encode()))))) for r in rows}
-    total, n = sum(p.values()), len(p)
-    hosts = {h: [p[r[0]] for r in rows if r[3] == h] for h in {r[3] for r in rows}}
-    m = total / n
-    between = max(sum(len(v) * (sum(v) / len(v) - m) ** 2 for v in hosts.values()) / n - m * (1 - m) * len(hosts) / n, 0)
-    strength = min(max(m * (1 - m) / between - 1, 1.0), 1e4)
-    for r in rows[:20]:
-        v = hosts[r[3]]
-        assert got[r[0]].host_rate == pytest.approx((sum(v) - p[r[0]] + m * strength) / (len(v) - 1 + strength), abs=1e-4)
+    model = quality.train(docs, labels)
+    again = quality.train(docs.repartition(3), labels)
+    assert (model.weights == again.weights).all() and (model.tables == again.tables).all()
+    want = brute.qualities([(r[1], r[3], r[2]) for r in rows], model)
+    for r, w in zip(rows, want):
+        g = got[r[0]]
+        assert (g.host_rate, g.path_rate, g.quality_posterior) == pytest.approx(w[:3], abs=1e-6) and g.quality_keep == w[3]
+
+
+def test_quality_by_words_alone(spark):
+    # both kinds have one shape; only the vocabulary tells them
+    rng = random.Random(5)
+    kinds = [[f"{a}{b}" for a in "bdfgk" for b in ("ato", "eri", "omu")], [f"{a}{b}" for a in "lmnps" for b in ("ato", "eri", "omu")]]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(50)), "en", f"s{i % 3}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.quality_keep for r in quality.judge(docs, labels).collect()}
+    assert all(got[i] == bool(i % 2) for i in range(200, 400))
+
+
+def test_measure_piece_by_piece(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["The", "the", "LOUD", "a..b", "x!!", "é", "\n", "word"]) for _ in range(3000)).encode()
+    whole = quality.measure(text)
+    monkeypatch.setattr(words.pieces, "__defaults__", (1000,))
+    parts = quality.measure(text)
+    assert parts[0][:13] == pytest.approx(whole[0][:13]) and parts[0][14:] == pytest.approx(whole[0][14:])
+    assert (parts[1] == whole[1]).all() and (parts[2] == whole[2]).all()
 
 
 def test_quality_odd_rows(spark):
@@ -139,12 +182,12 @@ def test_schedule_deviation(weights):
 
 def test_mixing_rows(spark):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 else f"s{i % 4}") for i in range(900)] + [(None, "t", "en", None), (5, "t5", "en", "hot"), (5, "t5", "en", "hot")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("mix_slot", F.lit("x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("MIX_slot", F.lit("x"))
     got = mixing.with_positions(docs, block_rows=8).collect()
     assert sorted(r.mix_position for r in got) == list(range(len(rows)))
     by_slot = {}
     for r in got:
-        by_slot.setdefault(r.mix_slot, set()).add((r.mix_source, r.mix_block))
+        by_slot.setdefault(r.mix_slot_, set()).add((r.mix_source, r.mix_block))
     assert all(len(v) == 1 for v in by_slot.values())
     again = mixing.with_positions(docs.repartition(7), block_rows=8).collect()
     assert {(r.doc_id, r.mix_position) for r in got if r.doc_id != 5} == {(r.doc_id, r.mix_position) for r in again if r.doc_id != 5}
@@ -153,6 +196,29 @@ def test_mixing_rows(spark):
     assert mixing.with_positions(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 64])
+def test_mixing_against_brute_force(spark, block, monkeypatch):
+    rng = random.Random(block)
+    rows = [(i, rng.choice(["hot"] * 8 + ["a", "b", None])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    counts = Counter(s or "" for _, s in rows)
+    for targets in (mixing.default_targets(counts), {"hot": Fraction(1, 2), "a": Fraction(1, 3), "b": Fraction(1, 6)}):
+        want = brute.positions(rows, targets, block)
+        got = mixing.with_positions(docs, targets, block).collect()
+        assert {r.doc_id: (r.mix_source, r.mix_block, r.mix_slot) for r in got} == {i: w[:3] for i, w in want.items()}
+        assert {r.doc_id: r.mix_position for r in got} == {i: w[3] for i, w in want.items()}
+
+
+def test_schedule_repeats_its_period():
+    rng = random.Random(1)
+    for _ in range(100):
+        blocks = {f"s{i}": rng.randrange(80) for i in range(rng.randrange(1, 6))}
+        targets = {s: Fraction(rng.randrange(7)) for s in blocks}
+        assert mixing.schedule(blocks, targets) == brute.slots(blocks, targets)
+    big = mixing.phases({"a": 3 * 10**8, "b": 2 * 10**8}, {"a": Fraction(3, 5), "b": Fraction(2, 5)})
+    assert [(n, len(x)) for n, x in big] == [(10**8 - 1, 5), (1, 5)]  # what is worked out doesn't grow with the blocks
+
+
 # --- language ------------------------------------------------------------------------------------
 
 SPOKEN = {"en": "the of and which that with from house water light", "de": "der die und nicht haus wasser licht schön über mit", "fr": "le la les et que dans maison eau lumière été"}
@@ -169,7 +235,7 @@ def test_language(spark):
     model = language.train(docs)
     wrong = spark.createDataFrame([(i, t, "en", s) for i, t, _, s in spoken(90, 7)] + [(900, "漢字仮名交じり文の例です" * 20, "en", "h0"), (901, None, None, None), (902, "", "en", "h1")], docs.schema)
     got = {r.doc_id: r for r in language.identify(wrong.withColumn("language", F.lit(1)), model, declared=F.col("lang"), host=F.col("source")).collect()}
-    assert all(got[i].language == l and got[i].language_keep for i, _, l, _ in spoken(90, 7))
+    assert all(got[i].language_ == l and got[i].language == 1 and got[i].language_keep for i, _, l, _ in spoken(90, 7))
     assert not got[900].language_keep and not got[901].language_keep and not got[902].language_keep
     assert language.identify(wrong.where("false"), model).count() == 0
     none = language.train(docs.where("false"))
@@ -209,6 +275,41 @@ def test_language_without_a_model_is_kept_as_declared(spark, monkeypatch):
     assert got[1000].language_posterior is None and not got[1002].language_keep
 
 
+def same_language(got, want):
+    post = lambda x: None if x is None else pytest.approx(x, abs=1e-5)
+    return (got.language, got.text_language, got.language_keep) == (want[0], want[2], want[3]) and got.language_posterior == post(want[1])
+
+
+@pytest.mark.parametrize("at_once", [1, 2, 32])
+def test_language_against_brute_force(spark, at_once, monkeypatch):
+    monkeypatch.setattr(language, "AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    rows = [(i, t if i % 7 else rng.choice(["die the", "haus", "la", "", None]), rng.choice([l, l, "en", "", None]), rng.choice(["x.de", "y.fr", "shop.de", "plain", None])) for i, t, l, _ in spoken(120)]
+    rows += [(900, "漢字仮名交じり文の例です" * 20, None, "x.de"), (901, "ett hus med vatten och ljus " * 4, "sv", "y.se")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.unboxed(language.of_documents(docs), {c: F.col(c) for c in language.ADDED}).collect()}
+    suffix = lambda h: h.rsplit(".", 1)[1] if h and "." in h else ""
+    want = brute.Languages([(t, l) for _, t, l, _ in rows]).judge([(t, l, suffix(h), h) for _, t, l, h in rows])
+    assert all(same_language(got[r[0]], w) for r, w in zip(rows, want))
+    assert not got[900].language_keep and got[901].language == "sv"
+
+
+def test_language_of_pages_against_brute_force(spark, tmp_path):
+    docs = [(i, t, l, s) for i, t, l, s in spoken(90)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rng = random.Random(2)
+    pages = []
+    for i, t, l, _ in spoken(60, 9):
+        host = f"h{i % 3}.example.{rng.choice([l, 'com'])}"
+        pages.append((i, f"http://{host}/x", f"<html lang={rng.choice([l, 'en'])}><body><p>{t if i % 3 else 'haus la'}</p></body></html>"))
+    pages.append((99, None, None))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in language.language_of_pages(spark, str(tmp_path)).collect()}
+    found = language.page_evidence(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()
+    want = brute.Languages([(t, l) for _, t, l, _ in docs]).judge([(r.page_text, r.declared, r.suffix, r.host) for r in found])
+    assert len(got) == 61 and all(same_language(got[r.page_id], w) for r, w in zip(found, want))
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://A.example.DE/x", '<HTML dir=ltr lang="de-AT"><head>no</head><p>ja <b>gut</b><script>x</script>'), (2, None, None)], "page_id long, url string, html string")
     a, b = language.page_evidence(pages).orderBy("page_id").collect()
@@ -232,7 +333,7 @@ def test_bpe_equals_the_library(spark):
     assert len(got) == len(rows)
     for r in got:
         want = t.encode(r.text or "", add_special_tokens=False).ids
-        assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
+        assert np.frombuffer(r.ids_, "<u4").tolist() == want and r.n_tokens == len(want) and r.ids == 1
         assert r.decoded == t.decode(want, skip_special_tokens=False)
     assert bpe.with_text(bpe.with_ids(table(spark, ODD))).where("decoded <> coalesce(text, '')").count() == 0
     assert bpe.with_ids(table(spark, ODD).where("false")).count() == 0
@@ -369,31 +470,6 @@ def test_media_digests(spark):
 # --- Jaccard join --------------------------------------------------------------------------------
 
 
-def brute_join(rows):
-    import re
-
-    sets = []
-    for i, t in rows:
-        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        sets.append({b" ".join(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} if w else set())
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in range(len(rows)):
-        for b in range(a):
-            if None not in (rows[a][0], rows[b][0]) and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                root[find(a)] = find(b)
-    least = {}
-    for x, (i, _) in enumerate(rows):
-        if i is not None:
-            least[find(x)] = min(least.get(find(x), i), i)
-    return sorted((repr(i), len(sets[x]), repr(None if i is None else least[find(x)] if sets[x] else i)) for x, (i, _) in enumerate(rows))
-
-
 def family(rng, n, words=60, edits=6):
     base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
     out = [" ".join(base)]
@@ -415,12 +491,30 @@ def test_join_against_brute_force(spark, seed):
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_join(rows)
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute.join(rows)
+
+
+@pytest.mark.parametrize("what", ["hot", "doubled", "long"])
+def test_join_in_rare_ways(spark, what, monkeypatch):
+    rng = random.Random(9)
+    texts = [t for _ in range(4) for t in family(rng, 12)] + [" ".join(["p q r s t", *(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 9)))]) for _ in range(60)]
+    if what == "hot":  # a shingle of 8 documents is dealt out in parts
+        monkeypatch.setattr(jaccard_join, "HOT", 8)
+        monkeypatch.setattr(jaccard_join, "LEAST_COMMON", 2)
+        texts = ["p q r s t " * 3 + t for t in texts]
+    elif what == "doubled":  # halves of set names that many sets share
+        real = jaccard_join.names_of
+        monkeypatch.setattr(jaccard_join, "names_of", lambda tokens: (real(tokens)[0] % 7, real(tokens)[1]))
+    else:
+        monkeypatch.setattr(jaccard_join, "CHUNK", 40)
+    rows = list(enumerate(texts + texts[:9]))
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute.join(rows)
 
 
 def test_join_odd_rows(spark):
     got = jaccard_join.join(table(spark, ODD)).collect()
-    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute_join(ODD)
+    assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute.join(ODD)
     assert jaccard_join.join(table(spark, ODD).where("false")).count() == 0
     kept = jaccard_join.one_of_each(table(spark, ODD))
     assert kept.columns == table(spark, ODD).columns
@@ -462,3 +556,64 @@ def test_licences(spark):
     got = {(r.doc_id, r.licence, r.scope): r.n_matches for r in licences.scan(table(spark, texts)).collect()}
     assert got == {(1, "MIT", "document"): 1, (2, "MIT", "document"): 1, (3, "MIT", "line"): 2, (None, "CC-BY-NC-4.0", "document"): 1, (None, "CC-BY-NC-4.0", "line"): 1}
     assert licences.scan(table(spark, texts).where("false")).count() == 0
+
+
+def test_licences_whole_long_texts(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    if not all(os.path.isfile(f"{folder}/{f}") for f in names.values()):
+        pytest.skip("no licence texts")
+    assert set(names) <= {i for i, _ in DIGESTS}
+    texts = [open(f"{folder}/{f}", encoding="utf-8").read() for f in names.values()]
+    rows = [(i, re.sub(r"\bLICENSE\b", "LICENCE", t.upper().replace(" ", "  "))) for i, t in enumerate(texts)] + [(100 + i, t + " more") for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.licence) for r in licences.scan(table(spark, rows)).where("scope = 'document'").collect()}
+    assert got == set(enumerate(names))
+
+
+# --- all operators -------------------------------------------------------------------------------
+
+CLASHES = ["box", "text_", "evidence", "host", "path", "pn", "hs", "id", "h", "r", "n", "rank", "slot", "start", "declared", "known", "means", "scores", "prior", "language",
+           "quality_keep", "mix_position", "mix_source", "ids", "n_tokens", "decoded", "w0", "block", "canonical", "found", "own", "rule", "gone", "Host", "a.b", "with space", "__next", "__b"]
+OPERATORS = {
+    "fingerprints": lambda spark, df: fingerprints.fingerprint_documents(df),
+    "quality": lambda spark, df: quality.judge(df, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")),
+    "language": lambda spark, df: language.identify(df, declared=F.col("lang"), suffix=F.col("source"), host=F.col("source")),
+    "mixing": lambda spark, df: mixing.with_positions(df),
+    "mixed": lambda spark, df: mixing.mixed(df),
+    "bpe": lambda spark, df: bpe.with_ids(df, decode=True),
+    "urls": lambda spark, df: url_filter.judge(df, df.select(F.col("url")).where("doc_id = 1")),
+    "join": lambda spark, df: jaccard_join.join(df),
+    "one_of_each": lambda spark, df: jaccard_join.one_of_each(df),
+    "licences": lambda spark, df: licences.scan(df),
+    "media": lambda spark, df: mpeg.with_found(mpeg.with_media(df)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_columns(spark, name):
+    texts = [(1, "a b c d e f"), (2, None), (None, "x"), (2, "a b c d e f"), (3, "Released under the MIT License.")]
+    df = spark.createDataFrame([(i, t, "en" if t else None, "s", f"http://{j}.net/") for j, (i, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, url string")
+    for c in CLASHES:
+        if c != "Host":
+            df = df.withColumn(c, F.lit(f"mine {c}"))
+    df = df.withColumns({"maps": F.array(F.create_map(F.lit("k"), F.lit(1))), "raw": F.lit(b"1"), "nothing": F.lit(None).cast("double")})
+    columns = df.columns
+    for rows in (df, df.where("false")):
+        out = OPERATORS[name](spark, rows)
+        got = out.collect()
+        columns = [c for c in columns if name != "media" or c != "text"]
+        if name not in ("fingerprints", "join", "licences"):
+            assert out.columns[: len(columns)] == columns and len({c.lower() for c in out.columns}) == len(out.columns)
+            assert all(r[c] == f"mine {c}" for r in got for c in CLASHES if c != "Host")
+        assert rows is df or not got
+        assert rows is not df or len(got) == {"one_of_each": 3, "licences": 2}.get(name, len(texts))
+
+
+def test_shared_dir_needs_a_shared_folder(monkeypatch):
+    monkeypatch.setattr(common, "_OWN", {})
+    session = lambda master, where=None: SimpleNamespace(conf={"spark.checkpoint.dir": where}, sparkContext=SimpleNamespace(master=master))
+    assert common.shared_dir(session("spark://elsewhere:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        common.shared_dir(session("spark://elsewhere:7077"))
+    own = common.shared_dir(session("local[2]"))
+    assert os.path.isdir(own) and common.shared_dir(session("local[2]")) == own

@@ -1,13 +1,16 @@
 """The pipeline and the queries with SQL."""
 
 import os
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from seqloom.llm import jaccard_join, language, mixing, quality, registry
+from seqloom.llm import jaccard_join, mixing, quality, registry
+
+from . import brute
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -72,3 +75,48 @@ def test_run_keeps_the_mixed_order(spark, tmp_path, monkeypatch):
         want += [s] * min(64, left[s])
         left[s] -= min(64, left[s])
     assert [r.source for r in got] == want
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    spoken = {"en": "the of and which that with from house water light".split(), "de": "der die und nicht haus wasser schön über mit stein".split()}
+    rows = []
+    for i in range(260):
+        l = rng.choice(["en", "en", "de"])
+        words = [rng.choice(spoken[l]) for _ in range(rng.randrange(20, 60))]
+        if i % 6 == 0:
+            words = [w + "$$$" for w in words]
+        rows.append([i, " ".join(words), l, rng.choice(["hot", "hot", "s1", "s2", None]), i % 6 > 0])
+    for i in range(200, 230):  # copies, some with a word changed
+        words = rows[i - 150][1].split()
+        if i % 2:
+            words[3] = "changed"
+        rows[i][1], rows[i][2], rows[i][4] = " ".join(words), rows[i - 150][2], rows[i - 150][4]
+    rows += [[300, "漢字仮名交じり文の例です" * 30, None, "s1", True], [301, None, "en", "s1", True], [302, "", None, None, True]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string"
+    docs = spark.createDataFrame([(i, t, l, s, len(t or ""), "mine") for i, t, l, s, _ in rows], schema)
+    labels = spark.createDataFrame([(r[0], int(r[4]), 0) for r in rows[:100]], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    left = [r[:4] for r in rows]
+    judged = brute.qualities([(t, s, l) for _, t, l, s in left], quality.train(docs, labels))
+    left = [r for r, (*_, keep) in zip(left, judged) if keep]
+    judged = brute.Languages([(t, l) for _, t, l, _ in left]).judge([(t, l, "", s) for _, t, l, s in left])
+    left = [r for r, (*_, keep) in zip(left, judged) if keep]
+    firsts = {i for i, _, component in brute.join([(i, t) for i, t, _, _ in left]) if i == component}
+    left = [r for r in left if repr(r[0]) in firsts]
+    assert 100 < len(left) < 230
+    counts = Counter(s or "" for *_, s in left)
+    places = brute.positions([(i, s) for i, _, _, s in left], mixing.default_targets(counts), mixing.BLOCK_ROWS)
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert set(got) == set(places)
+    for i, text, l, s in left:
+        r = got[i]
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert (r.text, r.lang, r.source, r.ids) == (text, l, s, "mine") and (r.mix_source, r.mix_block, r.mix_slot, r.mix_position) == places[i]
+        assert list(memoryview(bytes(r.ids_)).cast("I")) == ids and r.n_tokens == len(ids)
