@@ -47,7 +47,7 @@ WORDS = 5
 #: Links have 4 * intersection >= 3 * union.
 MOST_COMMON, LEAST_COMMON = 2**21, 8
 #: Bytes of text hashed at once, prefix shingles a bucket is made for, shingles a worker gathers, classes in a slice.
-CHUNK, BUCKET_SHINGLES, GATHER, SLICE = 1_000_000, 250_000, 1_000_000, 32
+CHUNK, BUCKET_SHINGLES, GATHER, SLICE = 250_000, 250_000, 400_000, 32
 #: Classes of a posting that all others in it are compared with.
 LEADERS = 6
 #: Documents of a shingle from which its posting is dealt out in parts of about so many.
