@@ -85,7 +85,11 @@ def min_score(length: Column, edits: Column, match: int, mismatch: int) -> Colum
     return (length * match + edits * (mismatch - match)).cast("long")
 
 
-def seed_length(length: Column, edits: Column, error_rate: float) -> Column:
+def seed_length(length: Column, edits: Column, error_rate: float, fixed: int | None = None) -> Column:
+    """The least length of a read's seeds: 40, more for a read of 1,000 bases and on; or, where it is fixed, that,
+    or what a read of so many edits must have if it is more."""
+    if fixed is not None:
+        return F.greatest(F.lit(fixed), F.floor(length / edits)).cast("long")
     long = F.floor(F.floor(length / 500) * 20 / (100 * error_rate))
     return (F.lit(40) + F.when(length >= 1000, long).otherwise(0)).cast("long")
 

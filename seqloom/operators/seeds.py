@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
 from .kmers import kmers
+from .reference import with_window
 
 #: Reference k-mers up to which the table is broadcast; larger ones are joined by a shuffle on the code.
 BROADCAST_KMERS = 2_000_000
+#: Codes of too many places that are broadcast to be left out; more are left out by a shuffle.
+BROADCAST_CODES = 1_000_000
 
 
 def strands(reads: DataFrame, seq: str = "seq", forward: bool = True, reverse: bool = True) -> DataFrame:
@@ -21,29 +28,95 @@ def strands(reads: DataFrame, seq: str = "seq", forward: bool = True, reverse: b
     return out.withColumn("strand", F.col("__s.strand")).withColumn(seq, F.col("__s.s")).drop("__s")
 
 
-def hits(reads: DataFrame, reference: DataFrame, k: int, dna: bool = False, stride: int = 1, most: int | None = None) -> DataFrame:
-    """(read_id, contig_id, qpos, rpos): equal k-mers of reads (read_id, seq) and contigs (contig_id, seq).
-    The reference may be sampled by ``stride``; codes of more than ``most`` places are left out."""
-    probe = kmers(reads, "read_id", "seq", k, dna).withColumnRenamed("pos", "qpos")
-    index = kmers(reference, "contig_id", "seq", k, dna, stride).withColumnRenamed("pos", "rpos")
-    if most is not None:
-        index = index.withColumn("__n", F.count("*").over(Window.partitionBy("code"))).where(F.col("__n") <= most).drop("__n")
-    total = reference.select(F.sum(F.length("seq")).alias("n")).first()["n"] or 0
-    if total // stride <= BROADCAST_KMERS:
-        index = F.broadcast(index)
-    return probe.join(index, "code").select("read_id", "contig_id", "qpos", "rpos")
+def index_of(reference: DataFrame, k: int, dna: bool = False, stride: int = 1) -> DataFrame:
+    """(contig_id, rpos, code) of the reference's k-mers, every ``stride``-th place."""
+    return kmers(reference, "contig_id", "seq", k, dna, stride).withColumnRenamed("pos", "rpos")
+
+
+def frequent(index: DataFrame, most: int) -> DataFrame:
+    """The codes of more than ``most`` places: counted before anything is joined, partially aggregated."""
+    return index.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > most).select("code")
+
 
+def rare(index: DataFrame, most: int | None, places: int) -> DataFrame:
+    """An index (of about ``places`` rows) without the codes of more than ``most`` places, of which there are
+    fewer than places / most. An index with a column n (places of the code) is filtered by it as it is read."""
+    if most is None:
+        return index
+    if "n" in index.columns:
+        return index.where(F.col("n") <= most)
+    out = frequent(index, most)
+    return index.join(F.broadcast(out) if places // max(most, 1) <= BROADCAST_CODES else out, "code", "left_anti")
 
-def mems(found: DataFrame, k: int, min_len: int | None = None) -> DataFrame:
-    """Maximal exact matches: islands of consecutive hits on one diagonal."""
+
+def hits(
+    reads: DataFrame, reference: DataFrame, k: int, dna: bool = False, stride: int = 1, most: int | None = None, index: DataFrame | None = None, places: int | None = None
+) -> DataFrame:
+    """(read_id, contig_id, qpos, rpos): equal k-mers of reads (read_id, seq) and contigs (contig_id, seq).
+    The reference may be sampled by ``stride``; codes of more than ``most`` places are left out before the join,
+    so that a repeat costs nothing there. ``index`` is a stored one in place of the contigs' k-mers, ``places``
+    its number of rows, where that is known; else both cost a query when the plan is made."""
+    probe = kmers(reads, "read_id", "seq", k, dna).withColumnRenamed("pos", "qpos")
+    if places is None:
+        places = index.count() if index is not None else (reference.select(F.sum(F.length("seq")).alias("n")).first()["n"] or 0) // stride
+    table = rare(index_of(reference, k, dna, stride) if index is None else index, most, places)
+    table = table.select("contig_id", "rpos", "code")
+    if places <= BROADCAST_KMERS:
+        table = F.broadcast(table)
+    return probe.join(table, "code").select("read_id", "contig_id", "qpos", "rpos")
+
+
+def mems(found: DataFrame, k: int, min_len: int | None = None, stride: int = 1) -> DataFrame:
+    """Maximal exact matches: islands of consecutive hits on one diagonal. On a reference sampled by ``stride`` the
+    hits of an island are that far apart, and its ends fall short of the match's by less than that (``whole``)."""
     by = [c for c in found.columns if c not in ("qpos", "rpos")] + ["diagonal"]
     rows = found.withColumn("diagonal", F.col("rpos") - F.col("qpos"))
-    rows = rows.withColumn("__i", F.col("qpos") - F.row_number().over(Window.partitionBy(*by).orderBy("qpos")))
-    rows = rows.groupBy(*by, "__i").agg(F.min("qpos").alias("qpos"), F.min("rpos").alias("rpos"), (F.count("*") + (k - 1)).cast("int").alias("len"))
+    rows = rows.withColumn("__i", F.col("qpos") - F.lit(stride) * F.row_number().over(Window.partitionBy(*by).orderBy("qpos")))
+    length = ((F.count("*") - 1) * stride + k).cast("int")
+    rows = rows.groupBy(*by, "__i").agg(F.min("qpos").alias("qpos"), F.min("rpos").alias("rpos"), length.alias("len"))
     rows = rows.drop("__i", "diagonal")
     return rows if min_len is None else rows.where(F.col("len") >= min_len)
 
 
+def _agree(a: str, b: str, dna: bool, back: bool) -> int:
+    """How many letters two strings have in common from their start, or from their end."""
+    x, y = (np.frombuffer(t.encode("utf-32-le"), "<u4")[:: -1 if back else 1] for t in (a, b))
+    n = min(len(x), len(y))
+    same = x[:n] == y[:n]
+    if dna:
+        same &= np.isin(x[:n], [ord(c) for c in "acgt"])
+    return n if same.all() else int(same.argmin())
+
+
+def whole(seeds: DataFrame, reads: DataFrame, contigs: DataFrame, longest: int, dna: bool = False, reach: int | None = None) -> DataFrame:
+    """The matches that seeds are parts of: each is extended letter by letter at both ends, at most by ``reach``
+    letters a side (None: as far as they agree), and what then is one match is one row. Letters that are no
+    base don't match where ``dna``. ``longest`` is the length of the longest read."""
+    far = F.lit(longest if reach is None else reach).cast("long")
+    rows = seeds.join(reads.select("read_id", F.lower("seq").alias("__s")), "read_id")
+    back = F.least(far, F.col("qpos"), F.col("rpos"))
+    rows = rows.withColumn("__back", back.cast("long")).withColumn("low", F.col("rpos") - F.col("__back")).withColumn("high", F.col("rpos") + F.col("len") + far)
+    rows = rows.withColumn("__s", F.expr(f"substring(__s, cast(qpos - __back as int) + 1, cast(__back + len + {longest if reach is None else reach} as int))"))
+    rows = with_window(rows, contigs, 4 * longest + 4)
+    names = seeds.columns
+    rows = rows.select(*names, "__back", "__s", F.lower("window").alias("__w"))
+    schema = seeds.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("qpos", "rpos", "len", "__back", "__s", "__w")}
+            new: dict[str, list[int]] = {"qpos": [], "rpos": [], "len": []}
+            for q, r, n, back, a, b in zip(*columns.values()):
+                left, right = _agree(a[:back], b[:back], dna, True), _agree(a[back + n :], b[back + n :], dna, False)
+                new["qpos"].append(q - left)
+                new["rpos"].append(r - left)
+                new["len"].append(n + left + right)
+            arrays = [pa.array(new[c], batch.schema.field(c).type) if c in new else batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return rows.mapInArrow(run, schema).distinct()
+
+
 def _read(df: DataFrame) -> list[str]:
     return ["read_id", "strand"] if "strand" in df.columns else ["read_id"]
 

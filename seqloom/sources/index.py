@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.kmers import kmers
+from ..operators.seeds import index_of
 
 
 def build(contigs: DataFrame, path: str, k: int = 20, stride: int = 1, dna: bool = True) -> None:
     """Writes contigs (contig_id, name, seq) and their sampled k-mers, sorted by code inside ranges of codes,
-    so that a probe's row groups are pruned by their statistics."""
+    so that a probe's row groups are pruned by their statistics. Each has its code's number of places ``n``,
+    so that frequent ones are left out as the table is read."""
     dim = contigs.select("contig_id", "name", F.length("seq").cast("long").alias("length"), "seq")
     dim.write.mode("overwrite").parquet(f"{path}/contigs")
-    table = kmers(contigs, "contig_id", "seq", k, dna, stride)
-    table.repartitionByRange("code").sortWithinPartitions("code").write.mode("overwrite").parquet(f"{path}/kmers")
+    table = index_of(contigs, k, dna, stride)
+    counts = table.groupBy("code").agg(F.count("*").alias("n"))
+    table.join(counts, "code").repartitionByRange("code").sortWithinPartitions("code").write.mode("overwrite").parquet(f"{path}/kmers")
     contigs.sparkSession.createDataFrame([(k, stride, dna)], "k int, stride int, dna boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
 
 

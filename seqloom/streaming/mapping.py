@@ -9,9 +9,9 @@ from ..operators.kmers import kmers
 
 
 def seed_hits(reads: DataFrame, index: DataFrame, k: int, dna: bool = True) -> DataFrame:
-    """Stream-static join: each arriving read's k-mers with the index (code, contig_id, pos). Stateless."""
+    """Stream-static join: each arriving read's k-mers with the index (code, contig_id, rpos). Stateless."""
     probe = kmers(reads, "read_id", "seq", k, dna).withColumnRenamed("pos", "qpos")
-    return probe.join(index.select("code", "contig_id", F.col("pos").alias("rpos")), "code").select("read_id", "contig_id", "qpos", "rpos")
+    return probe.join(index.select("code", "contig_id", "rpos"), "code").select("read_id", "contig_id", "qpos", "rpos")
 
 
 def running_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -1,5 +1,8 @@
 import gzip
 import random
+import re
+import tracemalloc
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -162,8 +165,9 @@ def test_mapping_finds_the_origin(spark):
     right = sum(got[i].contig_id == c and abs(got[i].pos - 1 - at) <= 20 and (got[i].flag & 16 != 0) == rev for i, _, c, at, rev in sim)
     assert right >= 59
     assert all(got[i].mapq == 60 for i, *_ in sim if got[i].flag != 4)
-    again = A.rescued(reads, refs, AlignParams(error_rate=0.01), 16)
-    assert again.where("flag = 4").count() <= A.align(reads, refs, AlignParams(error_rate=0.01), 16).where("flag = 4").count()
+    strict = AlignParams(error_rate=0.01, rescue=False)
+    again = A.align(reads, refs, replace(strict, rescue=True), 16).where("flag = 4").count()
+    assert 3 <= again < A.align(reads, refs, strict, 16).where("flag = 4").count()
     local = A.align(reads, refs, AlignParams(local=True), 16).where("flag <> 4 and read_id < 900").count()
     assert local == 60
 
@@ -197,7 +201,89 @@ def test_regions_triage_edges(spark):
     empty = spark.createDataFrame([], "read_id long, contig_id long, qpos int, rpos int, len int")
     assert regions.ranked(regions.covered(regions.sessions(empty, 5), ["read_id", "contig_id", "region"])).count() == 0
     assert regions.triage(empty, 1, 1, 1).count() == 0
-    assert A.chain([(0, 0, 10), (20, 21, 10), (500, 2, 9)], 0, 0.08)[0] == [0, 1]
+    assert A.chain([(0, 0, 10), (20, 21, 10), (500, 2, 9)], 0, 0.08, 600) == ([0, 1], 2, 20)
+    assert A.chain([(3, 0, 10), (23, 21, 10)], 1, 0.08, 33) == ([0, 1], 2, 20)
+
+
+def test_growth_and_reserves():
+    p = AlignParams(max_seeds=2, max_mems=2, min_mem_length=50, error_rate=0.04)
+    # one stretch in three places is a reserve; it fills the region of the others, but not a place of its own
+    seeds = [(0, 0, 1000, 30), (0, 60, 1060, 35), *((0, 20, r, 12) for r in (1020, 5020, 9020))]
+    assert A.triage(seeds, p) == ([seeds[0], seeds[1]], seeds[2:])
+    assert A.group_regions(seeds, p, 100) == [(0, 0, 30 + 35 + 2, [(0, 1000, 30), (60, 1060, 35), (20, 1020, 12)])]
+    # the longest seed places the read: what lies left of that place begins no region of its own with it
+    far = [(90, 890, 10), (0, 1000, 30), (50, 1050, 45)]
+    assert [(a, b, x) for a, b, x in A.grown(far, 5, 100)] == [(795, 905, far[:1]), (995, 1105, far[1:])]
+    assert A.grown([], 5, 100) == []
+
+
+def test_anchors_near_a_corner():
+    p = AlignParams()
+    assert A.out_of_reach((2, 3, 20), (0, 100, 0, 100), p) and not A.out_of_reach((30, 35, 20), (0, 100, 0, 100), p)
+    assert not A.out_of_reach((2, 200, 20), (0, 100, 0, 100), p)
+
+
+def test_sampled_reference_gives_whole_matches(spark):
+    rng = random.Random(5)
+    for stride in (2, 4):
+        reads, refs = [], []
+        for i in range(8):
+            ref = "".join(rng.choice("acgt") for _ in range(400))
+            at = rng.randrange(150)
+            read = list(ref[at : at + 200])
+            for _ in range(6):
+                read[rng.randrange(200)] = rng.choice("acgtn")
+            reads.append((i, "".join(read)))
+            refs.append((i, ref))
+        r, c = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(refs, "contig_id long, seq string")
+        found = S.mems(S.hits(r, c, 12, dna=True, stride=stride), 12, stride=stride)
+        got = {(x.read_id, x.qpos, x.rpos, x.len) for x in S.whole(found, r, c, 200, True, stride - 1).where("read_id = contig_id").collect()}
+        want = {(i, *m) for (i, a), (_, b) in zip(reads, refs) for m in brute_mems(a, b, 12)}
+        # every match that holds a sampled k-mer is there, whole, and nothing else
+        assert got <= want and {x for x in want if x[3] >= 12 + stride - 1} <= got
+
+
+def test_repeats_cost_nothing_before_the_join(spark):
+    rng = random.Random(6)
+    unique = "".join(rng.choice("acgt") for _ in range(300))
+    contigs = spark.createDataFrame([(0, "a" * 5000 + unique + "a" * 3000)], "contig_id long, seq string")
+    reads = spark.createDataFrame([(i, "a" * 600) for i in range(5)] + [(9, "a" * 40 + unique[:200] + "a" * 60)], "read_id long, seq string")
+    assert S.hits(reads, contigs, 20, True, most=50).count() < 400
+    found = S.whole(S.mems(S.hits(reads, contigs, 20, True, most=50), 20), reads, contigs, 600, True)
+    assert {(r.qpos, r.rpos, r.len) for r in found.where("len >= 100").collect()} == {(0, 4960, 240)}
+    got = {r.read_id: r for r in A.align(reads, contigs, AlignParams(max_seeds=50, local=True), 20).collect()}
+    assert got[9].pos == 4961 and all(got[i].flag == 4 for i in range(5))
+
+
+def test_align_by_a_stored_sampled_index(spark, tmp_path):
+    rng = random.Random(12)
+    contigs = ["".join(rng.choice("acgt") for _ in range(6000)) for _ in range(2)]
+    sim = simulate(rng, contigs, 30)
+    reads = spark.createDataFrame([(i, s) for i, s, *_ in sim], "read_id long, seq string")
+    refs = spark.createDataFrame([(i, f"c{i}", s) for i, s in enumerate(contigs)], "contig_id long, name string, seq string")
+    table, dim, params = index.load_or_build(refs, str(tmp_path / "ix"), 16, 4)
+    got = {r.read_id: r for r in A.align(reads, dim, AlignParams(), index=A.Index(table, params["k"], params["stride"])).collect()}
+    assert all(got[i].contig_id == c and abs(got[i].pos - 1 - at) <= 50 and (got[i].flag & 16 != 0) == rev for i, _, c, at, rev in sim)
+
+
+def test_repeated_read_ids_are_refused(spark):
+    reads = spark.createDataFrame([(1, "acgtacgttgcaacgtggacta"), (1, "acgtacgttgcaacgtggacta")], "read_id long, seq string")
+    contigs = spark.createDataFrame([(0, "ttacgtacgttgcaacgtggactatt")], "contig_id long, seq string")
+    with pytest.raises(Exception, match="repeats"):
+        A.align(reads, contigs, AlignParams(), 10).collect()
+
+
+def test_banded_kernels_are_small():
+    rng = random.Random(7)
+    a = "".join(rng.choice("acgt") for _ in range(20_000))
+    b = "".join(c for c in a if rng.random() > 0.01)
+    tracemalloc.start()
+    score, cigar = K.align_global(b, a, band=250)
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and score > 15_000
+    assert sum(int(n) for n, op in re.findall(r"(\d+)([=XID])", cigar) if op != "I") == 20_000
+    tracemalloc.reset_peak()
+    assert K.extend_from(b, a, 40, band=100)[0] > 5_000 and tracemalloc.get_traced_memory()[1] < 10e6
+    tracemalloc.stop()
 
 
 def test_evaluation_edges(spark):
