@@ -72,11 +72,18 @@ def reference_span(cigar: Column | str) -> Column:
 
 
 def clip(cigar: Column | str, right: bool) -> Column:
-    """Soft-clipped bases at one end."""
-    found = F.regexp_extract(col(cigar), r"[^0-9](\d+)S$" if right else r"^(\d+)S", 1)
+    """Clipped bases (soft or hard) at one end."""
+    found = F.regexp_extract(col(cigar), r"[^0-9](\d+)[SH]$" if right else r"^(\d+)[SH]", 1)
     return F.when(found == "", F.lit(0)).otherwise(found.try_cast("long")).cast("long")
 
 
+def clipped_places(pos: Column, cigar: Column | str) -> dict[str, Column]:
+    """Where a read would begin and end if its clipped bases lay on the reference (left, right), and the same with
+    the clips of the ends swapped (left0, right0), for reads of the other strand."""
+    end, left, right = pos + reference_span(cigar) - 1, clip(cigar, False), clip(cigar, True)
+    return {"left": pos - left, "right": end + right, "left0": pos - right, "right0": end + left}
+
+
 def max_edits(length: Column, error_rate: float) -> Column:
     return (F.floor(length * F.lit(error_rate)) + 1).cast("long")
 

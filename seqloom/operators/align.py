@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.sequence import cigar_length, collapse_cigar, max_edits, reverse_complement, seed_length
+from ..functions.sequence import cigar_length, collapse_cigar, max_edits, reference_span, reverse_complement, seed_length
 from ..params import AlignParams, SeedType
 from ..sources.tables import written
 from . import kernels as K
@@ -556,6 +556,60 @@ def trace_rows(pairs: DataFrame, match=1, mismatch=-4, opening=6, extend=1) -> D
     return pairs.mapInArrow(run, schema)
 
 
+def kernel_rows(pairs: DataFrame, kernel, added: str) -> DataFrame:
+    """Columns a and b of each row through ``kernel(a, b)``, whose values are the columns ``added``."""
+    schema = StructType([*pairs.schema.fields, *StructType.fromDDL(added).fields])
+    kinds = to_arrow_schema(StructType.fromDDL(added)).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b"))
+            got = list(zip(*(kernel(x or "", y or "") for x, y in zip(a, b)))) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(got, kinds))], names=schema.names)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def walked(cigar: str, seq: str, reference: str) -> tuple[int, str]:
+    """(edits, CIGAR with = and X) of an alignment with M, I, D, N, S, H, P, = and X; ``reference`` begins where it
+    does. Letters are compared whatever their case; a base beyond the reference's end is a mismatch."""
+    import re
+
+    edits, q, r, out = 0, 0, 0, []
+    a, b = seq.lower(), reference.lower()
+    for n, op in ((int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)):
+        if op in "M=X":
+            for i in range(n):
+                same = r + i < len(b) and q + i < len(a) and a[q + i] == b[r + i]
+                edits += not same
+                out.append("=" if same else "X")
+            q, r = q + n, r + n
+            continue
+        out += [op] * n
+        edits += n if op in "ID" else 0
+        q += n if op in "IS" else 0
+        r += n if op in "DN" else 0
+    return edits, K.rle(out)
+
+
+def walk_cigars(sam: DataFrame, contigs: DataFrame, longest: int) -> DataFrame:
+    """``sam`` (contig_id, pos from 1, cigar, seq) plus edits and x0, from the sequences alone: for rows without an
+    edit tag. ``longest``: bases of the reference that a row spans at most."""
+    span = F.greatest(reference_span("cigar"), F.lit(0))
+    rows = with_window(sam.withColumn("low", F.col("pos") - 1).withColumn("high", F.col("pos") - 1 + span), contigs, longest)
+    names = sam.columns
+    schema = StructType([*sam.schema.fields, *StructType.fromDDL("edits long, x0 string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            got = [walked(c or "", s or "", w or "") for c, s, w in zip(*(column(c).to_pylist() for c in ("cigar", "seq", "window")))]
+            new = [pa.array([e for e, _ in got], pa.int64()), pa.array([x for _, x in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(column(c) for c in names), *new], names=schema.names)
+
+    return rows.select(*names, "window").mapInArrow(run, schema)
+
+
 def pair_best(one: DataFrame) -> DataFrame:
     """Best alignment of each read by score, contig, start, strand."""
     w = Window.partitionBy("read_id").orderBy(F.desc("score"), "contig_id", "start", "strand")

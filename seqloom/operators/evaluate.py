@@ -44,31 +44,53 @@ def _tally(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("pct_correct", F.expr("100 * correct div __n")).drop("__n")
 
 
-def _levels(rows: DataFrame, qualities: list[int], unique_most: int = 1) -> DataFrame:
+def _levels(rows: DataFrame, qualities: list[int], unique_most: int = 1, unique_least: int = 1) -> DataFrame:
     rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy("qname")))
-    levels = [F.struct(F.lit("all").alias("level"), F.lit(True).alias("in")), F.struct(F.lit("unique").alias("level"), (F.col("__n") <= unique_most).alias("in"))]
+    levels = [F.struct(F.lit("all").alias("level"), F.lit(True).alias("in")), F.struct(F.lit("unique").alias("level"), F.col("__n").between(unique_least, unique_most).alias("in"))]
     levels += [F.struct(F.lit(f"mapq>={q}").alias("level"), (F.col("mapq") >= q).alias("in")) for q in qualities]
     return rows.withColumn("__l", F.explode(F.array(*levels))).where("__l.in").withColumn("level", F.col("__l.level")).drop("__l", "__n")
 
 
-def against_truth(truth: DataFrame, sam: DataFrame, windows: list[int], qualities: list[int]) -> DataFrame:
-    """Per window and level: alignments near the true place are good, others of few enough edits ok.
-    truth: qname, flag, rname, pos, edits; sam: qname, flag, rname, pos, mapq, edits (-1: unknown)."""
-    t = truth.select("qname", *(F.col(c).alias(f"t_{c}") for c in ("flag", "rname", "pos", "edits")))
-    rows = _levels(sam.where(F.col("flag").bitwiseAND(4) == 0), qualities).join(t, "qname")
+def _against_truth(truth: DataFrame, sam: DataFrame, windows: list[int], paired: bool) -> DataFrame:
+    """Mapped rows of ``sam`` and windows, each with its verdict."""
+    mate = F.when(F.col("flag").bitwiseAND(64) != 0, 1).otherwise(2) if paired else F.lit(0)
+    t = truth.select("qname", mate.alias("__mate"), *(F.col(c).alias(f"t_{c}") for c in ("flag", "rname", "pos", "edits", *(["rnext"] if paired else []))))
+    rows = sam.where(F.col("flag").bitwiseAND(4) == 0).withColumn("__mate", mate).join(t, ["qname", "__mate"]).drop("__mate")
     rows = rows.withColumn("window", F.explode(F.array(*(F.lit(w) for w in windows))))
-    near = (F.col("rname") == F.col("t_rname")) & (F.col("flag").bitwiseAND(16) == F.col("t_flag").bitwiseAND(16)) & (F.abs(F.col("pos") - F.col("t_pos")) <= F.col("window"))
+    bits = 127 if paired else 16
+    near = (F.col("rname") == F.col("t_rname")) & (F.col("flag").bitwiseAND(bits) == F.col("t_flag").bitwiseAND(bits)) & (F.abs(F.col("pos") - F.col("t_pos")) <= F.col("window"))
+    if paired:
+        near = near & (F.col("rnext") == F.col("t_rnext"))
     few = (F.col("edits") >= 0) & (F.col("edits") <= F.col("t_edits"))
-    return _tally(rows.withColumn("verdict", F.when(near, 2).when(few, 1).otherwise(0)), ["window", "level"])
+    return rows.withColumn("verdict", F.when(near, 2).when(few, 1).otherwise(0))
+
+
+def against_truth(truth: DataFrame, sam: DataFrame, windows: list[int], qualities: list[int], paired: bool = False) -> DataFrame:
+    """Per window and level: alignments near the true place are good, others of few enough edits ok.
+    truth: qname, flag, rname, pos, edits; sam: qname, flag, rname, pos, mapq, edits (-1: unknown). ``paired``: truth
+    has a row for each mate, both tables have rnext, all flags of a pair must agree, and a pair is unique if
+    it has two alignments."""
+    levels = _levels(sam.where(F.col("flag").bitwiseAND(4) == 0), qualities, 2 if paired else 1, 2 if paired else 1)
+    return _tally(_against_truth(truth, levels, windows, paired), ["window", "level"])
+
+
+def per_read(truth: DataFrame, sam: DataFrame, windows: list[int], paired: bool = False) -> DataFrame:
+    """qname, window, found (0 or 1): whether any alignment of the read is good or ok. Reads of ``truth`` without a
+    mapped row are listed with 0."""
+    best = _against_truth(truth, sam, windows, paired).groupBy("qname", "window").agg(F.max(F.least("verdict", F.lit(1))).alias("found"))
+    every = truth.select("qname").distinct().withColumn("window", F.explode(F.array(*(F.lit(w) for w in windows))))
+    return every.join(best, ["qname", "window"], "left").select("qname", "window", F.coalesce("found", F.lit(0)).alias("found"))
 
 
 def against_names(sam: DataFrame, windows: list[int], qualities: list[int]) -> DataFrame:
     """As against_truth, for simulated reads whose origin was parsed from their names: contig, fwd_pos,
-    rev_pos, fwd_edits, rev_edits beside qname, flag, rname, left, right, mapq, edits."""
+    rev_pos, fwd_edits, rev_edits beside qname, flag, rname, mapq, edits and the places left, right, left0, right0
+    (``clipped_places``), the nearer of which counts."""
     rows = _levels(sam.where(F.col("flag").bitwiseAND(4) == 0), qualities, 2)
     rows = rows.withColumn("window", F.explode(F.array(*(F.lit(w) for w in windows))))
     reverse = F.col("flag").bitwiseAND(16) != 0
-    off = F.when(reverse, F.abs(F.col("right") - F.col("rev_pos"))).otherwise(F.abs(F.col("left") - F.col("fwd_pos")))
+    nearer = lambda at, a, b: F.least(F.abs(F.col(a) - F.col(at)), F.abs(F.col(b) - F.col(at)))
+    off = F.when(reverse, nearer("rev_pos", "right", "right0")).otherwise(nearer("fwd_pos", "left", "left0"))
     few = (F.col("edits") >= 0) & (F.col("edits") <= F.when(reverse, F.col("rev_edits")).otherwise(F.col("fwd_edits")))
     near = (F.col("rname") == F.col("contig")) & (off <= F.col("window"))
     return _tally(rows.withColumn("verdict", F.when(near, 2).when(few, 1).otherwise(0)), ["window", "level"])

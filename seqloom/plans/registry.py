@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import sequence as Q
 from ..operators import align as A
 from ..operators import evaluate as E
+from ..operators import kernels as K
 from ..operators import pairing as P
 from ..operators import post, regions
 from ..operators import seeds as S
 from ..operators.kmers import kmers, spectrum
 from ..operators.paired import align_pairs
 from ..params import AlignParams, PairParams
+from ..sources.report import report_lines
 from ..sources.sam import parse_sam
 from . import views as V
 
@@ -336,7 +338,7 @@ def eval_truth_windows(spark, d):
 
 @query(
     f"""with {V.SIMULATED}, kept as (select * from origin where flag & 4 = 0), {_LEVELS.format(most=2)}, w as (select *, unnest([20, 50])::int as "window" from picked),
-  v as (select *, case when rname = contig and (case when flag & 16 <> 0 then abs("right" - rev_pos) else abs("left" - fwd_pos) end) <= "window" then 2
+  v as (select *, case when rname = contig and (case when flag & 16 <> 0 then least(abs("right" - rev_pos), abs(right0 - rev_pos)) else least(abs("left" - fwd_pos), abs(left0 - fwd_pos)) end) <= "window" then 2
     when edits >= 0 and edits <= (case when flag & 16 <> 0 then rev_edits else fwd_edits end) then 1 else 0 end as verdict from w), {_TALLY.format(by='"window", level')}"""
 )
 def eval_wgsim(spark, d):
@@ -344,6 +346,63 @@ def eval_wgsim(spark, d):
     return E.against_names(rows, [20, 50], [10, 30])
 
 
+def _paired_truth(spark, d):
+    """Two mates of every order as truth, and alignments of them."""
+    o = V.table(spark, d, "orders")
+    mate = F.explode(F.array(F.lit(1), F.lit(2)))
+    truth = o.select("o_orderkey", "o_custkey", mate.alias("m")).select(
+        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("qname"), F.when(F.col("m") == 1, 99).otherwise(147).cast("long").alias("flag"),
+        F.concat(F.lit("c"), (F.col("o_custkey") % 5).cast("string")).alias("rname"), (F.col("o_custkey") % 1000 + 1).alias("pos"), F.lit("=").alias("rnext"), (F.col("o_orderkey") % 5).alias("edits"),
+    )
+    times = F.explode(F.expr("sequence(1, cast(1 + o_orderkey % 2 as int))"))
+    sam = o.select("o_orderkey", "o_custkey", times.alias("t")).select("*", mate.alias("m")).select(
+        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("qname"),
+        F.when((F.col("o_custkey") + F.col("m")) % 7 == 0, 4).when(F.col("m") == 1, 99).otherwise(F.when(F.col("o_custkey") % 3 == 0, 403).otherwise(147)).cast("long").alias("flag"),
+        F.concat(F.lit("c"), (F.col("o_custkey") % 5).cast("string")).alias("rname"), (F.col("o_custkey") % 1000 + 1 + F.col("o_orderkey") % 120 * F.col("t")).alias("pos"),
+        F.when(F.col("o_orderkey") % 13 == 0, "c9").otherwise("=").alias("rnext"), (F.col("o_custkey") % 61).alias("mapq"), (F.col("o_orderkey") % 9 - 1).alias("edits"),
+    )
+    return truth, sam
+
+
+_PAIRED_TRUTH = """ptruth as (select 'r' || o_orderkey as qname, m, case when m = 1 then 99 else 147 end as flag, 'c' || (o_custkey % 5) as rname, o_custkey % 1000 + 1 as pos, '=' as rnext, o_orderkey % 5 as edits
+    from (select *, unnest([1, 2]) as m from orders)),
+  psam as (select 'r' || o_orderkey as qname, case when (o_custkey + m) % 7 = 0 then 4 when m = 1 then 99 when o_custkey % 3 = 0 then 403 else 147 end as flag, 'c' || (o_custkey % 5) as rname,
+    o_custkey % 1000 + 1 + o_orderkey % 120 * t as pos, case when o_orderkey % 13 = 0 then 'c9' else '=' end as rnext, o_custkey % 61 as mapq, o_orderkey % 9 - 1 as edits
+    from (select *, unnest([1, 2]) as m from (select *, unnest(range(1, 2 + o_orderkey % 2)) as t from orders))),
+  kept as (select *, case when flag & 64 <> 0 then 1 else 2 end as m from psam where flag & 4 = 0),
+  lv as (select *, unnest(['all', 'unique', 'mapq>=30']) as level from (select *, count(*) over (partition by qname) as n from kept)),
+  picked as (select * from lv where level = 'all' or (level = 'unique' and n = 2) or (level = 'mapq>=30' and mapq >= 30)),
+  w as (select p.*, t.flag as tf, t.rname as tr, t.pos as tp, t.rnext as tn, t.edits as te, unnest([50, 100])::int as "window" from picked p join ptruth t using (qname, m)),
+  v as (select *, case when rname = tr and flag & 127 = tf & 127 and abs(pos - tp) <= "window" and rnext = tn then 2 when edits >= 0 and edits <= te then 1 else 0 end as verdict from w)"""
+
+
+@query(f"""with {_PAIRED_TRUTH}, {_TALLY.format(by='"window", level')}""")
+def eval_paired(spark, d):
+    return E.against_truth(*_paired_truth(spark, d), [50, 100], [30], paired=True)
+
+
+@query(
+    f"""with {_PAIRED_TRUTH}, q as (select distinct qname, unnest([50, 100])::int as "window" from ptruth),
+  f as (select qname, "window", max(least(verdict, 1)) as found from v where level = 'all' group by all) select q.qname, q."window", coalesce(found, 0)::int as found from q left join f using (qname, "window")"""
+)
+def eval_per_read(spark, d):
+    return E.per_read(*_paired_truth(spark, d), [50, 100], paired=True)
+
+
+@query(
+    f"""with {V.SAM}, e as (select *, pos + l_partkey % 40 + 10 + l_linenumber + l_partkey % 20 + 5 + 12 + l_orderkey % 4 + 1 + 30 - 1 as re, l_suppkey % 7 as lc, case when l_suppkey % 3 = 0 then 9 else 0 end as rc from sam)
+  select qname, pos, cigar, pos - lc as "left", re + rc as "right", pos - rc as left0, re + lc as right0 from e"""
+)
+def clip_swapped(spark, d):
+    return V.sam_like(spark, d).select("qname", "pos", "cigar", *(c.alias(n) for n, c in Q.clipped_places(F.col("pos"), "cigar").items()))
+
+
+@query(f"with {V.SAM}, c as (select qname, least(count(*), 101) as alignments from sam where flag <> 4 group by qname) select concat_ws(chr(9), alignments, count(*)) as line from c group by alignments")
+def report_rows(spark, d):
+    """The histogram as lines of a report."""
+    return report_lines(E.histogram(V.sam_like(spark, d)), ["alignments", "reads"])
+
+
 @query(f"with {V.SAM} select count(distinct qname) as sequences, count(distinct case when flag & 4 = 0 then qname end) as mapped, count_if(flag & 4 = 0)::bigint as alignments from sam")
 def run_stats(spark, d):
     return E.run_statistics(V.sam_like(spark, d))
@@ -456,12 +515,83 @@ def cigar_trace(spark, d):
     return rows.select("contig_id", gaps.alias("edits"))
 
 
+#: Costs of the kernels' queries: match, mismatch, gap opening and extension; band and drop of the extension.
+_MATCH, _MISMATCH, _OPEN, _EXTEND, _BAND, _DROP, _START = 1, -4, 6, 1, 9, 12, 20
+_LOW = -1_000_000
+
+
+def _short_pairs(spark, d):
+    """The start of every passage with each seventh letter changed and two missing, and the start as it is."""
+    rows = V.contigs_dna(spark, d)
+    read = F.concat(F.regexp_replace(F.expr("left(seq, 24)"), "(.{6})[cgt]", "$1a"), F.expr("substring(seq, 27, 18)"))
+    return rows.select("contig_id", read.alias("a"), F.expr("left(seq, 46)").alias("b"))
+
+
+_SHORT = f"""pairs as (select item_id as contig_id, regexp_replace(left(s, 24), '(.{{6}})[cgt]', '\\1a', 'g') || substr(s, 27, 18) as a, left(s, 46) as b
+    from (select item_id, {V.dna_sql('text')} as s from benchmark))"""
+
+
+def _sweep_sql(kind: str) -> str:
+    """Affine dynamic programming over ``pairs``, one query letter a step: table dp with i, h (scores by reference
+    column) and what ``kind`` (global, local, extension) keeps of earlier rows."""
+    low, far = _LOW, f"{_OPEN} + {_EXTEND} * (j - 1)"
+    start = {"global": f"case when j = 1 then 0 else -({far}) end", "local": "0", "extension": f"case when j = 1 then {_START} when j - 1 <= {_BAND} and {_START} - ({far}) > 0 then {_START} - ({far}) else {low} end"}[kind]
+    inside = f"abs(j - 1 - (i + 1)) <= {_BAND}" if kind == "extension" else "true"
+    came = "h[j - 1]" if kind != "extension" else f"(case when h[j - 1] > 0 then h[j - 1] else {low} end)"
+    floor = "0" if kind == "local" else str(low)
+    alive = f"case when x <= 0 then {low} else x end" if kind == "extension" else "x"
+    kept = {
+        "global": ("0 as best, 0 as best_q, 0 as best_r, false as done", "0, 0, 0, false"),
+        "local": ("0 as best, 0 as best_q, 0 as best_r, false as done", "greatest(best, list_max(nh)), 0, 0, false"),
+        "extension": (
+            f"{_START} as best, 0 as best_q, 0 as best_r, false as done",
+            f"""case when top > best then top else best end, case when top > best then i + 1 else best_q end, case when top > best then peak - 1 else best_r end,
+              top <= 0 or (top <= best and best - top - {_EXTEND} * abs((peak - 1 - best_r) - (i + 1 - best_q)) > {_DROP})""",
+        ),
+    }[kind]
+    return f"""dp as (
+      select contig_id, a, b, 0 as i, list_transform(range(1, length(b) + 2), lambda j: {start}) as h, list_transform(range(1, length(b) + 2), lambda j: {low}) as v, {kept[0]} from pairs
+      union all
+      select contig_id, a, b, i + 1, nh, nv, {kept[1]} from (
+        select *, list_max(nh) as top, list_position(nh, list_max(nh)) as peak from (
+          select *, list_transform(full_row, lambda x: {alive}) as nh from (
+            select *, list_transform(range(1, length(b) + 2), lambda j: case when {inside} then greatest(r0[j], case when j > 1 then
+                list_max(list_transform(range(1, j), lambda l: r0[l] + {_EXTEND} * l)) - {_OPEN} - {_EXTEND} * j else {low} end) else {low} end) as full_row from (
+              select *, list_transform(range(1, length(b) + 2), lambda j: case when {inside} then greatest({floor}, nv[j], case when j > 1 then
+                  {came} + case when substr(a, i + 1, 1) = substr(b, (j - 1)::int, 1) then {_MATCH} else {_MISMATCH} end else {low} end) else {low} end) as r0 from (
+                select *, list_transform(range(1, length(b) + 2), lambda j: case when {inside} then greatest(h[j] - {_OPEN}, v[j]) - {_EXTEND} else {low} end) as nv
+                from dp where i < length(a) and not done))))))"""
+
+
+@query(f"with recursive {_SHORT}, {_sweep_sql('global')} select contig_id, h[length(b) + 1]::bigint as score from dp where i = length(a)")
+def global_scores(spark, d):
+    """End-to-end scores with affine gaps."""
+    return A.kernel_rows(_short_pairs(spark, d), lambda a, b: (K.score_global(a, b, _MATCH, _MISMATCH, _OPEN, _EXTEND),), "score long").drop("a", "b")
+
+
+@query(f"with recursive {_SHORT}, {_sweep_sql('local')} select contig_id, max(best)::bigint as score from dp group by contig_id")
+def local_scores(spark, d):
+    """Best local scores with affine gaps."""
+    return A.kernel_rows(_short_pairs(spark, d), lambda a, b: K.align_local(a, b, _MATCH, _MISMATCH, _OPEN, _EXTEND)[:1], "score long").drop("a", "b")
+
+
 @query(
-    f"""with b as (select item_id, {V.dna_sql('text')} as s from benchmark) select a.item_id as contig_id, -levenshtein(a.s, b.s)::bigint as score
-  from b a join b on b.item_id = a.item_id + 1"""
+    f"""with recursive {_SHORT}, {_sweep_sql('extension')}, z as (select *, row_number() over (partition by contig_id order by i desc) as n from dp)
+  select contig_id, best::bigint as best, best_q::bigint as best_q, best_r::bigint as best_r, (case when i = length(a) and not done then list_max(h) else -1 end)::bigint as whole,
+  (case when i = length(a) and not done then list_position(h, list_max(h)) - 1 else 0 end)::bigint as whole_r from z where n = 1"""
 )
 def extend_scores(spark, d):
-    return A.trace_rows(_neighbours(spark, d), 0, -1, 0, 1).select("contig_id", "score")
+    """Extension of a seed of score 20 in a band, until its score falls too far."""
+    extension = lambda a, b: K.extend_from(a, b, _START, _MATCH, _MISMATCH, _OPEN, _EXTEND, _BAND, _DROP)
+    return A.kernel_rows(_short_pairs(spark, d), extension, "best long, best_q long, best_r long, whole long, whole_r long").drop("a", "b")
+
+
+def _rle_sql(source: str, name: str) -> str:
+    """Table ``name`` (id, part, x0, nm): where the strings a and b (of one length) of ``source`` (id, part, a, b) agree, as CIGAR."""
+    return f"""{name}_l as (select id, part, p, substr(a, p::int, 1) = substr(b, p::int, 1) as same from (select *, unnest(range(1, length(a) + 1)) as p from {source})),
+  {name}_g as (select *, p - row_number() over (partition by id, part, same order by p) as g from {name}_l),
+  {name}_r as (select id, part, same, min(p) as p, count(*) as n from {name}_g group by id, part, same, g),
+  {name} as (select id, part, string_agg(n || case when same then '=' else 'X' end, '' order by p) as x0, coalesce(sum(n) filter (where not same), 0)::bigint as nm from {name}_r group by id, part)"""
 
 
 @query()
@@ -477,11 +607,38 @@ def _passages(spark, d):
     return rows.withColumn("seq", F.when(F.col("read_id") % 2 == 0, changed).otherwise(Q.reverse_complement(changed)))
 
 
-@query()
+_PASSAGES = f"b0 as (select item_id, {V.dna_sql('text')} as s from benchmark), pa as (select item_id as id, 1 as part, regexp_replace(s, '(.{{39}})[acg]', '\\1t', 'g') as a, s as b from b0)"
+
+
+@query(
+    f"""with {_PASSAGES}, {_rle_sql('pa', 'pr')} select id as read_id, (id % 2 * 16)::bigint as flag, id as contig_id, 1::bigint as pos, 60::bigint as mapq, length(a) || 'M' as cigar,
+  (length(a) - 5 * nm)::bigint as score, nm, x0, 1 as rank from pr join pa using (id)"""
+)
 def align_single(spark, d):
     return A.align(_passages(spark, d), V.contigs_dna(spark, d), AlignParams(error_rate=0.1), k=16)
 
 
+def _indel_rows(spark, d):
+    """Alignments of the first 100 bases of every passage, changed, with two bases more and three fewer."""
+    rows = V.contigs_dna(spark, d).where("length(seq) >= 100")
+    changed = lambda a, n: F.regexp_replace(F.expr(f"substring(seq, {a}, {n})"), "(.{8})[acg]", "$1t")
+    seq = F.concat(F.lit("GG"), changed(1, 50), F.lit("nn"), changed(51, 20), changed(74, 27))
+    return rows.select("contig_id", F.lit(1).cast("long").alias("pos"), F.lit("2S50M2I20M3D27M4H").alias("cigar"), seq.alias("seq"))
+
+
+_INDELS = f"""b0 as (select item_id as id, {V.dna_sql('text')} as s from benchmark), b1 as (select * from b0 where length(s) >= 100),
+  seg as (select id, part, regexp_replace(b, '(.{{8}})[acg]', '\\1t', 'g') as a, b from (select id, unnest([1, 2, 3]) as part, unnest([substr(s, 1, 50), substr(s, 51, 20), substr(s, 74, 27)]) as b from b1))"""
+
+
+@query(
+    f"""with {_INDELS}, {_rle_sql('seg', 'sr')} select id as contig_id, (sum(nm) + 5)::bigint as edits,
+  '2S' || max(x0) filter (where part = 1) || '2I' || max(x0) filter (where part = 2) || '3D' || max(x0) filter (where part = 3) || '4H' as x0 from sr group by id"""
+)
+def cigar_walk(spark, d):
+    """Edits and =/X CIGARs of alignments that have neither, from their sequences."""
+    return A.walk_cigars(_indel_rows(spark, d), V.contigs_dna(spark, d), 4096).select("contig_id", "edits", "x0")
+
+
 def _ends(spark, d):
     """Both ends of every passage as mates, and the passages."""
     rows = V.contigs_dna(spark, d)
@@ -495,11 +652,19 @@ def _paired(mode: int) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: align_pairs(*_ends(spark, d), AlignParams(error_rate=0.1), PairParams(max_insert=2000, mode=mode), 16)
 
 
+_PAIRED = f"""with b0 as (select item_id as id, length({V.dna_sql('text')}) as n from benchmark), m as (select *, n // 3 as t, unnest([1, 2]) as mate from b0)
+  select id as read_id, mate::bigint as mate, case when mate = 1 then 99 else 147 end::bigint as flag, id as contig_id, (case when mate = 1 then 1 else n - t + 1 end)::bigint as pos, 60::bigint as mapq,
+  t || 'M' as cigar, id as mate_contig_id, (case when mate = 1 then n - t + 1 else 1 end)::bigint as mate_pos, (case when mate = 1 then n else -n end)::bigint as tlen,
+  t::bigint as score, 0::bigint as nm, t || '=' as x0, 1::bigint as rank from m"""
 for _mode in range(1, 7):
-    _QUERIES["align_paired" if _mode == 1 else f"align_paired_mode{_mode}"] = _paired(_mode)
+    _name = "align_paired" if _mode == 1 else f"align_paired_mode{_mode}"
+    _QUERIES[_name], _SQL[_name] = _paired(_mode), _PAIRED
 
 
-@query()
+@query(
+    f"""with b0 as (select item_id as id, {V.dna_sql('text')} as s from benchmark), m as (select id, least(length(s) // 3, length(s) - 19)::bigint as n from b0)
+  select id as read_id, n as score, 0::bigint as q_start, n as q_end, 19::bigint as r_start, 19 + n as r_end, n || '=' as x0 from m"""
+)
 def window_rescue(spark, d):
     """Local alignment of a third of every passage inside the whole."""
     rows = V.contigs_dna(spark, d)

@@ -140,6 +140,8 @@ def simulated(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("ctg_"), s((F.col("o_custkey") + F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(0)) % 5)).alias("rname"),
         (fwd + F.col("o_orderkey") % 60).alias("left"),
         (rev + F.col("o_orderkey") % 70).alias("right"),
+        (fwd + F.col("o_orderkey") % 60 - F.col("o_custkey") % 9).alias("left0"),
+        (rev + F.col("o_orderkey") % 70 - F.col("o_custkey") % 13).alias("right0"),
         (F.col("o_orderkey") % 61).alias("mapq"),
         (F.col("o_orderkey") % 6).alias("edits"),
     )
@@ -149,8 +151,9 @@ SIMULATED = """
 sim as (select 'ctg_' || (o_custkey % 5) || '_' || (o_custkey % 1000 + 1) || '_' || (o_custkey % 1000 + 300) || '_' || (o_orderkey % 3) || ':' || (o_orderkey % 2) || ':0_'
    || (o_custkey % 4) || ':1:' || (o_custkey % 2) || '_' || o_orderkey as qname, o_orderkey % 2 * 16 as flag,
    'ctg_' || ((o_custkey + case when o_orderkey % 11 = 0 then 1 else 0 end) % 5) as rname, o_custkey % 1000 + 1 + o_orderkey % 60 as "left",
-   o_custkey % 1000 + 300 + o_orderkey % 70 as "right", o_orderkey % 61 as mapq, o_orderkey % 6 as edits from orders),
+   o_custkey % 1000 + 300 + o_orderkey % 70 as "right", o_custkey % 1000 + 1 + o_orderkey % 60 - o_custkey % 9 as left0,
+   o_custkey % 1000 + 300 + o_orderkey % 70 - o_custkey % 13 as right0, o_orderkey % 61 as mapq, o_orderkey % 6 as edits from orders),
 parsed as (select *, regexp_extract(qname, '^(.*)_([0-9]+)_([0-9]+)_([0-9]+):([0-9]+):([0-9]+)_([0-9]+):([0-9]+):([0-9]+)_([^_]*)$',
    ['contig', 'f', 'r', 'a', 'b', 'c', 'x', 'y', 'z', 'counter']) as p from sim),
-origin as (select qname, flag, rname, "left", "right", mapq, edits, p.contig as contig, p.f::bigint as fwd_pos, p.r::bigint as rev_pos,
+origin as (select qname, flag, rname, "left", "right", left0, right0, mapq, edits, p.contig as contig, p.f::bigint as fwd_pos, p.r::bigint as rev_pos,
    p.a::bigint + p.b::bigint + p.c::bigint as fwd_edits, p.x::bigint + p.y::bigint + p.z::bigint as rev_edits, p.counter as counter from parsed)"""

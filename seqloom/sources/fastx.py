@@ -1,15 +1,19 @@
 """FASTA and FASTQ as a Python data source: ``spark.read.format("fastx").load(path)``.
 
 One partition a file (gzip can't be split); records are streamed. Options: ``mode`` reads or fasta
-(which drops empty records). A record's ordinal is its place in its file."""
+(which drops empty records). A path is a file, a folder, a glob pattern of this machine's files, or an address of a
+store that Arrow can open (hdfs, s3, gs, file). An ordinal is unique: the file's number in order times 2 ** 40,
+plus the record's place in the file; so the n-th files of two lists go together when reads are paired by ordinal."""
 
 from __future__ import annotations
 
 import glob
 import gzip
+import io
 import os
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -28,7 +32,7 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str]]:
     need = 0
 
     def done() -> tuple[str, str, str, str]:
-        head, _, comment = name.partition(" ") if " " in name else name.partition("\t")
+        head, comment = (name.split(None, 1) + ["", ""])[:2] if name[:1].strip() else ("", name)
         letters = "".join(seq).lower()
         quality = "*" if qual is None else "".join(qual)
         if qual is not None and len(quality) != len(letters):
@@ -54,8 +58,25 @@ def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str]]:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, number: int):
+        self.path, self.number = path, number
+
+
+def _files(path: str) -> list[str]:
+    if "://" not in path:
+        return sorted(glob.glob(os.path.join(path, "*"))) if os.path.isdir(path) else sorted(glob.glob(path)) or [path]
+    store, inner = FileSystem.from_uri(path)
+    if store.get_file_info(inner).type != FileType.Directory:
+        return [path]
+    found = store.get_file_info(FileSelector(inner))
+    return sorted(path.rstrip("/") + "/" + f.base_name for f in found if f.type == FileType.File and not f.base_name.startswith(("_", ".")))
+
+
+def _opened(path: str):  # noqa: ANN202
+    if "://" not in path:
+        return (gzip.open if path.endswith(".gz") else open)(path, "rt", encoding="latin-1")
+    store, inner = FileSystem.from_uri(path)
+    return io.TextIOWrapper(store.open_input_stream(inner, compression="gzip" if path.endswith(".gz") else None), encoding="latin-1")
 
 
 class _Reader(DataSourceReader):
@@ -64,15 +85,13 @@ class _Reader(DataSourceReader):
         self.mode = options.get("mode", "reads")
 
     def partitions(self) -> list[InputPartition]:
-        found = [f for p in self.paths for f in (sorted(glob.glob(os.path.join(p, "*"))) if os.path.isdir(p) else sorted(glob.glob(p)) or [p])]
-        return [_File(f) for f in found]
+        return [_File(f, i) for i, f in enumerate(f for p in self.paths for f in _files(p))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        opener = gzip.open if partition.path.endswith(".gz") else open
-        with opener(partition.path, "rt", encoding="latin-1") as f:
+        with _opened(partition.path) as f:
             for i, (name, comment, seq, qual) in enumerate(records(f)):
                 if seq or self.mode != "fasta":
-                    yield partition.path, i, name, comment, seq, qual
+                    yield partition.path, partition.number << 40 | i, name, comment, seq, qual
 
 
 class FastxSource(DataSource):

@@ -36,3 +36,14 @@ def load_or_build(contigs: DataFrame, path: str, k: int = 20, stride: int = 1, d
         build(contigs, path, k, stride, dna)
         found = load(contigs.sparkSession, path)
     return found
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """table, files, bytes, rows of a stored index."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for table in ("contigs", "kmers", "params"):
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
+        held = where.getFileSystem(conf).getContentSummary(where)
+        out.append((table, held.getFileCount(), held.getLength(), spark.read.parquet(f"{path}/{table}").count()))
+    return spark.createDataFrame(out, "table string, files long, bytes long, rows long")

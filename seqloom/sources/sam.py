@@ -34,7 +34,7 @@ def sam_header(contigs: DataFrame, version: str = "1.0") -> list[str]:
 
 
 def write_sam(rows: DataFrame, contigs: DataFrame, path: str) -> None:
-    """A folder of text files; the header is a file of its own that sorts first."""
+    """A folder of text files, as ``read_sam`` takes it; the header is the first one's."""
     spark = rows.sparkSession
-    spark.createDataFrame([("\n".join(sam_header(contigs)),)], "line string").coalesce(1).write.text(f"{path}/0-header")
-    sam_line(rows).write.text(f"{path}/1-rows")
+    head = spark.createDataFrame([("\n".join(sam_header(contigs)),)], "line string").coalesce(1)
+    head.union(sam_line(rows).select("line")).write.text(path)

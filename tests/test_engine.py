@@ -1,4 +1,5 @@
 import gzip
+import os
 import random
 import re
 import tracemalloc
@@ -23,7 +24,8 @@ from seqloom.operators import seeds as S
 from seqloom.operators.kmers import codes, kmers, windows
 from seqloom.params import AlignParams, Orientation, PairParams, SeedType, comma_list
 from seqloom.sources import fastx, index
-from seqloom.sources.sam import parse_sam, sam_header, write_sam
+from seqloom.sources.report import write_report
+from seqloom.sources.sam import read_sam, sam_header, write_sam
 
 DNA = st.text("acgt", max_size=24)
 
@@ -302,13 +304,18 @@ def test_fastx_and_sam_files(spark, tmp_path):
     fastx.register(spark)
     rows = [tuple(r)[1:] for r in spark.read.format("fastx").load(str(tmp_path / "r")).orderBy("ordinal").collect()]
     assert rows == [(0, "r1/1", "first", "acgtac", "IIIIII"), (1, "r2", "", "", ""), (2, "r3", "", "acgtnn", "*")]
+    assert [r[:2] for r in fastx.records(iter([">a\tb c d", "ac", ">e f\tg", "> h", "g"]))] == [("a", "b c d"), ("e", "f\tg"), ("", " h".strip())]
+    (tmp_path / "r" / "b.fa").write_text(">r9\nac\n")
+    for path in (str(tmp_path / "r"), f"file://{tmp_path}/r"):
+        rows = spark.read.format("fastx").load(path).orderBy("ordinal").select("ordinal", "name", "seq").collect()
+        assert [tuple(r) for r in rows][2:] == [(2, "r3", "acgtnn"), (2**40, "r9", "ac")]
     with pytest.raises(fastx.BrokenRecord):
         list(fastx.records(iter(["@x", "acgt", "+", "II"])))
     sam = spark.createDataFrame([("q", 16, "c1", 5, 60, "2S3M", None, 0, 0, "acgta", "*", 7, 1, "2S3=")], "qname string, flag long, rname string, pos long, mapq long, cigar string, rnext string, pnext long, tlen long, seq string, qual string, as long, nm long, x0 string")
     dim = spark.createDataFrame([("c1", 100)], "name string, length long")
     write_sam(sam, dim, str(tmp_path / "out"))
-    lines = spark.read.text([str(tmp_path / "out" / "0-header"), str(tmp_path / "out" / "1-rows")])
-    back = parse_sam(lines).collect()
+    assert (tmp_path / "out" / sorted(f for f in os.listdir(tmp_path / "out") if f.startswith("part"))[0]).read_text().startswith("@HD")
+    back = read_sam(spark, str(tmp_path / "out")).collect()
     assert len(back) == 1 and (back[0].qname, back[0].left, back[0].edits, back[0].rnext) == ("q", 3, 1, "*")
     assert "@SQ\tSN:c1\tLN:100" in sam_header(dim)
 
@@ -319,6 +326,19 @@ def test_index_round_trip(spark, tmp_path):
     table, dim, params = index.load_or_build(contigs, str(tmp_path / "ix"), 8, 2)
     assert params == {"k": 8, "stride": 2, "dna": True} and dim.first().length == 18
     assert table.count() == 6 and index.load(spark, str(tmp_path / "ix")) is not None
+    held = {r.table: r for r in index.sizes(spark, str(tmp_path / "ix")).collect()}
+    assert held["kmers"].rows == 6 and held["contigs"].bytes > 0 and held["params"].files >= 1
+    assert {(r.rpos, r.n) for r in table.collect()} == {(0, 2), (2, 2), (4, 2), (6, 1), (8, 1), (10, 1)} or table.groupBy("code").agg(F.min("n") == F.count("*")).collect()
+
+
+def test_report_files(spark, tmp_path):
+    write_report(spark.createDataFrame([("b", 2), ("a", None)], "level string, n long"), ["level", "n"], str(tmp_path / "r"), ["about"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["# about", "#level\tn", "a\t", "b\t2"]
+
+
+def test_walked_cigars():
+    assert A.walked("2S3M1I2M2D2=1H", "ttacgGactg", "ACTacTTTG") == (4, "2S2=1X1I2=2D2=1H")
+    assert A.walked("4M", "acgt", "ac") == (2, "2=2X") and A.walked("*", "ac", "ac") == (0, "")
 
 
 def test_streams(spark, tmp_path):

@@ -31,7 +31,7 @@ def test_query(spark, con, name):
     df = registry.queries()[name](spark, SF)
     rows = [tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()]
     if name not in registry.oracle_sql():
-        assert rows
+        assert name == "align_local" and rows  # held against planted reads in test_engine
         return
     rel = con.sql(registry.oracle_sql()[name])
     assert sorted(rel.columns) == sorted(df.columns)
