@@ -221,11 +221,13 @@ def parse(source: str) -> list[tuple]:
             elif word == "if":
                 stack.append(("if", [], (_Expression(rest).whole(),)))
             elif word in ("elif", "else"):
+                if stack[-1][0] == "else":
+                    raise TemplateError(f"{word} after else")
                 body, head = close("if")
                 test = _Expression(rest).whole() if word == "elif" else ("value", True)
-                stack.append(("if", [], (*head, body, test)))
+                stack.append(("if" if word == "elif" else "else", [], (*head, body, test)))
             elif word == "endif":
-                body, head = close("if")
+                body, head = close("else" if stack[-1][0] == "else" else "if")
                 flat = [*head, body]
                 stack[-1][1].append(("if", list(zip(flat[::2], flat[1::2]))))
             elif word == "endfor":
@@ -330,7 +332,14 @@ def _expression(node: tuple) -> Callable[[dict], object]:
         return binary
     if kind == "filter":
         f, a = FILTERS[node[1]], _expression(node[2])
-        return lambda scope: f(a(scope))
+
+        def filtered(scope: dict) -> object:
+            try:
+                return f(a(scope))
+            except TypeError as wrong:
+                raise TemplateError(str(wrong)) from None
+
+        return filtered
     parts = [_expression(x) for x in node[1:]]
     if kind == "item":
         return lambda scope: _item(parts[0](scope), parts[1](scope))

@@ -359,10 +359,13 @@ def test_templates():
     assert run("{{ 1 + 2 }}{{ 'a' if true else 'b' }}{# no #}{% set y = 'q' ~ 3 %}{{ y }}{{ z|default('-') }}") == "3aq3-"
     assert run("{% if a == 1 %}x{% elif a in [1] %}y{% else %}z{% endif %}".replace("in [1]", "== 2"), a=2) == "y"
     assert chat_template.fold_body(chat_template.parse("a{{ 1 + 1 }}{% if false %}b{% endif %}c")) == [("put", ("value", "a2c"))]
-    for bad in ("{{ x.__class__() }}", "{{ f(1) }}", "{% for %}{% endfor %}", "{% if a %}", "{% endfor %}", "{{ 'a }}", "{% import os %}", "{{ a|nofilter }}"):
+    for bad in ("{{ x.__class__() }}", "{{ f(1) }}", "{% for %}{% endfor %}", "{% if a %}", "{% endfor %}", "{{ 'a }}", "{% import os %}", "{{ a|nofilter }}", "{% if a %}{% else %}{% elif b %}{% endif %}", "{% if a %}{% else %}{% else %}{% endif %}"):
         with pytest.raises(chat_template.TemplateError):
             chat_template.parse(bad)
     assert run("{{ x.__class__ }}{{ x.y.z }}", x={}) == ""
+    for wrong in ("{{ x|length }}", "{{ 'a' + x }}"):
+        with pytest.raises(chat_template.TemplateError):
+            run(wrong, x=None)
     for text in ("", "\\l", "</turn>\n<turn>", "\\\\<", "a\\nb\n", "<|x|>"):
         assert chat_template.unescape(chat_template.escape(text)) == text == chat_template.unescape(chat_template.escape_line(text))
 
