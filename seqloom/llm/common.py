@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 BROADCAST_ROWS = 50_000
 #: Rows of one key up to which a shuffle deals them to one task.
 HOT_ROWS = 512
+#: Rows of a small intermediate table that go into one task and file.
+PACK_ROWS = 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 _TABLES: list[str] = []
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and outlives lost executors. Where at most
+    ``rows`` rows are expected, its last stage has a task for every PACK_ROWS of them, if there were more tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // PACK_ROWS)))).write.parquet(path)
     _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,10 +58,10 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
-def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins a per-key table. ``small`` is written and counted first: at most ``most`` rows are
-    broadcast, more are joined by a shuffle whose skewed partitions adaptive execution splits."""
-    small = written(small, "side")
+def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
+    """Joins a per-key table. ``small`` is written (``rows`` as in ``written``) and counted first: at most ``most``
+    rows are broadcast, more are joined by a shuffle whose skewed partitions adaptive execution splits."""
+    small = written(small, "side", rows)
     if small.count() <= most:
         small = F.broadcast(small)
     return left.join(small, on, how)

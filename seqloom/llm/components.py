@@ -32,15 +32,16 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(vertex, root) for each vertex of the links (a, b) that isn't its component's least vertex."""
+def components(links: DataFrame, total: int | None = None) -> DataFrame:
+    """(vertex, root) for each vertex of the links (a, b) that isn't its component's least vertex. ``total``: the
+    number of links, where it is known."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = written(edges, "edges")
+    edges = written(edges, "edges", total)
     seen = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
         seen = state
-        edges = written(_star(edges, True, state[0]), "edges")
-        edges = written(_star(edges, False, state[0]), "edges")  # a large star makes no more edges than there were
+        edges = written(_star(edges, True, state[0]), "edges", state[0])
+        edges = written(_star(edges, False, state[0]), "edges", state[0])  # a large star makes no more edges than there were

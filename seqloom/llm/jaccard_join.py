@@ -309,9 +309,9 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.mapInArrow(bound, "a long, b long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, doubled: frozenset[int]) -> DataFrame:
-    """cls, tokens of the wanted classes (doc_id, cls), made anew from their texts."""
-    rows = sized_join(docs, wanted, ["doc_id"], "inner", 20 * BROADCAST_ROWS).select("text", "cls")
+def sets_of(docs: DataFrame, wanted: DataFrame, most: int, doubled: frozenset[int]) -> DataFrame:
+    """cls, tokens of the wanted classes (doc_id, cls; at most ``most``), made anew from their texts."""
+    rows = sized_join(docs, wanted, ["doc_id"], "inner", 20 * BROADCAST_ROWS, most).select("text", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,11 +321,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doubled: frozenset[int]) -> Data
     return rows.mapInArrow(run, "cls long, tokens binary")
 
 
-def verified(near: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool, doubled: frozenset[int]) -> DataFrame:
-    """The links among the pairs (a, b) that bits leave; sets are made only for classes in them."""
-    near = written(near, "near")
+def verified(near: DataFrame, pairs: int, classes: DataFrame, docs: DataFrame, repeats: bool, doubled: frozenset[int]) -> DataFrame:
+    """The links among the pairs (a, b) that bits leave, of about ``pairs`` that met, as a written table; sets are made
+    only for classes in them."""
+    near = written(near, "near", pairs)
+    left = near.count()
     wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    tokens = sets_of(docs, wanted.join(classes, "cls").select("doc_id", "cls"), doubled)
+    tokens = sets_of(docs, wanted.join(classes, "cls").select("doc_id", "cls"), 2 * left, doubled)
     tokens = written(tokens.dropDuplicates(["cls"]) if repeats else tokens, "sets")
     whole = near.join(tokens.toDF("a", "a_tokens"), "a").join(tokens.toDF("b", "b_tokens"), "b").select("a", "b", "a_tokens", "b_tokens")
 
@@ -340,7 +342,7 @@ def verified(near: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool
                 keep.append(4 * common >= 3 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return whole.mapInArrow(exact, "a long, b long")
+    return written(whole.mapInArrow(exact, "a long, b long"), "links", left)
 
 
 def _entries(found: DataFrame) -> DataFrame:
@@ -366,17 +368,20 @@ class Matrix:
     Groups are the linked ones (settled by one link) and, among classes that nothing linked yet, those
     of one least shared shingle and about one size (where every pair counts)."""
 
-    def __init__(self, entries: DataFrame, grouped: DataFrame, classes: DataFrame, total: int):
-        sizes = written(grouped.groupBy("root").agg((F.count("*") + 1).alias("members")), "sizes")
+    def __init__(self, entries: DataFrame, many: int, grouped: DataFrame, classes: DataFrame):
+        """``many``: the number of entries."""
+        total = grouped.count()
+        sizes = written(grouped.groupBy("root").agg((F.count("*") + 1).alias("members")), "sizes", total)
         rooted = spread_join(grouped, sizes, "root", "members", total).select(F.col("vertex").alias("cls"), F.col("root").alias("grp"), "members")
-        self.rooted = written(rooted.unionByName(sizes.select(F.col("root").alias("cls"), F.col("root").alias("grp"), "members")), "groups")
+        self.rooted = written(rooted.unionByName(sizes.select(F.col("root").alias("cls"), F.col("root").alias("grp"), "members")), "groups", 2 * total)
         alone = entries.join(self.rooted, "cls", "left_anti").groupBy("cls").agg(F.min("token").alias("t"), F.max(F.abs("size")).alias("n"))
         alone = alone.select("cls", F.xxhash64("t", F.floor(F.log("n") / SIZE_BAND)).alias("grp"))
-        alone = written(alone, "alone")
+        alone = written(alone, "alone", many)
         counts = alone.groupBy("grp").agg(F.count("*").alias("members"))
-        alone = spread_join(alone, counts, "grp", "members", total).select("cls", "grp", "members", F.lit(False).alias("linked"))
-        groups = written(self.rooted.withColumn("linked", F.lit(True)).unionByName(alone), "groups")
-        self.meets = written(self._meets(entries.join(groups, "cls")), "meets")
+        alone = spread_join(alone, counts, "grp", "members", alone.count()).select("cls", "grp", "members", F.lit(False).alias("linked"))
+        groups = written(self.rooted.withColumn("linked", F.lit(True)).unionByName(alone), "groups", 2 * total + many)
+        self.meets = written(self._meets(entries.join(groups, "cls")), "meets", 4 * many)
+        self.met = self.meets.count()
         slices = classes.select("cls", "n", "bits").join(groups, "cls").withColumn("slice", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / SLICE)))
         slices = slices.groupBy(F.col("grp").alias("to"), "linked", "slice").agg(F.collect_list(F.struct("cls", "n", "bits")).alias("m"))
         slices = slices.select("to", "linked", "slice", F.col("m.cls").alias("ids"), F.col("m.n").alias("sizes"), F.col("m.bits").alias("rows"))
@@ -453,10 +458,10 @@ class Matrix:
 def roots_of(docs: DataFrame, profiled: DataFrame, classes: DataFrame, doubled: frozenset[int]) -> DataFrame:
     """(vertex, root) of the classes that link with a lesser one, through others or not."""
     spark = docs.sparkSession
-    shingles, total = profiled.where("doc_id is not null").agg(F.sum(F.expr("n div 4 + 1")), F.count("cls")).first()
+    shingles = profiled.where("doc_id is not null").agg(F.sum(F.expr("n div 4 + 1"))).first()[0]
     counted = profiled.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
     counted = counted.groupBy(F.col("x.tokens").alias("t")).agg(F.sum("x.counts").alias("c")).where(F.col("c") >= LEAST_COMMON)
-    counted = written(counted, "counted")
+    counted = written(counted, "counted", 4 * (shingles or 0) // LEAST_COMMON)
     threshold, left = 1 << 40, MOST_COMMON  # powers of two, so that the histogram is a few rows
     for row in counted.groupBy(F.floor(F.log2("c")).alias("p")).count().orderBy(F.desc("p")).collect():
         left -= row["count"]
@@ -471,16 +476,21 @@ def roots_of(docs: DataFrame, profiled: DataFrame, classes: DataFrame, doubled:
     buckets = max(8, -(-(shingles or 0) // BUCKET_SHINGLES))
     found = written(postings(prefixes(docs, shared, hot, buckets, doubled)), "postings")
     entries = _entries(found)
+    met, many = (x or 0 for x in found.agg(F.sum(F.size("a")), F.sum(F.expr("length(tokens) div 8"))).first())
     repeats = profiled.where("cls is not null and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    check = lambda pairs: written(verified(pairs, classes, docs, repeats, doubled), "links")
-    links = check(bounded(found.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct(), classes))
-    matrix = Matrix(entries, components(links), classes, total)
-    links = links.unionByName(check(matrix.opened(matrix.meets, NEAREST)))
-    roots = components(links)
-    unsettled = written(matrix.unsettled(roots), "unsettled")
-    if not unsettled.limit(1).count():
+    check = lambda pairs, met: verified(pairs, met, classes, docs, repeats, doubled)
+    links = check(bounded(found.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select("p.a", "p.b").distinct(), classes), met)
+    n = links.count()
+    matrix = Matrix(entries, many, components(links, n), classes)
+    more = check(matrix.opened(matrix.meets, NEAREST), matrix.met)
+    links, n = links.unionByName(more), n + more.count()
+    roots = components(links, n)
+    unsettled = written(matrix.unsettled(roots), "unsettled", matrix.met)
+    left = unsettled.count()
+    if not left:
         return roots
-    return components(links.unionByName(check(matrix.opened(unsettled, None))))
+    more = check(matrix.opened(unsettled, None), left * SLICE)
+    return components(links.unionByName(more), n + more.count())
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -488,10 +498,11 @@ def join(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiled = written(profile(docs.select("doc_id", "text")), "profile")
+    total = profiled.count()
 
     def by_class(rows: DataFrame) -> DataFrame:
         own = rows.where("cls is not null and doc_id is not null").groupBy("cls")
-        return written(own.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"), (F.min("other") != F.max("other")).alias("two")), "classes")
+        return written(own.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"), (F.min("other") != F.max("other")).alias("two")), "classes", total)
 
     classes = by_class(profiled)
     # sets that share the first half of their name, one pair or so among 10 ** 10, go by the second half
@@ -507,12 +518,12 @@ def join(docs: DataFrame) -> DataFrame:
     # classes that link with a lesser one, and the roots that others point at; all others are their own component
     inside = classes.select("cls", "doc_id").join(roots, "cls")
     tops = roots.select(F.col("root").alias("cls")).distinct().join(classes.select("cls", "doc_id"), "cls").withColumn("root", F.col("cls"))
-    inside = written(inside.unionByName(tops), "inside")
+    inside = written(inside.unionByName(tops), "inside", total)
     least = inside.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
     inside = spread_join(inside, least, "root", "members", inside.count()).select("cls", "component_id")
     own = classes.select("cls", "doc_id", "copies").join(inside, "cls", "left").select("cls", "copies", F.coalesce("component_id", "doc_id").alias("component_id"))
-    own = written(own, "own")
-    out = spread_join(rows.where("doc_id is not null"), own, "cls", "copies", own.count()).select("doc_id", "n", "component_id")
+    own = written(own, "own", total)
+    out = spread_join(rows.where("doc_id is not null"), own, "cls", "copies", total).select("doc_id", "n", "component_id")
     out = out.unionByName(rows.where("cls is null or doc_id is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(doc_id is null, null, coalesce(component_id, doc_id))").alias("component_id"))
 
