@@ -52,6 +52,8 @@ CHUNK, BUCKET_SHINGLES, GATHER, SLICE = 250_000, 250_000, 400_000, 32
 LEADERS = 6
 #: Documents of a shingle from which its posting is dealt out in parts of about so many.
 HOT = 2**15
+#: Rows with a bit row weigh as much as so many plain ones, those with whole sets four times as much.
+HEAVY = 4
 #: Sizes of unlinked classes in a group differ by this much in their logarithms.
 SIZE_BAND = 0.1
 #: Members of a slice that a query is compared with at first; all others follow where that links nothing.
@@ -324,7 +326,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, most: int, doubled: frozenset[in
 def verified(near: DataFrame, pairs: int, classes: DataFrame, docs: DataFrame, repeats: bool, doubled: frozenset[int]) -> DataFrame:
     """The links among the pairs (a, b) that bits leave, of about ``pairs`` that met, as a written table; sets are made
     only for classes in them."""
-    near = written(near, "near", pairs)
+    near = written(near, "near", HEAVY * pairs)
     left = near.count()
     wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     tokens = sets_of(docs, wanted.join(classes, "cls").select("doc_id", "cls"), 2 * left, doubled)
@@ -342,7 +344,7 @@ def verified(near: DataFrame, pairs: int, classes: DataFrame, docs: DataFrame, r
                 keep.append(4 * common >= 3 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(whole.mapInArrow(exact, "a long, b long"), "links", left)
+    return written(whole.mapInArrow(exact, "a long, b long"), "links", 4 * HEAVY * left)
 
 
 def _entries(found: DataFrame) -> DataFrame:
@@ -502,7 +504,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     def by_class(rows: DataFrame) -> DataFrame:
         own = rows.where("cls is not null and doc_id is not null").groupBy("cls")
-        return written(own.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"), (F.min("other") != F.max("other")).alias("two")), "classes", total)
+        return written(own.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies"), (F.min("other") != F.max("other")).alias("two")), "classes", HEAVY * total)
 
     classes = by_class(profiled)
     # sets that share the first half of their name, one pair or so among 10 ** 10, go by the second half
