@@ -3,6 +3,7 @@ at a time. Ranking and SAM rows are relational again."""
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import replace
@@ -288,7 +289,10 @@ def seeds_of(signed: DataFrame, contigs: DataFrame, p: AlignParams, k: int, dna:
     stride = p.sparseness if index is None else index.stride
     table = S.index_of(contigs, k, dna, stride) if index is None else index.table
     places = (contigs.select(F.sum(F.length("seq")).alias("n")).first()["n"] or 0) // stride if index is None else index.rows if index.rows is not None else table.count()
-    found = S.mems(S.hits(signed, contigs, k, dna, stride, p.max_seeds, table, places), k, stride=stride)
+    skip = p.skip(k, stride)
+    found = S.hits(signed, contigs, k, dna, stride, p.max_seeds, table, places, skip)
+    stride = math.lcm(stride, skip)
+    found = S.mems(found, k, stride=stride)
     repeats = table.where(F.col("n") > p.max_seeds) if "n" in table.columns else S.frequent(table, p.max_seeds)
     if places > p.max_seeds and repeats.limit(1).count():
         found = S.whole(found, signed, contigs, longest or longest_read(signed), dna)

@@ -147,9 +147,11 @@ def _side(found: DataFrame, mate: int) -> DataFrame:
 
 def windowed_mates(alone: DataFrame, mates: DataFrame, contigs: DataFrame, p: AlignParams, pair: PairParams) -> DataFrame:
     """Mates of alignments (``mate`` and ALIGNED) by local alignment where they should lie; ``mate`` is theirs.
-    Of a read's alignments only the first ``max_failures`` by score are tried."""
-    order = Window.partitionBy("read_id", "mate").orderBy(F.desc("score"), "contig_id", "start", "strand")
-    tried = alone.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= p.max_failures).drop("__n")
+    All of a read's alignments are tried, or the first ``window_tries`` by score where that is set."""
+    tried = alone
+    if pair.window_tries is not None:
+        order = Window.partitionBy("read_id", "mate").orderBy(F.desc("score"), "contig_id", "start", "strand")
+        tried = alone.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= pair.window_tries).drop("__n")
     other = both_strands(mates).select(
         "read_id", F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("wm"), F.col(f"plus{n}").alias("wp"), F.col(f"minus{n}").alias("wr")) for n in (1, 2)))).alias("w")
     )

@@ -50,13 +50,14 @@ def rare(index: DataFrame, most: int | None, places: int) -> DataFrame:
 
 
 def hits(
-    reads: DataFrame, reference: DataFrame, k: int, dna: bool = False, stride: int = 1, most: int | None = None, index: DataFrame | None = None, places: int | None = None
-) -> DataFrame:
+    reads: DataFrame, reference: DataFrame, k: int, dna: bool = False, stride: int = 1, most: int | None = None, index: DataFrame | None = None, places: int | None = None,
+    skip: int = 1,
+) -> DataFrame:
     """(read_id, contig_id, qpos, rpos): equal k-mers of reads (read_id, seq) and contigs (contig_id, seq).
-    The reference may be sampled by ``stride``; codes of more than ``most`` places are left out before the join,
+    The reference may be sampled by ``stride`` and the reads by ``skip``; codes of more than ``most`` places are left out before the join,
     so that a repeat costs nothing there. ``index`` is a stored one in place of the contigs' k-mers, ``places``
     its number of rows, where that is known; else both cost a query when the plan is made."""
-    probe = kmers(reads, "read_id", "seq", k, dna).withColumnRenamed("pos", "qpos")
+    probe = kmers(reads, "read_id", "seq", k, dna, skip).withColumnRenamed("pos", "qpos")
     if places is None:
         places = index.count() if index is not None else (reference.select(F.sum(F.length("seq")).alias("n")).first()["n"] or 0) // stride
     table = rare(index_of(reference, k, dna, stride) if index is None else index, most, places)
@@ -68,8 +69,11 @@ def hits(
 
 def mems(found: DataFrame, k: int, min_len: int | None = None, stride: int = 1) -> DataFrame:
     """Maximal exact matches: islands of consecutive hits on one diagonal. On a reference sampled by ``stride`` the
-    hits of an island are that far apart, and its ends fall short of the match's by less than that (``whole``)."""
+    hits of an island are that far apart, and its ends fall short of the match's by less than that (``whole``); with
+    sampled reads too, ``stride`` is the least common multiple of both steps. Hits are dealt out by read alone, once:
+    islands, and what is done by read with the seeds afterwards, need no other shuffle."""
     by = [c for c in found.columns if c not in ("qpos", "rpos")] + ["diagonal"]
+    found = found.repartition("read_id") if "read_id" in found.columns else found
     rows = found.withColumn("diagonal", F.col("rpos") - F.col("qpos"))
     rows = rows.withColumn("__i", F.col("qpos") - F.lit(stride) * F.row_number().over(Window.partitionBy(*by).orderBy("qpos")))
     length = ((F.count("*") - 1) * stride + k).cast("int")

@@ -36,6 +36,7 @@ class AlignParams:
     """Defaults are those of the command line that this engine replaces."""
 
     sparseness: int = 1
+    sample_reads: bool = False
     error_rate: float = 0.08
     seed_type: SeedType = SeedType.SMEM
     min_seed: int | None = None
@@ -72,10 +73,11 @@ class AlignParams:
             return max(self.min_seed, length // self.max_edits(length) if length // self.max_edits(length) > self.min_seed else self.min_seed)
         return 40 + (int(20 * (length // 500) / (100 * self.error_rate)) if length >= 1000 else 0)
 
-    def skip(self, min_len: int) -> int:
-        """Step of the read's k-mers that a sampled index allows."""
-        k = self.sparseness
-        return max((min_len - 10) // k, 1) if k >= 4 else max((min_len - 12) // max(k, 1), 1)
+    def skip(self, k: int, stride: int) -> int:
+        """Step of the read's k-mers that finds every match of the shortest auto seed length (40) or ``min_seed`` on an
+        index sampled by ``stride``; 1 unless reads are sampled. Shorter seeds, of the lower tiers, may then be missed."""
+        least = 40 if self.min_seed is None else self.min_seed
+        return max((least - k + 1) // max(stride, 1), 1) if self.sample_reads else 1
 
 
 @dataclass(frozen=True)
@@ -90,6 +92,8 @@ class PairParams:
     overlap: bool = True
     mode: int = 1
     rescue: bool = False
+    #: Alignments of a mate, best first, whose windows are searched for the other one; None: all of them.
+    window_tries: int | None = None
 
 
 @dataclass(frozen=True)

@@ -245,6 +245,24 @@ def test_sampled_reference_gives_whole_matches(spark):
         assert got <= want and {x for x in want if x[3] >= 12 + stride - 1} <= got
 
 
+def test_sampled_reads_too(spark):
+    rng = random.Random(15)
+    reads, refs = [], []
+    for i in range(8):
+        ref = "".join(rng.choice("acgt") for _ in range(600))
+        read = list(ref[100:500])
+        for _ in range(5):
+            read[rng.randrange(400)] = rng.choice("acgt")
+        reads.append((i, "".join(read)))
+        refs.append((i, ref))
+    r, c = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(refs, "contig_id long, seq string")
+    p = AlignParams(sparseness=4, sample_reads=True, seed_type=SeedType.MEM)
+    assert p.skip(16, 4) == 6
+    got = {(x.read_id, x.qpos, x.rpos, x.len) for x in A.seeds_of(r, c, p, 16, True).where("read_id = contig_id").collect()}
+    want = {(i, *m) for (i, a), (_, b) in zip(reads, refs) for m in brute_mems(a, b, 16)}
+    assert got <= want and {x for x in want if x[3] >= 40} <= got
+
+
 def test_repeats_cost_nothing_before_the_join(spark):
     rng = random.Random(6)
     unique = "".join(rng.choice("acgt") for _ in range(300))
