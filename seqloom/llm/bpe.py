@@ -69,7 +69,8 @@ class Model:
             self.bytes_of[i] = token.encode()
         self.added = added
         self.at_added = regex.compile("|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
-        self.split = regex.compile(PATTERN)
+        self.split, self.border = regex.compile(PATTERN), regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
+        self.plain_added = not any(self.border.search(t) for t in added)
         self.id_of = {self.bytes_of[i]: i for i in vocab.values()}
         self.longest = max(map(len, self.id_of))
         self.byte_id = [self.id_of.get(bytes([b])) for b in range(256)]
@@ -207,8 +208,23 @@ class Model:
             at = m.end()
         return out + self.split.findall(text[at:])
 
+    def sections(self, text: str) -> Iterator[str]:
+        """A long text in sections of about CHUNK_CHARS that are encoded one by one: no word goes on from other
+        characters into white space, so each such place is a border between words."""
+        at = 0
+        while self.plain_added and len(text) - at > 2 * CHUNK_CHARS and (m := self.border.search(text, at + CHUNK_CHARS)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers. Texts, and the sections of long ones, are
+        handled about CHUNK_CHARS characters at a time."""
+        parts = [list(self.sections(t)) for t in texts]
+        done = iter(self._encoded([x for p in parts for x in p]))
+        return [next(done) if len(p) == 1 else b"".join(next(done) for _ in p) for p in parts]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
@@ -235,7 +251,9 @@ class Model:
         return out
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        all_ids, get = np.frombuffer(ids, "<u4"), self.bytes_of.__getitem__
+        parts = (all_ids[at : at + CHUNK_CHARS].tolist() for at in range(0, len(all_ids), CHUNK_CHARS))
+        return b"".join(b"".join(map(get, part)) for part in parts).decode("utf-8", "replace")
 
 
 def _source(path: str | None) -> str:

@@ -339,6 +339,17 @@ def test_bpe_equals_the_library(spark):
     assert bpe.with_ids(table(spark, ODD).where("false")).count() == 0
 
 
+def test_bpe_sections_change_nothing(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    m = bpe.Model(bpe._source(None))
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab  \n\t'sé中\u0085\u3000.,12") for _ in range(400)) + "<|endoftext|> x" for _ in range(60)] + ["a" * 300, " " * 300]
+    whole = m.encode(texts)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 20)
+    assert m.encode(texts) == whole and [m.decode(w) for w in whole] == texts
+    assert len(list(m.sections(texts[0]))) > 5 and "".join(m.sections(texts[0])) == texts[0]
+
+
 def test_bpe_speculation_is_checked():
     pytest.importorskip("public_tokenizers")
     m = bpe.Model(bpe._source(None))
