@@ -57,3 +57,11 @@ def apart_from_best(regions: DataFrame) -> DataFrame:
     """Lower-ranked regions whose read interval doesn't overlap the best region's."""
     best = regions.where("rank = 1").select("read_id", F.col("q_begin").alias("b0"), F.col("q_end").alias("b1"))
     return regions.where("rank > 1").join(best, "read_id").where("q_end <= b0 or q_begin >= b1").drop("b0", "b1")
+
+
+def apart_from(regions: DataFrame, alignments: DataFrame) -> DataFrame:
+    """Regions (read_id, contig, reverse, begin, until) that no alignment (start, end, inclusive) of their read
+    overlaps on the same contig and strand. The join is by read, contig and strand, so it is as wide as one read's."""
+    a = alignments.select("read_id", "contig", "reverse", F.col("start").alias("__s"), F.col("end").alias("__e"))
+    same = [regions[c] == a[c] for c in ("read_id", "contig", "reverse")]
+    return regions.join(a, [*same, a["__e"] >= regions["begin"], a["__s"] <= regions["until"]], "left_anti")

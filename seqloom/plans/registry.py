@@ -456,6 +456,15 @@ def pair_regions(spark, d):
     return rows.select("read_id", "a_contig", "a_begin", "a_until", "b_begin", "b_until")
 
 
+@query(
+    f"""with {_MATES}, r as (select read_id, contig, reverse, start as "begin", "end" as until, score from m2)
+  select * from r where not exists (select 1 from m1 where m1.read_id = r.read_id and m1.contig = r.contig and m1.reverse = r.reverse and m1."end" >= r."begin" and m1.start <= r.until)"""
+)
+def region_alignment_anti(spark, d):
+    rows = V.mates(spark, d, 2).withColumnsRenamed({"start": "begin", "end": "until"}).select("read_id", "contig", "reverse", "begin", "until", "score")
+    return regions.apart_from(rows, V.mates(spark, d, 1))
+
+
 _WINDOWS = _MATES + """, wn as (select read_id, contig, start, "end", reverse, not reverse as wanted, score,
   greatest(0, case when not reverse then greatest(start, start) else "end" - 1000 - 100 end)::bigint as low0, 0 as z from m1),
   ww as (select read_id, contig, start, "end", not reverse as wanted, greatest(0, case when not reverse then greatest(start + 0 - 100, start) else "end" - 1000 end)::bigint as low,
