@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +43,30 @@ def codes(text: str, k: int, dna: bool) -> tuple[np.ndarray, np.ndarray]:
     return good, windows(np.where(bases == 4, np.uint64(0), bases), k, np.uint64(4))[good]
 
 
-def kmers(df: DataFrame, key: str, seq: str, k: int, dna: bool = False, stride: int = 1) -> DataFrame:
-    """(<key> long, pos int, code long): every ``stride``-th k-mer of every sequence; null: none."""
+def held(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which codes the sorted ``known`` ones hold."""
+    if not len(known):
+        return np.zeros(len(codes), bool)
+    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
+
+
+def kmers(df: DataFrame, key: str, seq: str, k: int, dna: bool = False, stride: int = 1, wanted: Broadcast | None = None) -> DataFrame:
+    """(<key> long, pos int, code long): every ``stride``-th k-mer of every sequence; null: none. ``wanted``: bytes of
+    sorted codes; k-mers of other codes are left out where they are made."""
     if dna and k > 31:
         raise ValueError("k is at most 31 for DNA")
     schema = f"`{key}` long, pos int, code long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if wanted is None else np.frombuffer(wanted.value, np.int64)
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 pos, code = codes(text or "", k, dna)
                 if stride > 1:
                     pos, code = pos[pos % stride == 0], code[pos % stride == 0]
+                if known is not None:
+                    kept = held(known, code.view(np.int64))
+                    pos, code = pos[kept], code[kept]
                 for at in range(0, len(pos), CHUNK):
                     p, c = pos[at : at + CHUNK], code[at : at + CHUNK]
                     yield pa.RecordBatch.from_arrays(

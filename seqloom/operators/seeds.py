@@ -57,13 +57,16 @@ def hits(
     The reference may be sampled by ``stride`` and the reads by ``skip``; codes of more than ``most`` places are left out before the join,
     so that a repeat costs nothing there. ``index`` is a stored one in place of the contigs' k-mers, ``places``
     its number of rows, where that is known; else both cost a query when the plan is made."""
-    probe = kmers(reads, "read_id", "seq", k, dna, skip).withColumnRenamed("pos", "qpos")
     if places is None:
         places = index.count() if index is not None else (reference.select(F.sum(F.length("seq")).alias("n")).first()["n"] or 0) // stride
     table = rare(index_of(reference, k, dna, stride) if index is None else index, most, places)
     table = table.select("contig_id", "rpos", "code")
-    if places <= BROADCAST_KMERS:
+    wanted = None
+    if places <= BROADCAST_KMERS:  # 8 bytes a code: the reads' other k-mers needn't leave the worker that makes them
+        codes = np.sort(table.select("code").distinct().toArrow().column("code").to_numpy())
+        wanted = reads.sparkSession.sparkContext.broadcast(codes.tobytes())
         table = F.broadcast(table)
+    probe = kmers(reads, "read_id", "seq", k, dna, skip, wanted).withColumnRenamed("pos", "qpos")
     return probe.join(table, "code").select("read_id", "contig_id", "qpos", "rpos")
 
 
