@@ -299,7 +299,7 @@ def seeds_of(signed: DataFrame, contigs: DataFrame, p: AlignParams, k: int, dna:
     elif stride > 1:
         found = S.whole(found, signed, contigs, longest or longest_read(signed), dna, stride - 1)
     kinds = {
-        SeedType.MEM: lambda x: x, SeedType.SMEM: S.longest_only, SeedType.PSMEM: lambda x: S.partly_longest(x, p.max_smems),
+        SeedType.MEM: lambda x: x, SeedType.SMEM: S.longest_only, SeedType.PSMEM: lambda x: S.partly_longest(x, p.max_smems, k, p.max_seeds),
         SeedType.MAM: S.unique_in_reference, SeedType.MUM: S.unique_in_both,
     }
     return S.frequency_cap(kinds[p.seed_type](found), p.max_seeds)

@@ -135,12 +135,46 @@ def longest_only(seeds: DataFrame) -> DataFrame:
     return rows.withColumn("__top", F.max("__end").over(so_far)).where("__end >= __top").drop("__end", "__top")
 
 
-def partly_longest(seeds: DataFrame, max_smems: int) -> DataFrame:
-    """Super-maximal matches, and shorter ones where few seeds end at the same base."""
-    so_far = Window.partitionBy(*_read(seeds)).orderBy("qpos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = seeds.withColumn("__end", F.col("qpos") + F.col("len"))
-    rows = rows.withColumn("__top", F.max("__end").over(so_far)).withColumn("__n", F.count("*").over(Window.partitionBy(*_read(seeds), "__end")))
-    return rows.where((F.col("__end") >= F.col("__top")) | (F.col("__n") <= max_smems)).drop("__end", "__top", "__n")
+def partly_longest(seeds: DataFrame, max_smems: int, min_len: int, most: int = 10_000) -> DataFrame:
+    """Of all matches of ``min_len`` letters and more, the longest ones from each start, and shorter ones where ends
+    aren't frequent.
+
+    Each start of the read has a longest match; starts with one such end are neighbours, the end's reign. An end is
+    frequent if the places of the longest matches of its starts, added up from the left, reach ``max_smems``; the start
+    where they do is its limit. Ends of ``most`` places and more are skipped. From the right: starts beyond the least
+    limit of the ends so far (its own among them) are left out, whole ends too if their first start is (by the limits of
+    those before). A frequent end has only longest matches. Another one also has shorter ones, down to the next frequent
+    end on its left, which counts up to that one's limit. Starts one beyond a limit still count as in it."""
+    key = _read(seeds)
+    by = lambda *c: Window.partitionBy(*key, *c)
+    earlier = (Window.unboundedPreceding, -1)
+    so_far = by().orderBy("qpos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = seeds.withColumn("__end", F.col("qpos") + F.col("len")).withColumn("__top", F.max("__end").over(so_far))
+    starts = rows.where("__end = __top").groupBy(*key, "qpos", "__top").agg(F.count("*").alias("__n"))
+    reigns = starts.groupBy(*key, "__top").agg(F.min("qpos").alias("__first"))
+    last = F.col("__top") - min_len + 1
+    reigns = reigns.withColumn("__until", F.least(F.lead("__first").over(by().orderBy("__first")), last))
+    parts = starts.join(reigns, [*key, "__top"]).withColumn("__c", F.sum("__n").over(by("__top").orderBy("qpos")))
+    order = by("__top").orderBy("qpos")
+    parts = parts.withColumn("__next", F.least(F.lead("qpos").over(order), F.col("__until"))).withColumn("__w", F.greatest(F.col("__next") - F.col("qpos"), F.lit(0)) * F.col("__c"))
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__w").over(order.rowsBetween(*earlier)), F.lit(0))).withColumn("__then", F.lead("__c").over(order))
+    reach = F.col("qpos") + F.ceil((F.lit(max_smems) - F.col("__before")) / F.col("__c")) - 1
+    parts = parts.withColumn("__b", F.when((F.col("__before") < max_smems) & (F.col("__before") + F.col("__w") >= max_smems), reach))
+    one_more = F.when(F.col("__b") + 1 < F.col("__next"), F.col("__c")).when(F.col("__b") + 1 < F.col("__until"), F.col("__then")).otherwise(0)
+    held = F.col("__before") + (F.col("__b") - F.col("qpos") + 1) * F.col("__c") + one_more
+    ends = parts.groupBy(*key, "__top", "__first").agg(F.min("__b").alias("__limit"), F.coalesce(F.max(held), F.sum("__w")).alias("__size"))
+    frequent, skipped = F.col("__limit").isNotNull(), F.col("__size") >= most
+    ends = ends.withColumn("__own", F.when(frequent & ~skipped, F.col("__limit")))
+    ends = ends.withColumn("__right", F.min("__own").over(by().orderBy(F.desc("__top")).rowsBetween(*earlier)))
+    ends = ends.withColumn("__stop", F.max(F.when(frequent, F.struct("__top", "__limit"))).over(by().orderBy("__top").rowsBetween(*earlier)))
+    ends = ends.where(~skipped & F.coalesce(F.col("__first") <= F.col("__right") + 1, F.lit(True)))
+    met = rows.join(ends, [*key, "__top"])
+    within = F.coalesce(F.col("qpos") <= F.least("__right", "__own") + 1, F.lit(True))
+    stop, limit = F.col("__stop.__top"), F.col("__stop.__limit")
+    shorter = F.coalesce((F.col("__end") > stop) | ((F.col("__end") == stop) & (F.col("qpos") <= limit + 1)), F.lit(True))
+    longest = F.col("__end") == F.col("__top")
+    picked = F.when(frequent, longest & (F.col("qpos") <= F.col("__limit") + 1)).otherwise(longest | shorter)
+    return met.where(within & picked).select(*seeds.columns)
 
 
 def unique_in_reference(seeds: DataFrame) -> DataFrame:

@@ -155,12 +155,24 @@ def smem_seeds(spark, d):
     return S.longest_only(V.text_mems(spark, d))
 
 
-@query(
-    f"""with {V.MEMS} select read_id, contig_id, qpos, rpos, len from (select *, max(qpos + len) over (partition by read_id order by qpos
-  range between unbounded preceding and current row) as top, count(*) over (partition by read_id, qpos + len) as n from mems) where qpos + len >= top or n <= 10"""
-)
+_PSMEM = f""", tp as (select *, qpos + len as e, max(qpos + len) over (partition by read_id order by qpos range between unbounded preceding and current row) as top from mems),
+  st as (select read_id, top, qpos, count(*) as n from tp where e = top group by all),
+  rg as (select *, least(coalesce(lead(first) over (partition by read_id order by first), 1000000000000), top - {V.K} + 1) as till from (select read_id, top, min(qpos) as first from st group by all)),
+  pt as (select st.*, first, till, sum(n) over (partition by read_id, top order by qpos) as c, lead(qpos) over (partition by read_id, top order by qpos) as nq from st join rg using (read_id, top)),
+  p2 as (select *, least(coalesce(nq, 1000000000000), till) as nx, greatest(least(coalesce(nq, 1000000000000), till) - qpos, 0) * c as w from pt),
+  p3 as (select *, coalesce(sum(w) over (partition by read_id, top order by qpos rows between unbounded preceding and 1 preceding), 0) as bf, lead(c) over (partition by read_id, top order by qpos) as th from p2),
+  p4 as (select *, case when bf < {{m}} and bf + w >= {{m}} then qpos + ceil(({{m}} - bf) / c)::bigint - 1 end as b from p3),
+  en as (select read_id, top, first, min(b) as lim, coalesce(max(bf + (b - qpos + 1) * c + case when b + 1 < nx then c when b + 1 < till then th else 0 end), sum(w)) as size from p4 group by all),
+  e2 as (select *, case when lim is not null and size < {{most}} then lim end as own from en),
+  e3 as (select *, min(own) over (partition by read_id order by top desc rows between unbounded preceding and 1 preceding) as rt,
+    max(case when lim is not null then {{{{'t': top, 'l': lim}}}} end) over (partition by read_id order by top rows between unbounded preceding and 1 preceding) as stop from e2)
+  select read_id, contig_id, qpos, rpos, len from tp join e3 using (read_id, top) where size < {{most}} and coalesce(first <= rt + 1, true) and coalesce(qpos <= least(rt, own) + 1, true)
+   and case when lim is not null then e = top and qpos <= lim + 1 else e = top or coalesce(e > stop.t or (e = stop.t and qpos <= stop.l + 1), true) end"""
+
+
+@query(f"with {V.MEMS}" + _PSMEM.format(m=40, most=10_000))
 def psmem_seeds(spark, d):
-    return S.partly_longest(V.text_mems(spark, d), 10)
+    return S.partly_longest(V.text_mems(spark, d), 40, V.K)
 
 
 _MAM = V.MEMS + ", mam as (select read_id, contig_id, qpos, rpos, len from (select *, count(*) over (partition by read_id, qpos, len) as n from mems) where n = 1)"

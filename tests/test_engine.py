@@ -245,6 +245,57 @@ def test_sampled_reference_gives_whole_matches(spark):
         assert got <= want and {x for x in want if x[3] >= 12 + stride - 1} <= got
 
 
+def brute_partly(found, length, min_len, m, most):
+    """Position by position, from the rightmost end to the left; found: (q, r, n)."""
+    end_at, places = {}, {}
+    for p in range(length):
+        ends = [q + n for q, _, n in found if q <= p and q + n - p >= min_len]
+        if ends:
+            end_at[p] = max(ends)
+            places[p] = sum(q <= p and q + n >= end_at[p] for q, _, n in found)
+    size, limit = {}, {}
+    for e in set(end_at.values()):
+        total = 0
+        for p in sorted(p for p in end_at if end_at[p] == e):
+            if e not in limit or p <= limit[e] + 1:
+                total += places[p]
+            if e not in limit and total >= m:
+                limit[e] = p
+        size[e] = total
+    out, least = set(), length
+    for e in sorted(size, reverse=True):
+        mine = sorted(p for p in end_at if end_at[p] == e)
+        if size[e] >= most or mine[0] > least + 1:
+            continue
+        if size[e] >= m:
+            least = min(least, limit[e])
+        stop = max((x for x in size if x < e and size[x] >= m), default=-1)
+        for p in mine:
+            if p > least + 1 or (size[e] >= m and p > limit[e] + 1):
+                continue
+            for q, r, n in found:
+                if q == p and (n + q == e or (size[e] < m and (q + n > stop or (q + n == stop and p <= limit[stop] + 1)))):
+                    out.add((q, r, n))
+    return out
+
+
+@pytest.mark.parametrize("m", [2, 6, 30])
+def test_partly_longest_against_brute_force(spark, m):
+    rng = random.Random(m)
+    reads, refs = [], []
+    for i in range(12):
+        piece = "".join(rng.choice("ac") for _ in range(14))
+        ref = "".join(piece[: rng.randrange(5, 14)] + "".join(rng.choice("acgt") for _ in range(rng.randrange(4))) for _ in range(9))
+        reads.append((i, "".join(piece[rng.randrange(4) :] + rng.choice("gt") for _ in range(4))))
+        refs.append((i, ref))
+    r, c = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(refs, "contig_id long, seq string")
+    found = S.mems(S.hits(r, c, 5, dna=True), 5).where("read_id = contig_id")
+    for most in (10_000, 25):
+        got = {(x.read_id, x.qpos, x.rpos, x.len) for x in S.partly_longest(found, m, 5, most).collect()}
+        want = {(i, *x) for (i, a), (_, b) in zip(reads, refs) for x in brute_partly(brute_mems(a, b, 5), len(a), 5, m, most)}
+        assert got == want
+
+
 def test_sampled_reads_too(spark):
     rng = random.Random(15)
     reads, refs = [], []
