@@ -639,6 +639,21 @@ def align_single(spark, d):
     return A.align(_passages(spark, d), V.contigs_dna(spark, d), AlignParams(error_rate=0.1), k=16)
 
 
+_CUT = f"""{_PASSAGES}, mm as (select id, a, b, list_max(list_filter(range(1, length(a) + 1), lambda p: substr(a, p::int, 1) <> substr(b, p::int, 1))) as last from pa),
+  ct as (select id, 1 as part, a, b, length(a) as n, case when last is not null and length(a) - last <= 4 then last - 1 else length(a) end as cut from mm),
+  cp as (select id, part, left(a, cut::int) as a, left(b, cut::int) as b from ct)"""
+
+
+@query(
+    f"""with {_CUT}, {_rle_sql('cp', 'cr')} select id as read_id, (id % 2 * 16)::bigint as flag, id as contig_id, 1::bigint as pos, 60::bigint as mapq, '30S' || cut || 'M' || (30 + n - cut) || 'S' as cigar,
+  (cut - 5 * nm)::bigint as score, nm, '30S' || x0 || (30 + n - cut) || 'S' as x0, 1 as rank from cr join ct using (id)"""
+)
+def align_clipped(spark, d):
+    """Changed passages between 30 unknown bases on either side, local: what doesn't pay is clipped."""
+    rows = _passages(spark, d).withColumn("seq", F.concat(F.lit("n" * 30), "seq", F.lit("n" * 30)))
+    return A.align(rows, V.contigs_dna(spark, d), AlignParams(local=True, min_coverage=0.0), k=16)
+
+
 def _indel_rows(spark, d):
     """Alignments of the first 100 bases of every passage, changed, with two bases more and three fewer."""
     rows = V.contigs_dna(spark, d).where("length(seq) >= 100")
