@@ -48,14 +48,37 @@ def written(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Deletes the tables that ``written`` made in this process, once their results are saved; their number."""
+def tables(since: int = 0) -> list[str]:
+    """The tables that ``written`` made in this process, from a number of them on."""
+    return _TABLES[since:]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that ``written`` made and that no result needs any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_TABLES)
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return n
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables that ``written`` made in this process, once their results are saved; their number."""
+    paths = tables()
+    drop(spark, paths)
+    _TABLES.clear()
+    return len(paths)
+
+
+def folders_of(df: DataFrame) -> list[str] | None:
+    """Names of the folders and files that ``df`` reads; None if it reads anything else."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out = []
+    for leaf in (leaves.apply(i) for i in range(leaves.length())):
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        paths = leaf.relation().location().rootPaths()
+        out += [paths.apply(i).getName() for i in range(paths.length())]
+    return out
 
 
 def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:

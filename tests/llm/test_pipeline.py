@@ -120,3 +120,22 @@ def test_run_against_brute_force(spark, tmp_path):
         ids = t.encode(text, add_special_tokens=False).ids
         assert (r.text, r.lang, r.source, r.ids) == (text, l, s, "mine") and (r.mix_source, r.mix_block, r.mix_slot, r.mix_position) == places[i]
         assert list(memoryview(bytes(r.ids_)).cast("I")) == ids and r.n_tokens == len(ids)
+
+
+def test_intermediate_tables_go(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs.write.parquet(f"{tmp_path}/0")
+    here = lambda: [t for t in corpus_pipeline.tables() if os.path.isdir(t.removeprefix("file:"))]
+    before = set(here())
+    first = corpus_pipeline.good_quality(spark, spark.read.parquet(f"{tmp_path}/0"), SF)
+    made = set(here()) - before
+    assert made
+    corpus_pipeline.known_language(spark, first, SF)  # its input isn't saved: nothing goes
+    assert made <= set(here())
+    second = corpus_pipeline.good_quality(spark, spark.read.parquet(f"{tmp_path}/0"), SF)
+    made = set(here()) - before - made
+    second.write.parquet(f"{tmp_path}/1")
+    n = second.count()
+    corpus_pipeline.mixed_sources(spark, spark.read.parquet(f"{tmp_path}/1"), SF)
+    assert not corpus_pipeline._LEFT and n == spark.read.parquet(f"{tmp_path}/1").count()
+    assert not any("evidence" in t for t in set(here()) & made)
