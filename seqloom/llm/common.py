@@ -15,6 +15,8 @@ BROADCAST_ROWS = 50_000
 HOT_ROWS = 512
 #: Rows of a small intermediate table that go into one task and file.
 PACK_ROWS = 20_000
+#: Bytes of a row group of an intermediate table, which a writer holds in memory.
+BLOCK_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,8 @@ def written(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     ``rows`` rows are expected, its last stage has a task for every PACK_ROWS of them, if there were more tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(max(1, -(-rows // PACK_ROWS)))).write.parquet(path)
+    out = df if rows is None else df.coalesce(max(1, -(-rows // PACK_ROWS)))
+    out.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
