@@ -41,7 +41,7 @@ PATTERN = (
 )
 #: Words that a worker keeps in each of two generations, token pairs that it remembers, and characters
 #: of text that it handles at once.
-MOST_WORDS, MOST_PAIRS, CHUNK_CHARS = 250_000, 300_000, 1_000_000
+MOST_WORDS, MOST_PAIRS, CHUNK_CHARS = 150_000, 200_000, 1_000_000
 NEVER = np.iinfo(np.int64).max
 
 
